@@ -9,7 +9,8 @@ every step distributed:
 1. One aggregate pass per group: ``count`` and ``percentile_approx`` at
    ``p - margin`` and ``p + margin``. The approximate quantile's rank error
    is bounded by ``n / accuracy``; with ``margin = 3 / accuracy`` the two
-   values bracket the order statistics that ``p`` needs.
+   values bracket the order statistics that ``p`` needs (groups of at most
+   ``10 * accuracy`` values use ``[min, max]`` as the bracket).
 2. One pass that tags every value as below / inside / above its bracket
    and counts by (group, p, zone, value) with map-side combine: below and
    above collapse to one row each, inside stays ~``6 n / accuracy`` rows.
@@ -49,6 +50,7 @@ def exact_quantiles(
     if len(names) != len(probs):
         raise ValueError("names and probs differ in length")
     margin = 3.0 / accuracy
+    small_n = 10 * accuracy
 
     data_all = df.select(*by, F.col(column).cast("double").alias("_x"))
     data = data_all.where(F.col("_x").isNotNull())
@@ -60,13 +62,17 @@ def exact_quantiles(
             return F.max("_x")
         return F.percentile_approx("_x", p, accuracy)
 
-    aggs = [F.count("_x").alias("_n")]
+    aggs = [F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")]
     for i, p in enumerate(probs):
         aggs.append(bound(p - margin).alias(f"_lo{i}"))
         aggs.append(bound(p + margin).alias(f"_hi{i}"))
     stats = data_all.groupBy(*by).agg(*aggs)
 
-    # (group, probability) rows: bracket and the two ranks p needs.
+    # (group, probability) rows: bracket and the two ranks p needs. A group
+    # of at most small_n values is bracketed by [min, max] outright: the
+    # margin 3n/accuracy would not cover the +1 rank of the interpolation
+    # there, and the exact step over that many values is cheap anyway.
+    small = F.col("_n") <= F.lit(small_n)
     per_p = stats.select(
         *by,
         "_n",
@@ -76,8 +82,8 @@ def exact_quantiles(
                     F.struct(
                         F.lit(i).alias("pi"),
                         F.lit(p).alias("p"),
-                        F.col(f"_lo{i}").alias("lo"),
-                        F.col(f"_hi{i}").alias("hi"),
+                        F.when(small, F.col("_min")).otherwise(F.col(f"_lo{i}")).alias("lo"),
+                        F.when(small, F.col("_max")).otherwise(F.col(f"_hi{i}")).alias("hi"),
                     )
                     for i, p in enumerate(probs)
                 ]

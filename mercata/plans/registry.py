@@ -158,3 +158,384 @@ def q_gross_profit(spark, d):
         t.reduced_vat_names,
         ec.cost_model_frame(spark),
     )
+
+
+# ----------------------------------------------------------------- retention
+
+from mercata.operators import retention as rt  # noqa: E402
+
+
+def _ret(spark: SparkSession, d: str) -> fx.DeliveryTables:
+    return fx.delivery_tables(spark, d, fx.RETENTION_PERIOD_DAYS)
+
+
+@register("activity_date_range")
+def q_activity_date_range(spark, d):
+    return rt.activity_date_range(_dash(spark, d).user_actions)
+
+
+@register("active_day_neighbours")
+def q_active_day_neighbours(spark, d):
+    return rt.active_day_neighbours(_ret(spark, d).user_actions)
+
+
+@register("retained_vs_churned")
+def q_retained_vs_churned(spark, d):
+    return rt.retained_vs_churned(_ret(spark, d).user_actions, churn_rule="reference")
+
+
+@register("retained_vs_churned_gap")
+def q_retained_vs_churned_gap(spark, d):
+    return rt.retained_vs_churned(_ret(spark, d).user_actions, churn_rule="gap")
+
+
+@register("user_lifecycle")
+def q_user_lifecycle(spark, d):
+    return rt.user_lifecycle(_ret(spark, d).user_actions)
+
+
+@register("user_lifecycle_excluding_cancelled")
+def q_user_lifecycle_excluding_cancelled(spark, d):
+    return rt.user_lifecycle(_ret(spark, d).user_actions, exclude_action=dl.CANCEL)
+
+
+@register("lag_sanity")
+def q_lag_sanity(spark, d):
+    return rt.lag_sanity(_ret(spark, d).user_actions)
+
+
+@register("daily_cohort_retention")
+def q_daily_cohort_retention(spark, d):
+    return rt.daily_cohort_retention(_ret(spark, d).user_actions)
+
+
+# -------------------------------------------------------------------- cohort
+
+from mercata.operators import cohort as ch  # noqa: E402
+from mercata.operators import quality as ql  # noqa: E402
+
+
+def _tx(spark: SparkSession, d: str) -> DataFrame:
+    """De-duplicated online-retail lines (the notebooks drop duplicates first)."""
+    return ql.dedupe(fx.retail_transactions(spark, d))
+
+
+@register("cohort_assign")
+def q_cohort_assign(spark, d):
+    return ch.cohort_assign(_tx(spark, d)).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
+
+
+@register("cohort_matrix")
+def q_cohort_matrix(spark, d):
+    return ch.cohort_matrix(_tx(spark, d))
+
+
+@register("cohort_matrix_wide")
+def q_cohort_matrix_wide(spark, d):
+    return ch.cohort_matrix_wide(_tx(spark, d))
+
+
+@register("cohort_reconcile")
+def q_cohort_reconcile(spark, d):
+    return ch.cohort_reconcile(_tx(spark, d))
+
+
+@register("cohort_retention_rate")
+def q_cohort_retention_rate(spark, d):
+    return ch.cohort_retention_rate(_tx(spark, d))
+
+
+@register("cohort_heatmap_frame")
+def q_cohort_heatmap_frame(spark, d):
+    return _r(ch.cohort_heatmap_frame(_tx(spark, d)), 9)
+
+
+@register("tx_time_span")
+def q_tx_time_span(spark, d):
+    return ch.tx_time_span(_tx(spark, d))
+
+
+# ------------------------------------------------------------------- quality
+
+
+def _raw_tx(spark: SparkSession, d: str) -> DataFrame:
+    return fx.retail_transactions(spark, d).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
+
+
+@register("null_profile")
+def q_null_profile(spark, d):
+    return ql.null_profile(fx.retail_transactions(spark, d))
+
+
+@register("duplicate_rows")
+def q_duplicate_rows(spark, d):
+    return ql.duplicate_rows(_raw_tx(spark, d), keep=False)
+
+
+@register("duplicate_rows_later")
+def q_duplicate_rows_later(spark, d):
+    return ql.duplicate_rows(_raw_tx(spark, d), keep="first")
+
+
+@register("dedupe")
+def q_dedupe(spark, d):
+    return ql.dedupe(_raw_tx(spark, d))
+
+
+@register("describe_numeric")
+def q_describe_numeric(spark, d):
+    return _r(ql.describe_numeric(fx.retail_transactions(spark, d), ["Quantity", "UnitPrice"]))
+
+
+@register("price_outliers")
+def q_price_outliers(spark, d):
+    return ql.outlier_rows(_raw_tx(spark, d), "UnitPrice", 2000)
+
+
+@register("quantity_outliers")
+def q_quantity_outliers(spark, d):
+    return ql.outlier_rows(_raw_tx(spark, d), "Quantity", 2000)
+
+
+# ----------------------------------------------------------------------- rfm
+
+from mercata.operators import rfm as rf  # noqa: E402
+
+
+def _rfm_tx(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned lines with TotalSum: price outliers removed by key (the
+    reference drops its one outlier row by index), duplicates dropped."""
+    tx = fx.retail_transactions(spark, d)
+    tx = ql.drop_rows(tx, ql.outlier_rows(tx, "UnitPrice", 2000))
+    return rf.with_line_total(ql.dedupe(tx))
+
+
+def _rfm(spark: SparkSession, d: str) -> DataFrame:
+    return rf.rfm_matrix(_rfm_tx(spark, d))
+
+
+def _coded(spark: SparkSession, d: str) -> DataFrame:
+    return rf.rfm_code(rf.rfm_scores(_rfm(spark, d)))
+
+
+@register("line_total")
+def q_line_total(spark, d):
+    return _rfm_tx(spark, d).select(
+        "InvoiceNo", "StockCode", "CustomerID", F.col("TotalSum").cast("double").alias("TotalSum")
+    )
+
+
+@register("line_total_profile")
+def q_line_total_profile(spark, d):
+    return _r(ql.describe_numeric(_rfm_tx(spark, d), ["TotalSum"]))
+
+
+@register("line_total_p99")
+def q_line_total_p99(spark, d):
+    return _r(ql.quantile(_rfm_tx(spark, d), "TotalSum", 0.99, "p99"))
+
+
+@register("snapshot_date")
+def q_snapshot_date(spark, d):
+    return rf.snapshot_date(_rfm_tx(spark, d))
+
+
+@register("rfm_matrix")
+def q_rfm_matrix(spark, d):
+    return _rfm(spark, d)
+
+
+@register("rfm_log")
+def q_rfm_log(spark, d):
+    return _r(rf.rfm_log(_rfm(spark, d)), 9)
+
+
+@register("rfm_standardize")
+def q_rfm_standardize(spark, d):
+    return _r(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d))), 6)
+
+
+@register("kmeans_elbow")
+def q_kmeans_elbow(spark, d):
+    return rf.kmeans_elbow(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d))))
+
+
+def _segments(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
+    rfm = _rfm(spark, d)
+    seg = rf.kmeans_segments(rfm, rf.rfm_standardize(rf.rfm_log(rfm)), k=k)
+    return rfm.join(seg, "CustomerID")
+
+
+@register("kmeans_segments")
+def q_kmeans_segments(spark, d):
+    return _segments(spark, d).select("CustomerID", "cluster")
+
+
+@register("kmeans_profile")
+def q_kmeans_profile(spark, d):
+    return _r(rf.cluster_profile(_segments(spark, d), "cluster"))
+
+
+@register("kmeans_profile_four")
+def q_kmeans_profile_four(spark, d):
+    return _r(rf.cluster_profile(_segments(spark, d, 4), "cluster"))
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, d):
+    return rf.cluster_sizes(_segments(spark, d), "cluster")
+
+
+@register("cluster_mean_bars")
+def q_cluster_mean_bars(spark, d):
+    return _r(rf.cluster_mean_bars(_segments(spark, d), "cluster"))
+
+
+@register("rfm_scores")
+def q_rfm_scores(spark, d):
+    return rf.rfm_scores(_rfm(spark, d))
+
+
+@register("rfm_code")
+def q_rfm_code(spark, d):
+    return _coded(spark, d)
+
+
+@register("cluster_profile")
+def q_cluster_profile(spark, d):
+    return _r(rf.cluster_profile(_coded(spark, d), "RFM_cluster"))
+
+
+@register("score_mean_bars")
+def q_score_mean_bars(spark, d):
+    return _r(rf.cluster_mean_bars(_coded(spark, d), "RFM_score"))
+
+
+@register("rfm_code_count")
+def q_rfm_code_count(spark, d):
+    return rf.rfm_code_count(_coded(spark, d))
+
+
+@register("rfm_code_frequency")
+def q_rfm_code_frequency(spark, d):
+    return rf.rfm_code_frequency(_coded(spark, d))
+
+
+@register("rfm_segment_label")
+def q_rfm_segment_label(spark, d):
+    return rf.rfm_segment_label(_coded(spark, d)).select(
+        "CustomerID", "RFM_cluster", "RFM_score", "segment"
+    )
+
+
+@register("rfm_density")
+def q_rfm_density(spark, d):
+    return rf.rfm_density(_rfm(spark, d))
+
+
+# ---------------------------------------------------------------- experiment
+
+from mercata.operators import experiment as ab  # noqa: E402
+
+
+def _ab(spark: SparkSession, d: str) -> DataFrame:
+    return fx.ab_experiment(spark, d)
+
+
+def _ab2(spark: SparkSession, d: str) -> DataFrame:
+    return ab.ab_trim(_ab(spark, d))
+
+
+@register("ab_outlier_profile")
+def q_ab_outlier_profile(spark, d):
+    return _r(ab.ab_outlier_profile(_ab(spark, d)))
+
+
+@register("ab_trim")
+def q_ab_trim(spark, d):
+    return _ab2(spark, d)
+
+
+@register("ab_category_counts")
+def q_ab_category_counts(spark, d):
+    return ab.ab_category_counts(_ab2(spark, d))
+
+
+@register("ab_conversion_overall")
+def q_ab_conversion_overall(spark, d):
+    return _r(ab.ab_conversion_overall(_ab2(spark, d)), 12)
+
+
+@register("ab_conversion_by_group")
+def q_ab_conversion_by_group(spark, d):
+    return _r(ab.ab_conversion_by_group(_ab2(spark, d)), 12)
+
+
+@register("ab_effect_size")
+def q_ab_effect_size(spark, d):
+    return _r(ab.ab_effect_size(_ab2(spark, d)), 9)
+
+
+@register("ab_exposure_balance")
+def q_ab_exposure_balance(spark, d):
+    return _r(ab.ab_exposure_balance(_ab2(spark, d)))
+
+
+@register("ab_day_mix")
+def q_ab_day_mix(spark, d):
+    return ab.ab_day_mix(_ab(spark, d))
+
+
+@register("ab_hour_mix")
+def q_ab_hour_mix(spark, d):
+    return ab.ab_hour_mix(_ab(spark, d))
+
+
+@register("ab_normality_check")
+def q_ab_normality_check(spark, d):
+    return ab.ab_normality_check(_ab2(spark, d))
+
+
+@register("ab_group_sizes")
+def q_ab_group_sizes(spark, d):
+    return ab.ab_group_sizes(_ab2(spark, d))
+
+
+@register("ab_required_n")
+def q_ab_required_n(spark, d):
+    return _r(ab.ab_required_n(_ab2(spark, d)), 6)
+
+
+@register("ab_ztest")
+def q_ab_ztest(spark, d):
+    return _r(ab.ab_ztest(_ab2(spark, d)), 9)
+
+
+@register("ab_ztest_pvalue")
+def q_ab_ztest_pvalue(spark, d):
+    return ab.ab_ztest_pvalue(_ab2(spark, d))
+
+
+@register("ab_power")
+def q_ab_power(spark, d):
+    return ab.ab_power(_ab2(spark, d))
+
+
+@register("ab_null_distribution")
+def q_ab_null_distribution(spark, d):
+    return _r(ab.ab_null_distribution(_ab2(spark, d)), 9)
+
+
+@register("ab_null_curve")
+def q_ab_null_curve(spark, d):
+    return _r(ab.ab_null_curve(_ab2(spark, d)), 6, ["pdf"]).withColumn("x", F.round("x", 12))
+
+
+@register("ab_exposure_histogram")
+def q_ab_exposure_histogram(spark, d):
+    return _r(ql.histogram_frame(_ab(spark, d), "total_ads", 30), 9)
+
+
+@register("ab_exposure_describe")
+def q_ab_exposure_describe(spark, d):
+    return _r(ql.describe_numeric(_ab(spark, d), ["total_ads"]))
