@@ -539,3 +539,67 @@ def q_ab_exposure_histogram(spark, d):
 @register("ab_exposure_describe")
 def q_ab_exposure_describe(spark, d):
     return _r(ql.describe_numeric(_ab(spark, d), ["total_ads"]))
+
+
+# ------------------------------------------------------------------ campaign
+
+from mercata.operators import campaign as cp  # noqa: E402
+from mercata.operators import product as pr  # noqa: E402
+
+
+def _campaign_inputs(spark: SparkSession, d: str):
+    t = _dash(spark, d)
+    users, spend = fx.campaign_tables(spark, t.user_actions)
+    return users, t.user_actions, t.orders, t.products, spend
+
+
+@register("campaign_cac")
+def q_campaign_cac(spark, d):
+    return cp.campaign_cac(*_campaign_inputs(spark, d))
+
+
+@register("campaign_roi")
+def q_campaign_roi(spark, d):
+    return cp.campaign_roi(*_campaign_inputs(spark, d))
+
+
+@register("campaign_aov")
+def q_campaign_aov(spark, d):
+    return cp.campaign_aov(*_campaign_inputs(spark, d))
+
+
+@register("campaign_retention")
+def q_campaign_retention(spark, d):
+    users, actions, *_ = _campaign_inputs(spark, d)
+    return cp.campaign_retention(users, actions)
+
+
+@register("campaign_arppu")
+def q_campaign_arppu(spark, d):
+    return cp.campaign_arppu(*_campaign_inputs(spark, d))
+
+
+# ------------------------------------------------------------------- product
+
+
+@register("dau_wau_mau")
+def q_dau_wau_mau(spark, d):
+    return pr.dau_wau_mau(fx.events(spark, d))
+
+
+@register("engagement_ctr")
+def q_engagement_ctr(spark, d):
+    return pr.engagement_ctr(fx.events(spark, d))
+
+
+@register("audience_slices")
+def q_audience_slices(spark, d):
+    from mercata.sources.tables import read_table
+
+    users = pr.event_users_with_profile(
+        fx.events(spark, d),
+        read_table(spark, d, "customer"),
+        read_table(spark, d, "nation"),
+        read_table(spark, d, "region"),
+    )
+    return pr.audience_slices(users, ["segment", "nation", "region"])
