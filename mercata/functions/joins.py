@@ -23,20 +23,20 @@ def action_orders(actions: DataFrame, action: str, key: str = "order_id") -> Dat
     )
 
 
+def _set_is_empty(keys: DataFrame) -> F.Column:
+    """Scalar subquery: TRUE when ``keys`` has no rows (evaluated once per query)."""
+    return keys.select((F.count(F.lit(1)) == 0).alias("_empty")).scalar()
+
+
 def not_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key NOT IN (keys)``, with SQL NULL semantics.
 
     A NULL key survives only when the key set is empty. ``keys`` must be
     null-free and distinct (see :func:`action_orders`). The emptiness test
-    is a one-row aggregate, broadcast to every task.
+    is a scalar subquery, so the plan stays one equi anti join.
     """
-    size = F.broadcast(keys.agg(F.count(F.lit(1)).alias("_set_size")))
     kept = df.join(keys, on=key, how="left_anti")
-    return (
-        kept.crossJoin(size)
-        .where(F.col(key).isNotNull() | (F.col("_set_size") == 0))
-        .drop("_set_size")
-    )
+    return kept.where(F.col(key).isNotNull() | _set_is_empty(keys))
 
 
 def with_flag(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
@@ -57,14 +57,12 @@ def mark_not_in(df: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame
     NOT IN (...))``: every row is kept, only the flag differs. A NULL key
     gives TRUE only for an empty key set (NULL, i.e. not counted, otherwise).
     """
-    size = F.broadcast(keys.agg(F.count(F.lit(1)).alias("_set_size")))
     marked = keys.select(key).withColumn("_hit", F.lit(True))
     return (
         df.join(marked, on=key, how="left")
-        .crossJoin(size)
         .withColumn(
             out,
-            (F.col("_set_size") == 0) | (F.col(key).isNotNull() & F.col("_hit").isNull()),
+            F.when(F.col(key).isNull(), _set_is_empty(keys)).otherwise(F.col("_hit").isNull()),
         )
-        .drop("_hit", "_set_size")
+        .drop("_hit")
     )

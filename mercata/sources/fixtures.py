@@ -41,16 +41,16 @@ class DeliveryTables:
 def _order_events(spark: SparkSession, folder: str, period_days: int) -> DataFrame:
     """One row per order: ids, creation time, cancellation flag, courier."""
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    n_sup = read_table(spark, folder, "supplier").agg(F.count(F.lit(1)).alias("n_sup"))
+    n_sup = read_table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()
     key = F.col("o_orderkey")
     day = F.pmod(
         F.datediff(F.to_date("o_orderdate"), F.lit(START_DAY)), F.lit(period_days)
     )
-    base = orders.crossJoin(F.broadcast(n_sup)).select(
+    base = orders.select(
         key.alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         day.alias("di"),
-        F.pmod(key, F.col("n_sup")).alias("s"),
+        F.pmod(key, n_sup).alias("s"),
     )
     minutes = F.col("di") * 1440 + F.pmod(F.col("order_id") * 37, F.lit(1440))
     return base.select(
