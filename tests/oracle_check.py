@@ -8,6 +8,7 @@ practice they are equal).
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -90,7 +91,7 @@ def main(argv: list[str]) -> int:
     from mercata.plans.oracle import SQL
     from mercata.session import build_session
 
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
     names = argv or sorted(SQL)
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
