@@ -121,20 +121,31 @@ def exact_quantiles(
     )
     ranked = buckets.withColumn("cum", F.sum("c").over(w))
 
-    def pick(k: str) -> F.Column:
-        return F.min(F.when(F.col("cum") > F.col(k), F.struct(F.col("zone"), F.col("v"))))
-
-    picked = ranked.groupBy(*by, "pi", "frac").agg(pick("k0").alias("a"), pick("k1").alias("b"))
-    ok = (F.col("a.zone") == 1) & (F.col("b.zone") == 1)
-    value = F.when(
-        ok, F.col("a.v") + (F.col("b.v") - F.col("a.v")) * F.col("frac")
-    ).otherwise(F.raise_error(F.lit("exact_quantiles: rank bracket missed")))
-    long = picked.select(*by, "pi", value.cast("double").alias("value"))
+    # value at 0-based rank k = first bucket whose cumulative count exceeds k;
+    # all probabilities of a group are picked in one aggregate.
+    def pick(i: int, k: str) -> F.Column:
+        hit = (F.col("pi") == i) & (F.col("cum") > F.col(k))
+        return F.min(F.when(hit, F.struct(F.col("zone"), F.col("v"))))
+
+    aggs = []
+    for i in range(len(probs)):
+        aggs += [
+            pick(i, "k0").alias(f"_a{i}"),
+            pick(i, "k1").alias(f"_b{i}"),
+            F.max(F.when(F.col("pi") == i, F.col("frac"))).alias(f"_f{i}"),
+        ]
+    picked = ranked.groupBy(*by).agg(*aggs)
+
+    def value(i: int) -> F.Column:
+        a, b, f = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_f{i}")
+        ok = (a["zone"] == 1) & (b["zone"] == 1)
+        missed = F.raise_error(F.lit("exact_quantiles: rank bracket missed"))
+        return F.when(a.isNull(), F.lit(None)).when(
+            ok, a["v"] + (b["v"] - a["v"]) * f
+        ).otherwise(missed).cast("double")
 
     # A keyless aggregate returns one row even for empty input (NULLs).
-    out = long.groupBy(*by).agg(
-        *[F.max(F.when(F.col("pi") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
-    )
+    out = picked.select(*by, *[value(i).alias(n) for i, n in enumerate(names)])
     if by:
         # Groups whose values are all NULL keep a row with NULL quantiles.
         out = stats.select(*by).join(out, on=by, how="left")

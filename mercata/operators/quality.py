@@ -115,6 +115,11 @@ def outlier_rows(df: DataFrame, col: str, threshold: float) -> DataFrame:
     return df.where(F.col(col) > F.lit(threshold))
 
 
+def drop_outliers(df: DataFrame, col: str, threshold: float) -> DataFrame:
+    """Complement of :func:`outlier_rows` (NULLs kept): a pushed-down filter."""
+    return df.where(F.col(col).isNull() | (F.col(col) <= F.lit(threshold)))
+
+
 def drop_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Remove rows by business key (all columns of ``rows``); the
     positional index the reference uses has no Spark equivalent."""

@@ -303,10 +303,9 @@ from mercata.operators import rfm as rf  # noqa: E402
 
 
 def _rfm_tx(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned lines with TotalSum: price outliers removed by key (the
-    reference drops its one outlier row by index), duplicates dropped."""
-    tx = fx.retail_transactions(spark, d)
-    tx = ql.drop_rows(tx, ql.outlier_rows(tx, "UnitPrice", 2000))
+    """Cleaned lines with TotalSum: price outliers removed (the reference
+    drops its one outlier row by index), duplicates dropped."""
+    tx = ql.drop_outliers(fx.retail_transactions(spark, d), "UnitPrice", 2000)
     return rf.with_line_total(ql.dedupe(tx))
 
 
