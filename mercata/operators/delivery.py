@@ -28,6 +28,13 @@ def cancelled_orders(user_actions: DataFrame, action: str = CANCEL) -> DataFrame
     return action_orders(user_actions, action)
 
 
+def given_or_cancelled(
+    cancelled: DataFrame | None, user_actions: DataFrame, action: str = CANCEL
+) -> DataFrame:
+    """The caller's (e.g. persisted) cancelled-order set, or a fresh one."""
+    return cancelled if cancelled is not None else cancelled_orders(user_actions, action)
+
+
 def daily_users(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
     """date, uniq_users, uniq_paying_users (users with a non-cancelled order row)."""
     marked = mark_not_in(
@@ -43,12 +50,13 @@ def daily_users(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def daily_core_metrics(
-    user_actions: DataFrame, courier_actions: DataFrame, orders: DataFrame, cancel_action: str = CANCEL
+    user_actions: DataFrame, courier_actions: DataFrame, orders: DataFrame, cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None
 ) -> DataFrame:
     """B1: per action date, distinct users / paying users / couriers / active
     couriers / orders / successful orders. Dates without a user action are
     absent; missing courier or order sides are NULL."""
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     users = daily_users(user_actions, cancelled)
     couriers = (
         mark_not_in(
@@ -92,9 +100,10 @@ def daily_core_metrics(
     )
 
 
-def order_multiplicity_share(user_actions: DataFrame, cancel_action: str = CANCEL) -> DataFrame:
+def order_multiplicity_share(user_actions: DataFrame, cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None) -> DataFrame:
     """B2: per date, % of users with exactly one vs several surviving order rows."""
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     per_user = (
         not_in(user_actions, "order_id", cancelled)
         .groupBy(F.to_date("time").alias("date"), "user_id")
@@ -117,11 +126,12 @@ def hourly_cancel_rate(
     user_actions: DataFrame,
     courier_actions: DataFrame,
     cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None,
     deliver_action: str = DELIVER,
 ) -> DataFrame:
     """By creation hour, delivered orders, cancelled orders, cancel rate (3 dp)."""
     delivered = action_orders(courier_actions, deliver_action)
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     flagged = with_flag(
         with_flag(
             orders.select(F.hour("creation_time").alias("hour"), "order_id"),

@@ -24,7 +24,7 @@ from mercata.functions.rounding import (
     to_cents,
     units_to_double,
 )
-from mercata.operators.delivery import CANCEL, DELIVER, cancelled_orders
+from mercata.operators.delivery import CANCEL, DELIVER, given_or_cancelled
 
 # Fixed values of the reference report.
 # Product names taxed at the reduced VAT rate (10 %); all others pay 20 %.
@@ -99,10 +99,11 @@ def priced_items(orders: DataFrame, products: DataFrame, cancelled: DataFrame |
 
 
 def daily_revenue(
-    orders: DataFrame, user_actions: DataFrame, products: DataFrame, cancel_action: str = CANCEL
+    orders: DataFrame, user_actions: DataFrame, products: DataFrame, cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None
 ) -> DataFrame:
     """Revenue by creation date, running total, day-over-day % change."""
-    items = priced_items(orders, products, cancelled_orders(user_actions, cancel_action))
+    items = priced_items(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
     daily = items.groupBy(F.to_date("creation_time").alias("date")).agg(
         F.sum("cents").alias("rev")
     )
@@ -117,13 +118,14 @@ def daily_revenue(
 
 
 def arpu_arppu_aov(
-    orders: DataFrame, user_actions: DataFrame, products: DataFrame, cancel_action: str = CANCEL
+    orders: DataFrame, user_actions: DataFrame, products: DataFrame, cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None
 ) -> DataFrame:
     """Revenue per user, per paying user and per order, by day (inner join
     of the action-date user counts with the creation-date revenue)."""
     from mercata.operators.delivery import daily_users
 
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     items = priced_items(orders, products, cancelled)
     revenue = items.groupBy(F.to_date("creation_time").alias("date")).agg(
         F.sum("cents").alias("rev"), F.count_distinct("order_id").alias("n_orders")
@@ -146,11 +148,12 @@ def product_revenue_share(
     other_threshold: float = OTHER_SHARE_THRESHOLD,
     other_label: str = OTHER_LABEL,
     cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None,
 ) -> DataFrame:
     """Revenue and % share by product name; names whose rounded share is
     below the threshold fold into one ``other_label`` row. Shares are rounded
     per name before folding, so the column need not total 100."""
-    items = priced_items(orders, products, cancelled_orders(user_actions, cancel_action))
+    items = priced_items(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
     by_name = items.groupBy("name").agg(F.sum("cents").alias("rev"))
     total = F.broadcast(by_name.agg(F.sum("rev").alias("_total")))
     shares = by_name.crossJoin(total).withColumn(
@@ -186,14 +189,15 @@ def order_costs(orders: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def new_vs_old_revenue(
-    user_actions: DataFrame, orders: DataFrame, products: DataFrame, cancel_action: str = CANCEL
+    user_actions: DataFrame, orders: DataFrame, products: DataFrame, cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None
 ) -> DataFrame:
     """Revenue per action date and the part from users whose first-ever
     action date is that date. A day without newcomers has NULL new revenue
     and NULL shares; orders without a priced product add NULL cost."""
     from mercata.operators.delivery import first_seen
 
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     first = first_seen(user_actions, "user_id").withColumnRenamed("date", "min_date")
     rows = (
         not_in(user_actions, "order_id", cancelled)
@@ -298,12 +302,13 @@ def daily_costs(
     courier_actions: DataFrame,
     model: DataFrame,
     cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None,
     deliver_action: str = DELIVER,
 ) -> DataFrame:
     """B11e: date, costs = packing + delivery + bonus + fixed, from the packing
     side (LEFT joins). A missing bonus is 0 only where the period says so;
     a missing delivery term always leaves the day NULL."""
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     packing = packing_cost(user_actions, cancelled, model)
     bonus = courier_bonus(courier_actions, model, deliver_action)
     delivery = delivery_cost(courier_actions, cancelled, model, deliver_action)
@@ -325,13 +330,14 @@ def gross_profit(
     reduced_names: DataFrame,
     model: DataFrame,
     cancel_action: str = CANCEL,
+    cancelled: DataFrame | None = None,
     deliver_action: str = DELIVER,
 ) -> DataFrame:
     """Daily P&L with running totals and margins (2 dp)."""
-    cancelled = cancelled_orders(user_actions, cancel_action)
+    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     taxed = vat_extract(products, reduced_names)
     rev_tax = revenue_and_tax(orders, cancelled, taxed)
-    costs = daily_costs(user_actions, courier_actions, model, cancel_action, deliver_action)
+    costs = daily_costs(user_actions, courier_actions, model, cancel_action, cancelled, deliver_action)
     base = costs.join(rev_tax, "date").select(
         "date",
         "rev_cents",

@@ -81,3 +81,23 @@ def test_write_report_partitioned(spark):
     write_report(df, folder, partition_by="date")
     back = spark.read.parquet(folder).where(F.col("date") == dt.date(2022, 8, 25)).collect()
     assert [r.revenue for r in back] == [2.0]
+
+
+def test_write_delivery_dashboard(spark, sf_dir):
+    from mercata.operators.economics import cost_model_frame
+    from mercata.plans import dashboards
+    from mercata.plans.registry import QUERIES
+    from mercata.sources.fixtures import delivery_tables
+
+    out = tempfile.mkdtemp(prefix="mercata-dash-")
+    tables = delivery_tables(spark, sf_dir)
+    model = cost_model_frame(spark)
+    paths = dashboards.write_dashboard(
+        tables, lambda t, c: dashboards.delivery_overview(t, model, c), out
+    )
+    assert len(paths) == 10
+    back = spark.read.parquet(os.path.join(out, "gross_profit"))
+    want = QUERIES["gross_profit"](spark, sf_dir)
+    assert sorted(map(tuple, back.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    rpaths = dashboards.write_dashboard(tables, dashboards.retention_overview, out)
+    assert len(rpaths) == 5
