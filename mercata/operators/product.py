@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.rounding import round_ratio
@@ -26,18 +26,22 @@ def dau_wau_mau(
     days, for every day that has events.
 
     Spark has no distinct-count window function. Each distinct (user, day)
-    is expanded to the days its activity covers (at most the widest window),
-    reduced to the smallest lag per (user, covered day), and counted with
-    one conditional count per window: shuffles only ever carry user-days.
+    instead covers the following days up to the user's next active day (and
+    at most the widest window): a per-user ``lead`` over de-duplicated days,
+    so a user's partition is bounded by the number of days, not by events.
+    Each (user, covered day) then exists once, carrying the days since the
+    user was last active, and one conditional count per window finishes it
+    with map-side combine.
     """
     longest = max(w for _, w in windows)
     user_days = events.select(user, F.to_date(ts).alias("day")).distinct()
-    covered = user_days.select(
-        user, F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("lag"), "day"
-    ).select(user, F.date_add("day", F.col("lag")).alias("day"), "lag")
-    nearest = covered.groupBy(user, "day").agg(F.min("lag").alias("lag"))
-    counts = nearest.groupBy("day").agg(
-        *[F.count_if(F.col("lag") < w).alias(name) for name, w in windows]
+    nxt = F.lead("day").over(Window.partitionBy(user).orderBy("day"))
+    span = F.least(F.coalesce(F.datediff(nxt, F.col("day")), F.lit(longest)), F.lit(longest))
+    covered = user_days.withColumn("_span", span).select(
+        F.explode(F.sequence(F.lit(0), F.col("_span") - 1)).alias("since"), "day"
+    ).select(F.date_add("day", F.col("since")).alias("day"), "since")
+    counts = covered.groupBy("day").agg(
+        *[F.count_if(F.col("since") < w).alias(name) for name, w in windows]
     )
     days = user_days.select("day").distinct()
     return days.join(counts, "day", "left").orderBy("day")

@@ -40,13 +40,16 @@ def _semi_or_anti(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return df.join(renamed, cond, how)
 
 
-def duplicate_rows(df: DataFrame, keep: str | bool = False) -> DataFrame:
+def duplicate_rows(
+    df: DataFrame, keep: str | bool = False, sort_by: Sequence[str] = ()
+) -> DataFrame:
     """Rows that duplicate another row over all columns.
 
     ``keep=False`` lists every member of each duplicate group (pandas
     ``duplicated(keep=False)``); ``keep='first'`` lists the later copies only
     (n - 1 per group of n). Rows of a group are identical, so which copy is
-    "first" does not matter.
+    "first" does not matter. ``sort_by`` orders the listing (a range-
+    partitioned sort, no single-task step).
     """
     cols = df.columns
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
@@ -54,10 +57,12 @@ def duplicate_rows(df: DataFrame, keep: str | bool = False) -> DataFrame:
         # Semi join on the duplicated keys; a hot group stays spread over the
         # input partitions (broadcast when the key set passes the size check,
         # AQE splits a skewed partition otherwise).
-        return _semi_or_anti(df, counts.drop("_n"), "left_semi")
-    if keep == "first":
-        return replicate_rows(counts.withColumn("_n", F.col("_n") - 1), "_n").drop("_n")
-    raise ValueError("keep must be False or 'first'")
+        out = _semi_or_anti(df, counts.drop("_n"), "left_semi")
+    elif keep == "first":
+        out = replicate_rows(counts.withColumn("_n", F.col("_n") - 1), "_n").drop("_n")
+    else:
+        raise ValueError("keep must be False or 'first'")
+    return out.orderBy(*sort_by) if sort_by else out
 
 
 def replicate_rows(df: DataFrame, count_col: str, chunk: int = REPLICATE_CHUNK) -> DataFrame:

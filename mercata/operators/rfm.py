@@ -110,7 +110,10 @@ def kmeans_elbow(
     """
     from pyspark.ml.clustering import KMeans
 
+    from mercata.session import ensure_checkpoint_dir
+
     spark = scaled.sparkSession
+    ensure_checkpoint_dir(spark)
     feats = _features(scaled, cols).select(*cols, "features").checkpoint(eager=True)
     rows = []
     for k in ks:

@@ -269,7 +269,7 @@ def q_null_profile(spark, d):
 
 @register("duplicate_rows")
 def q_duplicate_rows(spark, d):
-    return ql.duplicate_rows(_raw_tx(spark, d), keep=False)
+    return ql.duplicate_rows(_raw_tx(spark, d), keep=False, sort_by=["InvoiceNo", "InvoiceDate"])
 
 
 @register("duplicate_rows_later")

@@ -21,10 +21,10 @@ from mercata.sources.tables import read_table
 
 # Fixed values of the mappings.
 START_DAY = dt.date(1995, 1, 1)  # first o_orderdate
-SERVICE_START = dt.datetime(2022, 8, 24)  # first day of the delivery data window
+SERVICE_START = "2022-08-24 00:00:00"  # first moment of the delivery data window
 DASHBOARD_PERIOD_DAYS = 16  # 2022-08-24 .. 2022-09-08
 RETENTION_PERIOD_DAYS = 60  # long enough for every lifecycle class
-RETAIL_END = dt.datetime(1996, 2, 1)  # 13 calendar months of invoices
+RETAIL_END = "1996-02-01 00:00:00"  # 13 calendar months of invoices
 REDUCED_VAT_TYPES = ("ECONOMY", "STANDARD")
 CAMPAIGN_SPEND = 250_000
 
