@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercata.functions.lineage import materialize
 from mercata.operators import delivery as dl
 from mercata.operators import economics as ec
 from mercata.sources import fixtures as fx
@@ -309,12 +310,15 @@ def _rfm_tx(spark: SparkSession, d: str) -> DataFrame:
     return rf.with_line_total(ql.dedupe(tx))
 
 
-def _rfm(spark: SparkSession, d: str) -> DataFrame:
-    return rf.rfm_matrix(_rfm_tx(spark, d))
+def _rfm(spark: SparkSession, d: str, reused: bool = False) -> DataFrame:
+    """Customer-level R, F, M; checkpointed when the report references it
+    several times (quantile edges, scoring, k-means features and labels)."""
+    rfm = rf.rfm_matrix(_rfm_tx(spark, d))
+    return materialize(rfm) if reused else rfm
 
 
 def _coded(spark: SparkSession, d: str) -> DataFrame:
-    return rf.rfm_code(rf.rfm_scores(_rfm(spark, d)))
+    return rf.rfm_code(rf.rfm_scores(_rfm(spark, d, reused=True)))
 
 
 @register("line_total")
@@ -360,7 +364,7 @@ def q_kmeans_elbow(spark, d):
 
 
 def _segments(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    rfm = _rfm(spark, d)
+    rfm = _rfm(spark, d, reused=True)
     seg = rf.kmeans_segments(rfm, rf.rfm_standardize(rf.rfm_log(rfm)), k=k)
     return rfm.join(seg, "CustomerID")
 
@@ -392,7 +396,7 @@ def q_cluster_mean_bars(spark, d):
 
 @register("rfm_scores")
 def q_rfm_scores(spark, d):
-    return rf.rfm_scores(_rfm(spark, d))
+    return rf.rfm_scores(_rfm(spark, d, reused=True))
 
 
 @register("rfm_code")
