@@ -11,9 +11,10 @@ every step distributed:
    is bounded by ``n / accuracy``; with ``margin = 3 / accuracy`` the two
    values bracket the order statistics that ``p`` needs (groups of at most
    ``10 * accuracy`` values use ``[min, max]`` as the bracket).
-2. One pass that tags every value as below / inside / above its bracket
-   and counts by (group, p, zone, value) with map-side combine: below and
-   above collapse to one row each, inside stays ~``6 n / accuracy`` rows.
+2. The brackets reach every value as a scalar subquery (no groups) or by
+   an equi-join on the group keys. One pass counts values by (group, p,
+   value) with map-side combine, dropping values above the bracket and
+   folding values below it into one bucket: ~``6 n / accuracy`` rows stay.
 3. A window over that small remainder turns counts into ranks and picks
    the two order statistics, interpolated as ``lo + (hi - lo) * frac``.
 
@@ -64,88 +65,86 @@ def exact_quantiles(
 
     aggs = [F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")]
     for i, p in enumerate(probs):
-        aggs.append(bound(p - margin).alias(f"_lo{i}"))
-        aggs.append(bound(p + margin).alias(f"_hi{i}"))
+        aggs.append(bound(p - margin).alias(f"_alo{i}"))
+        aggs.append(bound(p + margin).alias(f"_ahi{i}"))
     stats = data_all.groupBy(*by).agg(*aggs)
 
-    # (group, probability) rows: bracket and the two ranks p needs. A group
-    # of at most small_n values is bracketed by [min, max] outright: the
-    # margin 3n/accuracy would not cover the +1 rank of the interpolation
-    # there, and the exact step over that many values is cheap anyway.
+    # Bracket per (group, probability). A group of at most small_n values is
+    # bracketed by [min, max] outright: there the margin 3n/accuracy would
+    # not cover the +1 rank of the interpolation, and the exact step over
+    # that many values is cheap anyway.
     small = F.col("_n") <= F.lit(small_n)
-    per_p = stats.select(
+    brackets = stats.select(
         *by,
         "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("pi"),
-                        F.lit(p).alias("p"),
-                        F.when(small, F.col("_min")).otherwise(F.col(f"_lo{i}")).alias("lo"),
-                        F.when(small, F.col("_max")).otherwise(F.col(f"_hi{i}")).alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("_b"),
-    ).select(*by, "_n", "_b.*")
-    pos = (F.col("_n") - 1).cast("double") * F.col("p")
-    per_p = (
-        per_p.withColumn("k0", F.floor(pos).cast("bigint"))
-        .withColumn("k1", F.least(F.col("k0") + 1, F.col("_n") - 1))
-        .withColumn("frac", pos - F.floor(pos))
+        *[F.when(small, F.col("_min")).otherwise(F.col(f"_alo{i}")).alias(f"_lo{i}") for i in range(len(probs))],
+        *[F.when(small, F.col("_max")).otherwise(F.col(f"_ahi{i}")).alias(f"_hi{i}") for i in range(len(probs))],
     )
-
-    # Tag each value against its bracket. Without groups the bracket side has
-    # len(probs) rows and is broadcast; with groups it has one row per group
-    # and probability, joined on the group keys (the planner's size check
-    # decides whether that is a broadcast).
+    bracket_cols = [c for c in brackets.columns if c not in by]
     if by:
-        joined = data.join(per_p, on=by, how="inner")
+        # One row per group, joined on the group keys (the planner's size
+        # check decides whether that is a broadcast).
+        tagged = data.join(brackets, on=by, how="inner")
     else:
-        joined = data.crossJoin(F.broadcast(per_p))
-    zone = (
-        F.when(F.col("_x") < F.col("lo"), F.lit(0))
-        .when(F.col("_x") > F.col("hi"), F.lit(2))
-        .otherwise(F.lit(1))
+        # One row: a scalar subquery, evaluated once and read by every task.
+        row = brackets.select(F.struct(*bracket_cols).alias("_b")).scalar()
+        tagged = data.withColumns({c: row[c] for c in bracket_cols})
+
+    # Each value is emitted once per probability whose bracket it does not
+    # exceed; values below a bracket share one NULL bucket, so map-side
+    # combine collapses them and only bracketed values stay distinct.
+    entries = F.array(
+        *[
+            F.struct(F.lit(i).alias("pi"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
+            for i in range(len(probs))
+        ]
     )
-    buckets = (
-        joined.withColumn("zone", zone)
-        .withColumn("v", F.when(F.col("zone") == 1, F.col("_x")))
-        .groupBy(*by, "pi", "k0", "k1", "frac", "zone", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+    rows = tagged.select(
+        *by, "_n", "_x", F.explode(F.filter(entries, lambda e: F.col("_x") <= e["hi"])).alias("_e")
+    ).select(
+        *by,
+        "_n",
+        F.col("_e.pi").alias("pi"),
+        F.when(F.col("_x") >= F.col("_e.lo"), F.col("_x")).alias("v"),
     )
-    w = Window.partitionBy(*by, "pi").orderBy("zone", "v").rowsBetween(
+    buckets = rows.groupBy(*by, "_n", "pi", "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by, "pi").orderBy(F.asc_nulls_first("v")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranked = buckets.withColumn("cum", F.sum("c").over(w))
 
-    # value at 0-based rank k = first bucket whose cumulative count exceeds k;
-    # all probabilities of a group are picked in one aggregate.
-    def pick(i: int, k: str) -> F.Column:
-        hit = (F.col("pi") == i) & (F.col("cum") > F.col(k))
-        return F.min(F.when(hit, F.struct(F.col("zone"), F.col("v"))))
-
-    aggs = []
-    for i in range(len(probs)):
+    # The value at 0-based rank k is the first bucket whose cumulative count
+    # exceeds k; all probabilities of a group are picked in one aggregate.
+    n = F.col("_n")
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        pos = (n - 1).cast("double") * F.lit(p)
+        k0 = F.floor(pos)
+        k1 = F.least(k0 + 1, n - 1)
+        mine = (F.col("pi") == i) & F.col("v").isNotNull()
         aggs += [
-            pick(i, "k0").alias(f"_a{i}"),
-            pick(i, "k1").alias(f"_b{i}"),
-            F.max(F.when(F.col("pi") == i, F.col("frac"))).alias(f"_f{i}"),
+            F.min(F.when(mine & (F.col("cum") > k0), F.col("v"))).alias(f"_a{i}"),
+            F.min(F.when(mine & (F.col("cum") > k1), F.col("v"))).alias(f"_b{i}"),
+            F.max(F.when(F.col("pi") == i, pos - k0)).alias(f"_f{i}"),
+            F.max(F.when(F.col("pi") == i, k0)).alias(f"_k{i}"),
+            F.sum(F.when((F.col("pi") == i) & F.col("v").isNull(), F.col("c"))).alias(f"_below{i}"),
         ]
     picked = ranked.groupBy(*by).agg(*aggs)
 
     def value(i: int) -> F.Column:
         a, b, f = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_f{i}")
-        ok = (a["zone"] == 1) & (b["zone"] == 1)
+        below = F.coalesce(F.col(f"_below{i}"), F.lit(0))
+        ok = a.isNotNull() & b.isNotNull() & (below <= F.col(f"_k{i}"))
         missed = F.raise_error(F.lit("exact_quantiles: rank bracket missed"))
-        return F.when(a.isNull(), F.lit(None)).when(
-            ok, a["v"] + (b["v"] - a["v"]) * f
-        ).otherwise(missed).cast("double")
+        return (
+            F.when(F.coalesce(F.col("_n"), F.lit(0)) == 0, F.lit(None))
+            .when(ok, a + (b - a) * f)
+            .otherwise(missed)
+            .cast("double")
+        )
 
     # A keyless aggregate returns one row even for empty input (NULLs).
-    out = picked.select(*by, *[value(i).alias(n) for i, n in enumerate(names)])
+    out = picked.select(*by, *[value(i).alias(nm) for i, nm in enumerate(names)])
     if by:
         # Groups whose values are all NULL keep a row with NULL quantiles.
         out = stats.select(*by).join(out, on=by, how="left")

@@ -107,9 +107,7 @@ def campaign_retention(
         .agg(F.count_distinct("user_id").alias("active_users"))
     )
     sizes = campaign_users.groupBy("campaign").agg(F.count_distinct("user_id").alias("_size"))
-    grid = sizes.crossJoin(
-        F.broadcast(spark.createDataFrame([(int(d),) for d in days], "day_offset int"))
-    )
+    grid = sizes.withColumn("day_offset", F.explode(F.array(*[F.lit(int(d)) for d in days])))
     return (
         grid.join(counts, ["campaign", "day_offset"], "left")
         .select(

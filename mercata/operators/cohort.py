@@ -71,11 +71,11 @@ def cohort_reconcile(tx: DataFrame, customer: str = "CustomerID", ts: str = "Inv
     first_col = cohort_matrix(tx, customer, ts).where(F.col("CohortIndex") == 1).agg(
         F.sum("n_customers").alias("first_column_total")
     )
-    distinct = tx.agg(F.count_distinct(customer).alias("distinct_customers"))
-    return first_col.crossJoin(distinct).select(
+    distinct = tx.agg(F.count_distinct(customer)).scalar()
+    return first_col.select(
         "first_column_total",
-        "distinct_customers",
-        (F.col("first_column_total") == F.col("distinct_customers")).alias("reconciled"),
+        distinct.alias("distinct_customers"),
+        (F.col("first_column_total") == distinct).alias("reconciled"),
     )
 
 

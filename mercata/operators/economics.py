@@ -76,10 +76,23 @@ def cost_model_frame(spark: SparkSession, periods: Sequence[tuple] = REFERENCE_C
 
 
 def _with_period(daily: DataFrame, model: DataFrame, date_col: str = "date") -> DataFrame:
-    """Attach the cost period in force on each date (model has a few rows)."""
+    """Attach the cost period in force on each date.
+
+    The model is a parameter table of a few rows: it travels as one array
+    (a scalar subquery, evaluated once) and each row picks its period with
+    an array filter, so no join is needed. It is applied to aggregated
+    (per-day) rows only; a date outside every period gets NULL terms.
+    """
+    periods = model.agg(F.collect_list(F.struct(*model.columns))).scalar()
     d = F.col(date_col)
-    return daily.join(
-        F.broadcast(model), (d >= F.col("effective_from")) & (d < F.col("effective_to"))
+    period = F.element_at(
+        F.filter("_periods", lambda p: (p["effective_from"] <= d) & (d < p["effective_to"])), 1
+    )
+    return (
+        daily.withColumn("_periods", periods)
+        .withColumn("_period", period)
+        .select("*", "_period.*")
+        .drop("_period", "_periods")
     )
 
 
@@ -155,10 +168,8 @@ def product_revenue_share(
     per name before folding, so the column need not total 100."""
     items = priced_items(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
     by_name = items.groupBy("name").agg(F.sum("cents").alias("rev"))
-    total = F.broadcast(by_name.agg(F.sum("rev").alias("_total")))
-    shares = by_name.crossJoin(total).withColumn(
-        "share_units", round_ratio_units(F.col("rev") * 100, F.col("_total"), 2)
-    )
+    total = by_name.agg(F.sum("rev")).scalar()
+    shares = by_name.withColumn("share_units", round_ratio_units(F.col("rev") * 100, total, 2))
     threshold_units = int(round(other_threshold * 100))
     folded = shares.select(
         F.when(F.col("share_units") < threshold_units, F.lit(other_label))

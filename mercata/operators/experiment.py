@@ -34,8 +34,12 @@ NULL_CURVE_HALF_WIDTH_SE = 8.5
 
 
 def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach one-row-per-experiment values: broadcast when there are no keys."""
-    return df.join(small, list(by)) if by else df.crossJoin(F.broadcast(small))
+    """Attach one-row-per-experiment values: an equi-join on the experiment
+    keys, or a scalar subquery (evaluated once) when there are none."""
+    if by:
+        return df.join(small, list(by))
+    row = small.select(F.struct(*small.columns).alias("_s")).scalar()
+    return df.withColumns({c: row[c] for c in small.columns})
 
 
 def exposure_threshold(df: DataFrame, q: float = TRIM_Q, by: Sequence[str] = (), col: str = EXPOSURE) -> DataFrame:
@@ -313,14 +317,13 @@ def ab_null_curve(
     """The H0 density of the difference on ``points`` evenly spaced x
     in +-half_width_se * SE, and whether x lies in a rejection tail."""
     nd = ab_null_distribution(df, by, alpha)
-    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
     lo = F.lit(-half_width_se) * F.col("se")
     step = F.lit(2.0 * half_width_se) * F.col("se") / F.lit(float(points - 1))
     x = lo + F.col("i") * step
     u = x / F.col("se")
     pdf = F.exp(F.lit(-0.5) * u * u) / (F.col("se") * F.lit((2.0 * 3.141592653589793) ** 0.5))
     return (
-        nd.crossJoin(F.broadcast(grid))
+        nd.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .select(
             *by,
             "i",

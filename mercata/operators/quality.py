@@ -134,27 +134,24 @@ def drop_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
 def histogram_frame(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """H1: equal-width histogram over [min, max] (last bin closed), all bins
     present: bin, bin_lo, bin_hi, n."""
-    spark = df.sparkSession
     x = F.col(col).cast("double")
-    rng = F.broadcast(df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    idx = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))
-    )
+    rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo = rng["lo"]
+    width = (rng["hi"] - lo) / F.lit(float(bins))
+    idx = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / width), F.lit(bins - 1)))
     counts = (
-        df.select(x.alias(col))
-        .where(F.col(col).isNotNull())
-        .crossJoin(rng)
+        df.where(x.isNotNull())
         .groupBy(idx.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(rng)
+    # Every bin is listed, empty ones with 0 (bins is a parameter).
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         grid.join(counts, "bin", "left")
         .select(
             "bin",
-            (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
-            (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+            (lo + F.col("bin") * width).alias("bin_lo"),
+            (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
             F.coalesce(F.col("n"), F.lit(0)).alias("n"),
         )
         .orderBy("bin")

@@ -68,14 +68,13 @@ def retained_vs_churned(
     if churn_rule not in ("reference", "gap"):
         raise ValueError("churn_rule must be 'reference' or 'gap'")
     nb = active_day_neighbours(user_actions, exclude_action)
-    last = F.broadcast(nb.agg(F.max("day").alias("_last_day")))
+    last_day = nb.agg(F.max("day")).scalar()
     base = F.col("previous_active_day") if churn_rule == "reference" else F.col("day")
     churn = (
         F.col("next_active_day").isNull() | (F.datediff("next_active_day", base) > 1)
-    ) & (F.col("day") != F.col("_last_day"))
+    ) & (F.col("day") != last_day)
     return (
-        nb.crossJoin(last)
-        .groupBy("day")
+        nb.groupBy("day")
         .agg(
             F.count_if(F.datediff("day", "previous_active_day") == 1).alias("retained_users"),
             F.count_if(churn).alias("churned_users"),

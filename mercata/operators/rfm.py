@@ -58,10 +58,10 @@ def rfm_matrix(
     per = tx.groupBy(customer).agg(
         F.max(ts).alias("_last"), freq.alias("Frequency"), F.sum(amount).alias("_m")
     )
-    snap = F.broadcast(per.agg(F.timestamp_add("DAY", F.lit(1), F.max("_last")).alias("_snap")))
-    return per.crossJoin(snap).select(
+    snap = per.agg(F.timestamp_add("DAY", F.lit(1), F.max("_last"))).scalar()
+    return per.select(
         customer,
-        F.timestamp_diff("DAY", F.col("_last"), F.col("_snap")).alias("Recency"),
+        F.timestamp_diff("DAY", F.col("_last"), snap).alias("Recency"),
         "Frequency",
         F.col("_m").cast("double").alias("MonetaryValue"),
     )
@@ -78,14 +78,13 @@ def rfm_standardize(df: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
     """Z-scores with the population standard deviation (as a fitted
     scikit-learn StandardScaler would produce). Mean and std come from one
     aggregate row broadcast to every task."""
-    stats = F.broadcast(
-        df.agg(
-            *[F.avg(c).alias(f"_mu_{c}") for c in cols],
-            *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols],
+    stats = df.agg(
+        F.struct(
+            *[F.avg(c).alias(f"mu_{c}") for c in cols],
+            *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols],
         )
-    )
-    z = {c: (F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}") for c in cols}
-    return df.crossJoin(stats).withColumns(z).select(*df.columns)
+    ).scalar()
+    return df.withColumns({c: (F.col(c) - stats[f"mu_{c}"]) / stats[f"sd_{c}"] for c in cols})
 
 
 def _features(scaled: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -212,16 +211,18 @@ def rfm_scores(rfm: DataFrame, q: int = 3, cols: Sequence[str] = RFM_COLS) -> Da
     )
     per_metric = exact_quantiles(long, "value", probs, [f"e{i}" for i in range(q + 1)], by=["metric"])
     edges = per_metric.agg(
-        *[
-            F.max(F.when(F.col("metric") == c, F.col(f"e{i}"))).alias(f"_{c}_e{i}")
-            for c in cols
-            for i in range(q + 1)
-        ]
-    )
-    out = rfm.crossJoin(F.broadcast(edges))
+        F.struct(
+            *[
+                F.max(F.when(F.col("metric") == c, F.col(f"e{i}"))).alias(f"{c}_e{i}")
+                for c in cols
+                for i in range(q + 1)
+            ]
+        )
+    ).scalar()
+    out = rfm
     scored = {}
     for c, name in zip(cols, ("R", "F", "M")):
-        es = [F.col(f"_{c}_e{i}") for i in range(q + 1)]
+        es = [edges[f"{c}_e{i}"] for i in range(q + 1)]
         dup = reduce_or([es[i] >= es[i + 1] for i in range(q)])
         b = quantile_bins(F.col(c).cast("double"), es)
         score = (F.lit(q + 1) - b) if name == "R" else b
@@ -280,11 +281,11 @@ def rfm_density(
 
     The KDE is binned: values are first counted into ``bins`` equal-width
     bins (one distributed aggregate), then the density on a ``grid``-point
-    axis is summed over bin centres, so the cost is bins x grid per metric
-    whatever the number of customers. Bandwidth: Scott's rule.
+    axis is summed over the bin centres (an array of at most ``bins``
+    entries per metric), so the cost is bins x grid per metric whatever the
+    number of customers. Bandwidth: Scott's rule.
     Output rows: metric, kind ('histogram' | 'kde'), x, value.
     """
-    spark = rfm.sparkSession
     long = rfm.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], list(cols), "metric", "x"
     ).where(F.col("x").isNotNull())
@@ -298,6 +299,7 @@ def rfm_density(
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))
     )
+    # st has one row per metric: a bounded broadcast on the metric key.
     hist = (
         long.join(F.broadcast(st), "metric")
         .groupBy("metric", b.cast("int").alias("bin"))
@@ -305,23 +307,24 @@ def rfm_density(
         .join(F.broadcast(st), "metric")
         .withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * width)
     )
+    # Each metric's non-empty bins as one array of at most `bins` entries;
+    # every grid point sums its kernel over that array.
+    per_metric = hist.groupBy("metric", "lo", "hi", "n", "sd").agg(
+        F.collect_list(F.struct("centre", "count")).alias("_bins")
+    )
     axis = (
-        spark.range(grid)
-        .select(F.col("id").cast("int").alias("g"))
-        .crossJoin(F.broadcast(st))
+        per_metric.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .withColumn("gx", F.col("lo") + F.col("g") * (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1)))
         .withColumn("bw", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-        .select("metric", "g", "gx", "bw", "n")
-    )
-    kern = F.exp(-0.5 * F.pow((F.col("gx") - F.col("centre")) / F.col("bw"), 2)) / (
-        F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5)
     )
-    density = (
-        axis.join(hist.select("metric", "centre", "count"), "metric")
-        .groupBy("metric", "g", "gx", "n")
-        .agg(F.sum(F.col("count") * kern).alias("_s"))
-        .select("metric", F.col("gx").alias("x"), (F.col("_s") / F.col("n")).alias("density"))
+    norm = F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5) * F.col("n")
+    kernel_sum = F.aggregate(
+        "_bins",
+        F.lit(0.0),
+        lambda acc, e: acc
+        + e["count"] * F.exp(-0.5 * F.pow((F.col("gx") - e["centre"]) / F.col("bw"), 2)),
     )
+    density = axis.select("metric", F.col("gx").alias("x"), (kernel_sum / norm).alias("density"))
     counts = hist.select(
         "metric",
         F.lit("histogram").alias("kind"),
