@@ -210,15 +210,23 @@ def new_vs_old_revenue(
 
     cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     first = first_seen(user_actions, "user_id").withColumnRenamed("date", "min_date")
-    rows = (
+    # Order costs join on order_id; rows are then summed per (date, user)
+    # with map-side combine before the join on user_id, so a heavy user
+    # reaches that join as at most one row per day.
+    per_user_day = (
         not_in(user_actions, "order_id", cancelled)
         .select(F.to_date("time").alias("date"), "user_id", "order_id")
         .join(order_costs(orders, products), "order_id", "left")
-        .join(first, "user_id", "left")
+        .groupBy("date", "user_id")
+        .agg(F.sum("order_cost").alias("cost"))
     )
-    daily = rows.groupBy("date").agg(
-        F.sum("order_cost").alias("rev"),
-        F.sum(F.when(F.col("date") == F.col("min_date"), F.col("order_cost"))).alias("new_rev"),
+    daily = (
+        per_user_day.join(first, "user_id", "left")
+        .groupBy("date")
+        .agg(
+            F.sum("cost").alias("rev"),
+            F.sum(F.when(F.col("date") == F.col("min_date"), F.col("cost"))).alias("new_rev"),
+        )
     )
     share = round_ratio_units(F.col("new_rev") * 100, F.col("rev"), 2)
     return daily.select(
