@@ -88,3 +88,18 @@ def test_skewed_user_does_not_change_results(spark):
     assert got == want
     ranked = actions.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()
     assert ranked.user_id == 0 and ranked.n == 1000
+
+
+def test_many_experiments_in_one_pass(spark, sf_dir):
+    """by=[experiment] gives each experiment the numbers it gets alone."""
+    base = QUERIES["ab_trim"](spark, sf_dir).drop("threshold")
+    two = base.withColumn("experiment", F.lit("e1")).unionByName(
+        base.where(F.col("user_id") % 3 != 0).withColumn("experiment", F.lit("e2"))
+    )
+    together = {r.experiment: r for r in ab.ab_ztest(two, by=["experiment"]).collect()}
+    alone = ab.ab_ztest(base.where(F.col("user_id") % 3 != 0)).collect()[0]
+    assert together["e2"].z == alone.z and together["e2"].n_test == alone.n_test
+    eff = {r.experiment: r.effect_size for r in ab.ab_effect_size(two, by=["experiment"]).collect()}
+    assert eff["e1"] == ab.ab_effect_size(base).collect()[0].effect_size
+    trimmed = ab.ab_trim(two, by=["experiment"]).groupBy("experiment").count().collect()
+    assert {r.experiment: r["count"] for r in trimmed}["e1"] == ab.ab_trim(base).count()
