@@ -58,11 +58,19 @@ def cohort_matrix_wide(
     ts: str = "InvoiceDate",
 ) -> DataFrame:
     """C2 (wide form): one row per cohort, one column per index; a missing
-    cell is NULL (not 0). Pivot values are explicit, so no extra job."""
+    cell is NULL (not 0). Pivot values are explicit, so no extra job to find
+    them; an index outside ``indices`` raises instead of being dropped."""
     long = cohort_matrix(tx, customer, ts)
     wide = long.groupBy("CohortMonth").pivot("CohortIndex", list(indices)).agg(F.first("n_customers"))
+    outside = long.agg(
+        F.count_if(~F.col("CohortIndex").isin(*[int(i) for i in indices]))
+    ).scalar()
+    guard = F.when(
+        outside > 0, F.raise_error(F.lit("cohort_matrix_wide: cohort index outside `indices`"))
+    )
     return wide.select(
-        "CohortMonth", *[F.col(str(i)).cast("bigint").alias(f"m{i}") for i in indices]
+        "CohortMonth",
+        *[F.coalesce(guard, F.col(str(i))).cast("bigint").alias(f"m{i}") for i in indices],
     ).orderBy("CohortMonth")
 
 

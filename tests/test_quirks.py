@@ -218,3 +218,11 @@ def test_skipped_cohort_month_is_null(spark):
     )
     row = ch.cohort_matrix_wide(tx, indices=(1, 2, 3)).collect()[0]
     assert (row.m1, row.m2, row.m3) == (1, None, 1)
+
+
+def test_wide_cohort_rejects_unlisted_index(spark):
+    tx = spark.createDataFrame(
+        [(1, dt.datetime(2011, 1, 5)), (1, dt.datetime(2011, 4, 5))], "CustomerID bigint, InvoiceDate timestamp_ntz"
+    )
+    with pytest.raises(PySparkException, match="outside"):
+        ch.cohort_matrix_wide(tx, indices=(1, 2, 3)).collect()
