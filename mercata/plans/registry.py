@@ -597,12 +597,10 @@ def q_engagement_ctr(spark, d):
 
 @register("audience_slices")
 def q_audience_slices(spark, d):
-    from mercata.sources.tables import read_table
-
     users = pr.event_users_with_profile(
         fx.events(spark, d),
-        read_table(spark, d, "customer"),
-        read_table(spark, d, "nation"),
-        read_table(spark, d, "region"),
+        fx.read_table(spark, d, "customer"),
+        fx.read_table(spark, d, "nation"),
+        fx.read_table(spark, d, "region"),
     )
     return pr.audience_slices(users, ["segment", "nation", "region"])

@@ -17,7 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercata.functions.rounding import int_div
-from mercata.sources.tables import read_table
+from mercata.sources import tables as _tables
+
+# One DataFrame handle per (session, table): the driver tables are
+# immutable, so the file listing and footer reads of a scan are done once
+# per session, as a catalog table would (every query still scans the data).
+_HANDLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, folder.rstrip("/"), name)
+    df = _HANDLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _HANDLES[key] = _tables.read_table(spark, folder, name)
+    return df
 
 # Fixed values of the mappings.
 START_DAY = dt.date(1995, 1, 1)  # first o_orderdate
