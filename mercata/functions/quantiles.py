@@ -56,18 +56,23 @@ def exact_quantiles(
     data_all = df.select(*by, F.col(column).cast("double").alias("_x"))
     data = data_all.where(F.col("_x").isNotNull())
 
-    def bound(p: float) -> F.Column:
-        if p <= 0.0:
-            return F.min("_x")
-        if p >= 1.0:
-            return F.max("_x")
-        return F.percentile_approx("_x", p, accuracy)
-
-    aggs = [F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")]
-    for i, p in enumerate(probs):
-        aggs.append(bound(p - margin).alias(f"_alo{i}"))
-        aggs.append(bound(p + margin).alias(f"_ahi{i}"))
-    stats = data_all.groupBy(*by).agg(*aggs)
+    # One sketch per group for every bracket end: percentile_approx with an
+    # array of percentages (clipped to [0, 1]; the ends are exact there).
+    ends = []
+    for p in probs:
+        ends += [min(max(p - margin, 0.0), 1.0), min(max(p + margin, 0.0), 1.0)]
+    aggs = [
+        F.count("_x").alias("_n"),
+        F.min("_x").alias("_min"),
+        F.max("_x").alias("_max"),
+        F.percentile_approx("_x", ends, accuracy).alias("_ends"),
+    ]
+    stats = data_all.groupBy(*by).agg(*aggs).withColumns(
+        {
+            **{f"_alo{i}": F.col("_ends")[2 * i] for i in range(len(probs))},
+            **{f"_ahi{i}": F.col("_ends")[2 * i + 1] for i in range(len(probs))},
+        }
+    )
 
     # Bracket per (group, probability). A group of at most small_n values is
     # bracketed by [min, max] outright: there the margin 3n/accuracy would
