@@ -95,7 +95,6 @@ def campaign_retention(
 ) -> DataFrame:
     """Share of a campaign's users active N days after their first
     activity, for N in ``days`` (0 % rows included)."""
-    spark = campaign_users.sparkSession
     active = user_actions.select("user_id", F.to_date("time").alias("day")).distinct()
     first = F.min("day").over(Window.partitionBy("user_id"))
     offsets = active.withColumn("day_offset", F.datediff("day", first)).where(

@@ -8,7 +8,9 @@ feature frame, since the elbow scan fits it up to 14 times.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
@@ -223,7 +225,7 @@ def rfm_scores(rfm: DataFrame, q: int = 3, cols: Sequence[str] = RFM_COLS) -> Da
     scored = {}
     for c, name in zip(cols, ("R", "F", "M")):
         es = [edges[f"{c}_e{i}"] for i in range(q + 1)]
-        dup = reduce_or([es[i] >= es[i + 1] for i in range(q)])
+        dup = reduce(operator.or_, [es[i] >= es[i + 1] for i in range(q)])
         b = quantile_bins(F.col(c).cast("double"), es)
         score = (F.lit(q + 1) - b) if name == "R" else b
         scored[name] = F.when(
@@ -232,13 +234,6 @@ def rfm_scores(rfm: DataFrame, q: int = 3, cols: Sequence[str] = RFM_COLS) -> Da
     return out.withColumns(scored).select(*rfm.columns, "R", "F", "M")
 
 
-def reduce_or(conds):
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
 def rfm_code(scored: DataFrame) -> DataFrame:
     """RFM_cluster = "RFM" digits, RFM_score = R + F + M."""
     return scored.withColumns(
