@@ -25,8 +25,15 @@ from mercata.sources import tables as _tables
 _HANDLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        return str(id(spark))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"), name)
+    key = (_session_key(spark), folder.rstrip("/"), name)
     df = _HANDLES.get(key)
     if df is None or df.sparkSession is not spark:
         df = _HANDLES[key] = _tables.read_table(spark, folder, name)
