@@ -604,3 +604,13 @@ def q_audience_slices(spark, d):
         fx.read_table(spark, d, "region"),
     )
     return pr.audience_slices(users, ["segment", "nation", "region"])
+
+
+@register("ab_exposure_histogram_trimmed")
+def q_ab_exposure_histogram_trimmed(spark, d):
+    return _r(ql.histogram_frame(_ab2(spark, d), "total_ads", 30), 9)
+
+
+@register("ab_exposure_describe_trimmed")
+def q_ab_exposure_describe_trimmed(spark, d):
+    return _r(ql.describe_numeric(_ab2(spark, d), ["total_ads"]))
