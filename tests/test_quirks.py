@@ -226,3 +226,48 @@ def test_wide_cohort_rejects_unlisted_index(spark):
     )
     with pytest.raises(PySparkException, match="outside"):
         ch.cohort_matrix_wide(tx, indices=(1, 2, 3)).collect()
+
+
+def test_frequency_lines_vs_distinct_invoices(spark):
+    tx = spark.createDataFrame(
+        [(1, 1, "a", 1, dt.datetime(2011, 1, 1), "1.00", 10, "UK"),
+         (1, 2, "b", 1, dt.datetime(2011, 1, 1), "2.00", 10, "UK"),
+         (2, 1, "a", 1, dt.datetime(2011, 1, 2), "1.00", 10, "UK")],
+        "InvoiceNo bigint, StockCode bigint, Description string, Quantity int, InvoiceDate timestamp_ntz, "
+        "UnitPrice string, CustomerID bigint, Country string",
+    ).withColumn("UnitPrice", F.col("UnitPrice").cast("decimal(12,2)"))
+    lt = rf.with_line_total(tx)
+    assert rf.rfm_matrix(lt).first().Frequency == 3  # invoice lines (reference)
+    assert rf.rfm_matrix(lt, distinct_invoices=True).first().Frequency == 2
+    assert rf.rfm_matrix(lt).first().MonetaryValue == 4.0
+
+
+def test_lag_sanity_top_k(spark):
+    # previous-day anomalies cannot occur in well-formed data: empty either way
+    actions = ua(spark, [(u, u, "create_order", ts(u % 5)) for u in range(30)])
+    assert rt.lag_sanity(actions).count() == 0
+    assert rt.lag_sanity(actions, limit=20).count() == 0
+
+
+def test_other_threshold_and_label(spark):
+    orders = spark.createDataFrame([(1, ts(0), [1, 2, 3])], ORDERS)
+    products = spark.createDataFrame(
+        [(1, "a", "1.00"), (2, "b", "2.00"), (3, "c", "97.00")], "product_id bigint, name string, price string"
+    ).withColumn("price", F.col("price").cast("decimal(12,2)"))
+    actions = ua(spark, [(1, 1, "create_order", ts(0))])
+    rows = {
+        r.product_name: (r.revenue, r.share_in_revenue)
+        for r in ec.product_revenue_share(orders, actions, products, other_threshold=5, other_label="OTHER").collect()
+    }
+    assert rows == {"OTHER": (3.0, 3.0), "c": (97.0, 97.0)}
+
+
+def test_heatmap_clipping_and_labels(spark):
+    tx = spark.createDataFrame(
+        [(c, dt.datetime(2011, 1, 5)) for c in range(8)] + [(c, dt.datetime(2011, 2, 5)) for c in range(5)],
+        "CustomerID bigint, InvoiceDate timestamp_ntz",
+    )
+    rows = {r.CohortIndex: r for r in ch.cohort_heatmap_frame(tx).collect()}
+    assert rows[1].rate == 1.0 and rows[1].rate_clipped == 0.5 and rows[1].label == "100.0%"
+    assert rows[2].rate == 0.625 and rows[2].rate_clipped == 0.5 and rows[2].label == "62.5%"
+    assert rows[1].cohort_label == "2011-01"
