@@ -66,3 +66,25 @@ def mark_not_in(df: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame
         )
         .drop("_hit")
     )
+
+
+SALT_BUCKETS = 16
+
+
+def salted_join(
+    big: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner", buckets: int = SALT_BUCKETS
+) -> DataFrame:
+    """Equi-join a large side with a side holding one row per key, salted.
+
+    A key that holds a large share of ``big`` would put all its rows in one
+    join task (AQE's skew split does not apply when the other side is an
+    aggregate). Each ``big`` row gets a deterministic salt in
+    ``[0, buckets)`` from a hash of the whole row, and ``per_key`` is
+    replicated once per salt, so a hot key's rows spread over ``buckets``
+    tasks. Results equal the plain join (inner or left); the one-row-per-key
+    side grows ``buckets`` times, which is what the split costs.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(buckets))
+    salted_big = big.withColumn("_salt", salt)
+    salted_keys = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted_big.join(salted_keys, [*on, "_salt"], how).drop("_salt")

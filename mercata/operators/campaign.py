@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import not_in
+from mercata.functions.joins import not_in, salted_join
 from mercata.functions.rounding import cents_to_money, round_ratio
 from mercata.operators.delivery import cancelled_orders
 from mercata.operators.economics import priced_items
@@ -34,8 +34,9 @@ def paid_orders(
         .agg(F.sum("cents").alias("rev_cents"))
     )
     created = orders.select("order_id", F.to_date("creation_time").alias("date"))
+    # A user with a large share of the orders is spread over several tasks.
     return (
-        campaign_users.join(owners, "user_id")
+        salted_join(owners, campaign_users, ["user_id"])
         .join(created, "order_id")
         .join(revenue, "order_id", "left")
     )

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercata.functions.joins import salted_join
 from mercata.functions.rounding import round_ratio, round_ratio_units
 
 
@@ -23,12 +24,15 @@ def _month_index(month: F.Column, cohort: F.Column) -> F.Column:
 
 
 def cohort_assign(tx: DataFrame, customer: str = "CustomerID", ts: str = "InvoiceDate") -> DataFrame:
-    """Every transaction plus YearMonth, CohortMonth and CohortIndex."""
+    """Every transaction plus YearMonth, CohortMonth and CohortIndex.
+
+    Row-preserving, so every line meets its customer's first month in a
+    join; the join is salted so a customer holding a large share of the
+    lines is spread over several tasks.
+    """
     first = tx.groupBy(customer).agg(F.min(F.trunc(ts, "month")).alias("CohortMonth"))
-    return (
-        tx.withColumn("YearMonth", F.trunc(ts, "month"))
-        .join(first, customer)
-        .withColumn("CohortIndex", _month_index(F.col(ts), F.col("CohortMonth")).cast("int"))
+    return salted_join(tx.withColumn("YearMonth", F.trunc(ts, "month")), first, [customer]).withColumn(
+        "CohortIndex", _month_index(F.col(ts), F.col("CohortMonth")).cast("int")
     )
 
 

@@ -103,3 +103,24 @@ def test_many_experiments_in_one_pass(spark, sf_dir):
     assert eff["e1"] == ab.ab_effect_size(base).collect()[0].effect_size
     trimmed = ab.ab_trim(two, by=["experiment"]).groupBy("experiment").count().collect()
     assert {r.experiment: r["count"] for r in trimmed}["e1"] == ab.ab_trim(base).count()
+
+
+def test_salted_join_equals_plain_join_and_spreads_a_hot_key(spark):
+    from mercata.functions.joins import salted_join
+
+    rows = [(0 if i % 3 == 0 else i % 500 + 1, i) for i in range(6000)]
+    big = spark.createDataFrame(rows, "k bigint, v bigint")
+    per_key = spark.createDataFrame([(k, k * 10) for k in range(0, 400)], "k bigint, w bigint")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(per_key, ["k"], how).select("k", "v", "w").collect()))
+        got = sorted(map(tuple, salted_join(big, per_key, ["k"], how).select("k", "v", "w").collect()))
+        assert got == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        hot = salted_join(big, per_key, ["k"]).where(F.col("k") == 0)
+        parts = hot.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 2000
