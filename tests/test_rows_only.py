@@ -115,12 +115,16 @@ def test_salted_join_equals_plain_join_and_spreads_a_hot_key(spark):
         want = sorted(map(tuple, big.join(per_key, ["k"], how).select("k", "v", "w").collect()))
         got = sorted(map(tuple, salted_join(big, per_key, ["k"], how).select("k", "v", "w").collect()))
         assert got == want
+    # Force a shuffled join and keep its partitions as they are (at this size
+    # AQE would otherwise broadcast or coalesce them).
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         hot = salted_join(big, per_key, ["k"]).where(F.col("k") == 0)
         parts = hot.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(parts) > 1 and sum(r["count"] for r in parts) == 2000
