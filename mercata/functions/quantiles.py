@@ -29,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercata.functions.joins import salted_join
+
 DEFAULT_ACCURACY = 100_000
 
 
@@ -87,9 +89,9 @@ def exact_quantiles(
     )
     bracket_cols = [c for c in brackets.columns if c not in by]
     if by:
-        # One row per group, joined on the group keys (the planner's size
-        # check decides whether that is a broadcast).
-        tagged = data.join(brackets, on=by, how="inner")
+        # One row per group, joined on the group keys; salted so a group
+        # holding most of the values is spread over several tasks.
+        tagged = salted_join(data, brackets, by)
     else:
         # One row: a scalar subquery, evaluated once and read by every task.
         row = brackets.select(F.struct(*bracket_cols).alias("_b")).scalar()

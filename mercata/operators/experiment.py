@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercata.functions.joins import salted_join
 from mercata.functions.quantiles import exact_quantiles
 from mercata.functions.rounding import round_ratio, round_ratio_units, units_to_double
 from mercata.functions.stats import normal_cdf, two_sided_p, z_quantile
@@ -37,7 +38,7 @@ def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Attach one-row-per-experiment values: an equi-join on the experiment
     keys, or a scalar subquery (evaluated once) when there are none."""
     if by:
-        return df.join(small, list(by))
+        return salted_join(df, small, list(by))
     row = small.select(F.struct(*small.columns).alias("_s")).scalar()
     return df.withColumns({c: row[c] for c in small.columns})
 
@@ -167,7 +168,8 @@ def ab_exposure_balance(df: DataFrame, by: Sequence[str] = (), col: str = EXPOSU
     whiskers at the most extreme values within 1.5 IQR, outlier count)."""
     keys = [*by, GROUP]
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=keys)
-    t = df.select(*keys, F.col(col).cast("double").alias("_x")).join(q, keys)
+    # Few groups, one usually dominant: the join back to the rows is salted.
+    t = salted_join(df.select(*keys, F.col(col).cast("double").alias("_x")), q, keys)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
