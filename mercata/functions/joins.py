@@ -84,7 +84,9 @@ def salted_join(
     tasks. Results equal the plain join (inner or left); the one-row-per-key
     side grows ``buckets`` times, which is what the split costs.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(buckets))
+    # Map columns cannot be hashed; the other columns identify the row enough.
+    hashable = [f.name for f in big.schema.fields if f.dataType.typeName() != "map"] or big.columns[:1]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(buckets))
     salted_big = big.withColumn("_salt", salt)
     salted_keys = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted_big.join(salted_keys, [*on, "_salt"], how).drop("_salt")
