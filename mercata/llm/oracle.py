@@ -25,6 +25,102 @@ FROM keyed k LEFT JOIN frequent f USING (key)
 GROUP BY rid
 """
 
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce({}, '')") + f", '{_WORD}')"
+
+_DECONTAMINATE = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, {_WORDS.format("text")} AS w FROM documents
+), i AS (
+  SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[p + 1 : p + least(10, len(w))], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 9))) AS p FROM i WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT rid, size, p, array_to_string(w[p + 1 : p + size], ' ') AS win
+  FROM (SELECT rid, w, size, unnest(range(len(w) - size + 1)) AS p FROM d, sizes WHERE len(w) >= size)
+), found AS (
+  SELECT rid, size, p, item_id FROM doc_windows JOIN item_windows USING (size, win)
+), hit AS (
+  SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS q FROM found) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM found) GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+_WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS head FROM p
+)
+SELECT page_id, strlen(body) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (k // 4)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM f
+"""
+
+_CHAT = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER () AS rid
+  FROM conversations
+), answers AS (
+  SELECT conv_id, max(struct_pack(turn := turn, text := text)) AS last
+  FROM t WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id
+), swaps AS (
+  SELECT a.conv_id, a.last, b.last.text AS swap
+  FROM answers a LEFT JOIN answers b ON b.conv_id = xor(a.conv_id, 1)
+), other AS (
+  SELECT t.conv_id, t.turn, t.role,
+         coalesce(t.role = 'assistant' AND t.turn IS NOT DISTINCT FROM s.last.turn AND t.text = s.last.text, false) AS is_last,
+         t.text, s.swap
+  FROM t LEFT JOIN swaps s ON t.conv_id = s.conv_id
+), chosen AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS a
+  FROM t GROUP BY conv_id
+), rejected AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS b
+  FROM (SELECT conv_id, turn, role, CASE WHEN is_last THEN swap ELSE text END AS text
+        FROM other WHERE NOT (is_last AND swap IS NULL))
+  GROUP BY conv_id
+), cut AS (
+  SELECT c.conv_id, a, b,
+         coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n
+  FROM chosen c JOIN rejected r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+), parts AS (
+  SELECT conv_id, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM cut
+), drawn AS (
+  SELECT conv_id, n, len(a) = 0 AND len(b) = 0 AS same,
+         list_transform(p, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS p,
+         list_transform(a, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS ra,
+         list_transform(b, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS rb,
+         a, b
+  FROM parts
+)
+SELECT conv_id, n AS n_prompt, same,
+       sha256(array_to_string(p, '')) AS prompt_sha256,
+       sha256(array_to_string(ra, '')) AS chosen_sha256,
+       sha256(array_to_string(rb, '')) AS rejected_sha256,
+       array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant'),
+         lambda i: (coalesce(list_sum(list_transform(ra[1:i - 1], lambda x: length(x))), 0)::BIGINT + 13 + length(a[i].role)) || '-'
+                || (list_sum(list_transform(ra[1:i], lambda x: length(x)))::BIGINT)), ',') AS chosen_spans,
+       array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: b[i].role = 'assistant'),
+         lambda i: (coalesce(list_sum(list_transform(rb[1:i - 1], lambda x: length(x))), 0)::BIGINT + 13 + length(b[i].role)) || '-'
+                || (list_sum(list_transform(rb[1:i], lambda x: length(x)))::BIGINT)), ',') AS rejected_spans
+FROM drawn
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
+    "op2_decontaminate": _DECONTAMINATE,
+    "op5_warc": _WARC,
+    "op8_preference_pairs": _CHAT,
 }
