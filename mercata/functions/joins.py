@@ -10,9 +10,16 @@ shuffle-hash or (when the size check allows) broadcast join.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows with a NULL key match nothing; they are dealt to so many places.
+NULL_PARTS = 64
+
 
 def action_orders(actions: DataFrame, action: str, key: str = "order_id") -> DataFrame:
     """Distinct, null-free keys of rows with the given action."""
@@ -25,7 +32,17 @@ def action_orders(actions: DataFrame, action: str, key: str = "order_id") -> Dat
 
 def _set_is_empty(keys: DataFrame) -> F.Column:
     """Scalar subquery: TRUE when ``keys`` has no rows (evaluated once per query)."""
-    return keys.select((F.count(F.lit(1)) == 0).alias("_empty")).scalar()
+    return keys.limit(1).select((F.count(F.lit(1)) == 0).alias("_empty")).scalar()
+
+
+def _left_flag(df: DataFrame, key: str, marked: DataFrame) -> DataFrame:
+    """Left join on one key that deals rows with a NULL key round."""
+    null_salt = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_PARTS)) + 1)
+    return (
+        df.withColumn("_salt", F.coalesce(null_salt, F.lit(0)))
+        .join(marked.withColumn("_salt", F.lit(0).cast("bigint")), on=[key, "_salt"], how="left")
+        .drop("_salt")
+    )
 
 
 def not_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -45,7 +62,7 @@ def with_flag(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     ``keys`` must be distinct so the left join cannot multiply rows.
     """
     marked = keys.select(key).withColumn(flag, F.lit(True))
-    return df.join(marked, on=key, how="left").withColumn(
+    return _left_flag(df, key, marked).withColumn(
         flag, F.coalesce(F.col(flag), F.lit(False))
     )
 
@@ -59,7 +76,7 @@ def mark_not_in(df: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame
     """
     marked = keys.select(key).withColumn("_hit", F.lit(True))
     return (
-        df.join(marked, on=key, how="left")
+        _left_flag(df, key, marked)
         .withColumn(
             out,
             F.when(F.col(key).isNull(), _set_is_empty(keys)).otherwise(F.col("_hit").isNull()),
@@ -68,25 +85,43 @@ def mark_not_in(df: DataFrame, key: str, keys: DataFrame, out: str) -> DataFrame
     )
 
 
-SALT_BUCKETS = 16
+#: A key is hot if it holds this part of all rows; at most so many keys can be.
+HOT_PARTS = 256
 
 
-def salted_join(
-    big: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner", buckets: int = SALT_BUCKETS
+def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the columns of a one-row-per-group frame to every row of ``df``.
+
+    An equi-join on the group keys, broadcast where the planner's size check
+    allows; a scalar subquery (evaluated once) when there are no groups.
+    """
+    if by:
+        return df.join(per_group, list(by))
+    row = per_group.select(F.struct(*per_group.columns).alias("_s")).scalar()
+    return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
+
+
+def join_per_key(
+    big: DataFrame, per_key: DataFrame, on: Sequence[str], rows: str = "_rows", how: str = "left"
 ) -> DataFrame:
-    """Equi-join a large side with a side holding one row per key, salted.
-
-    A key that holds a large share of ``big`` would put all its rows in one
-    join task (AQE's skew split does not apply when the other side is an
-    aggregate). Each ``big`` row gets a deterministic salt in
-    ``[0, buckets)`` from a hash of the whole row, and ``per_key`` is
-    replicated once per salt, so a hot key's rows spread over ``buckets``
-    tasks. Results equal the plain join (inner or left); the one-row-per-key
-    side grows ``buckets`` times, which is what the split costs.
+    """Equi-join a large side with a side that has one row per key.
+
+    ``per_key`` tells in ``rows`` how many rows of ``big`` each key has (the
+    column is dropped). A key with 1 / HOT_PARTS of all rows or more is hot:
+    there are at most HOT_PARTS of them, so they are broadcast, their rows are
+    dealt round to several tasks (equal rows too), and only their one row is
+    replicated. All other keys join as they are. Rows with a NULL key match
+    nothing and are dealt round as well (``how`` 'left' keeps them).
     """
-    # Map columns cannot be hashed; the other columns identify the row enough.
-    hashable = [f.name for f in big.schema.fields if f.dataType.typeName() != "map"] or big.columns[:1]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(buckets))
-    salted_big = big.withColumn("_salt", salt)
-    salted_keys = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted_big.join(salted_keys, [*on, "_salt"], how).drop("_salt")
+    on = list(on)
+    total = per_key.agg(F.sum(rows)).scalar()
+    parts = F.ceil(F.col(rows) * F.lit(HOT_PARTS) / total).cast("int")
+    sized = per_key.withColumn("_parts", F.when(F.col(rows) * HOT_PARTS >= total, parts).otherwise(F.lit(1)))
+    hot = sized.where(F.col("_parts") > 1).select(*on, F.col("_parts").alias("_hot"))
+    missing = reduce(operator.or_, [F.col(c).isNull() for c in on])
+    spread = F.when(missing, F.lit(HOT_PARTS)).otherwise(F.coalesce(F.col("_hot"), F.lit(1)))
+    salted = big.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), spread).cast("int")
+    )
+    keys = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return salted.drop("_hot").join(keys.drop("_parts", rows), [*on, "_salt"], how).drop("_salt")

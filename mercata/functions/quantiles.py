@@ -1,37 +1,143 @@
-"""Exact, linearly interpolated quantiles without a single-reducer value map.
+"""Exact, linearly interpolated quantiles by distributed selection.
 
 Spark's exact ``percentile`` merges a value->count map of the whole column
 on one reducer; on a high-cardinality column at cluster scale that is one
 task holding everything. The method here is exact (same answer as
-``percentile`` / pandas ``quantile`` / DuckDB ``quantile_cont``) and keeps
-every step distributed:
-
-1. One aggregate pass per group: ``count`` and ``percentile_approx`` at
-   ``p - margin`` and ``p + margin``. The approximate quantile's rank error
-   is bounded by ``n / accuracy``; with ``margin = 3 / accuracy`` the two
-   values bracket the order statistics that ``p`` needs (groups of at most
-   ``10 * accuracy`` values use ``[min, max]`` as the bracket).
-2. The brackets reach every value as a scalar subquery (no groups) or by
-   an equi-join on the group keys. One pass counts values by (group, p,
-   value) with map-side combine, dropping values above the bracket and
-   folding values below it into one bucket: ~``6 n / accuracy`` rows stay.
-3. A window over that small remainder turns counts into ranks and picks
-   the two order statistics, interpolated as ``lo + (hi - lo) * frac``.
-
-If the bracket ever missed (it cannot, given the bound) the result raises
-instead of being silently wrong.
+``percentile`` / pandas ``quantile`` / DuckDB ``quantile_cont``), is the
+same at every size, and gathers no group anywhere:
+
+1. Values are counted by (group, value) with map-side combine, so repeated
+   values collapse to one row however hot they are.
+2. Each order statistic a probability needs is a target rank. A histogram of
+   ``BINS`` equal bins between the group's ends finds the bin that holds the
+   rank; a second one refines that bin. What meets in one row is a group's
+   histogram: at most ``BINS`` counts a target.
+3. A window over the values of the refined bin picks the value at the rank;
+   two neighbouring ranks are interpolated as ``lo + (hi - lo) * frac``.
+
+A bin number is a monotone function of the value (clamped at both ends), so
+rounding at bin edges can't put values out of order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import salted_join
+from mercata.functions.joins import attach
+from mercata.functions.lineage import materialize
 
-DEFAULT_ACCURACY = 100_000
+BINS = 4096
+LEVELS = 2
+
+
+def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _x, _c): how often each value (as a double) occurs; NULL and NaN are NULL."""
+    x = F.col(column).cast("double")
+    return (
+        df.select(*by, F.when(~F.isnan(x), x).alias("_x"))
+        .groupBy(*by, "_x")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+
+
+def _bin(x: Column, edge: Column) -> Column:
+    """Bin of ``x`` in ``BINS`` equal bins of an edge (lo, width); one bin if it has no width."""
+    place = F.floor((x - edge["lo"]) / edge["width"])
+    flat = (edge["width"] <= 0) | (edge["width"] == float("inf"))
+    return F.when(flat, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(place, F.lit(BINS - 1)))).cast("int")
+
+
+def _in_play(counts: DataFrame, state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Values that lie in the bins found so far for some target, a row each."""
+    rows = attach(counts.where(F.col("_x").isNotNull()), state, by)
+    return rows.select(*by, "_x", "_c", F.explode("_targets").alias("_t")).where(
+        F.forall("_t.path", lambda e: _bin(F.col("_x"), e) == e["bin"])
+    )
+
+
+def _refine(counts: DataFrame, state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One histogram level: each target's path gets the bin that holds its rank."""
+    rows = _in_play(counts, state, by)
+    hist = rows.groupBy(*by, "_t", _bin(F.col("_x"), F.col("_t.edge")).alias("bin")).agg(F.sum("_c").alias("c"))
+    per_target = hist.groupBy(*by, "_t").agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("bins"))
+    zero = F.struct(F.col("_t.below").alias("below"), F.lit(None).cast("int").alias("bin"))
+
+    def walk(s: Column, e: Column) -> Column:
+        ends_before = s["below"] + e["c"] <= F.col("_t.rank")
+        return (
+            F.when(s["bin"].isNotNull(), s)
+            .when(ends_before, F.struct((s["below"] + e["c"]).alias("below"), s["bin"].alias("bin")))
+            .otherwise(F.struct(s["below"].alias("below"), e["bin"].alias("bin")))
+        )
+
+    found = per_target.withColumn("_f", F.aggregate("bins", zero, walk))
+    edge = F.col("_t.edge")
+    target = F.struct(
+        F.col("_t.i").alias("i"),
+        F.col("_t.rank").alias("rank"),
+        F.col("_f.below").alias("below"),
+        F.struct(
+            (edge["lo"] + F.col("_f.bin") * edge["width"]).alias("lo"), (edge["width"] / BINS).alias("width")
+        ).alias("edge"),
+        F.concat(
+            F.col("_t.path"),
+            F.array(F.struct(edge["lo"].alias("lo"), edge["width"].alias("width"), F.col("_f.bin").alias("bin"))),
+        ).alias("path"),
+    )
+    return found.groupBy(*by).agg(F.collect_list(target).alias("_targets"))
+
+
+def quantiles_of_counts(
+    counts: DataFrame, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Quantiles of (by, _x, _c) value counts: one row per group."""
+    by = list(by)
+    present = F.col("_x").isNotNull()
+    stats = counts.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(present, F.col("_c"))), F.lit(0)).alias("_n"),
+        F.min("_x").alias("_lo"),
+        F.max("_x").alias("_hi"),
+    )
+    ranks = []
+    for p in probs:
+        k0 = F.floor((F.col("_n") - 1).cast("double") * F.lit(float(p)))
+        ranks += [k0, F.least(k0 + 1, F.col("_n") - 1)]
+    edge = F.struct(F.col("_lo").alias("lo"), ((F.col("_hi") - F.col("_lo")) / F.lit(float(BINS))).alias("width"))
+    path = F.array().cast("array<struct<lo:double,width:double,bin:int>>")
+    targets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                r.cast("bigint").alias("rank"),
+                F.lit(0).cast("bigint").alias("below"),
+                edge.alias("edge"),
+                path.alias("path"),
+            )
+            for i, r in enumerate(ranks)
+        ]
+    )
+    state = stats.where(F.col("_n") > 0).select(*by, targets.alias("_targets"))
+    for _ in range(LEVELS):
+        state = _refine(counts, state, by)
+    left = _in_play(counts, state, by)
+    upto = Window.partitionBy(*by, "_t.i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = left.withColumn("_cum", F.col("_t.below") + F.sum("_c").over(upto)).where(F.col("_cum") > F.col("_t.rank"))
+    picked = reached.groupBy(*by).agg(
+        *[F.min(F.when(F.col("_t.i") == i, F.col("_x"))).alias(f"_v{i}") for i in range(2 * len(probs))]
+    )
+
+    def value(j: int) -> Column:
+        a, b = F.col(f"_v{2 * j}"), F.col(f"_v{2 * j + 1}")
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(probs[j]))
+        return F.when(F.col("_n") > 0, a + (b - a) * (pos - F.floor(pos))).cast("double")
+
+    joined = stats.join(picked, by, "left") if by else attach(stats, picked, [])
+    out = joined.select(*by, *[value(j).alias(nm) for j, nm in enumerate(names)])
+    # One row a group, which reports refer to several times: written once.
+    return materialize(out)
 
 
 def exact_quantiles(
@@ -40,132 +146,27 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     by: Sequence[str] = (),
-    accuracy: int = DEFAULT_ACCURACY,
 ) -> DataFrame:
     """One row per group of ``by`` with one double column per probability.
 
-    NULL values are ignored (as pandas and SQL do). A group with no values
+    NULL and NaN values are ignored (as pandas does). A group with no values
     yields NULL quantiles.
     """
-    by = list(by)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q_{str(p).replace('.', '_')}" for p in probs]
     if len(names) != len(probs):
         raise ValueError("names and probs differ in length")
-    margin = 3.0 / accuracy
-    small_n = 10 * accuracy
-
-    data_all = df.select(*by, F.col(column).cast("double").alias("_x"))
-    data = data_all.where(F.col("_x").isNotNull())
+    return quantiles_of_counts(value_counts(df, column, by), probs, names, by)
 
-    # One sketch per group for every bracket end: percentile_approx with an
-    # array of percentages (clipped to [0, 1]; the ends are exact there).
-    ends = []
-    for p in probs:
-        ends += [min(max(p - margin, 0.0), 1.0), min(max(p + margin, 0.0), 1.0)]
-    aggs = [
-        F.count("_x").alias("_n"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-        F.percentile_approx("_x", ends, accuracy).alias("_ends"),
-    ]
-    stats = data_all.groupBy(*by).agg(*aggs).withColumns(
-        {
-            **{f"_alo{i}": F.col("_ends")[2 * i] for i in range(len(probs))},
-            **{f"_ahi{i}": F.col("_ends")[2 * i + 1] for i in range(len(probs))},
-        }
-    )
 
-    # Bracket per (group, probability). A group of at most small_n values is
-    # bracketed by [min, max] outright: there the margin 3n/accuracy would
-    # not cover the +1 rank of the interpolation, and the exact step over
-    # that many values is cheap anyway.
-    small = F.col("_n") <= F.lit(small_n)
-    brackets = stats.select(
-        *by,
-        "_n",
-        *[F.when(small, F.col("_min")).otherwise(F.col(f"_alo{i}")).alias(f"_lo{i}") for i in range(len(probs))],
-        *[F.when(small, F.col("_max")).otherwise(F.col(f"_ahi{i}")).alias(f"_hi{i}") for i in range(len(probs))],
-    )
-    bracket_cols = [c for c in brackets.columns if c not in by]
-    if by:
-        # One row per group, joined on the group keys; salted so a group
-        # holding most of the values is spread over several tasks.
-        tagged = salted_join(data, brackets, by)
-    else:
-        # One row: a scalar subquery, evaluated once and read by every task.
-        row = brackets.select(F.struct(*bracket_cols).alias("_b")).scalar()
-        tagged = data.withColumns({c: row[c] for c in bracket_cols})
-
-    # Each value is emitted once per probability whose bracket it does not
-    # exceed; values below a bracket share one NULL bucket, so map-side
-    # combine collapses them and only bracketed values stay distinct.
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("pi"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
-            for i in range(len(probs))
-        ]
-    )
-    rows = tagged.select(
-        *by, "_n", "_x", F.explode(F.filter(entries, lambda e: F.col("_x") <= e["hi"])).alias("_e")
-    ).select(
-        *by,
-        "_n",
-        F.col("_e.pi").alias("pi"),
-        F.when(F.col("_x") >= F.col("_e.lo"), F.col("_x")).alias("v"),
-    )
-    buckets = rows.groupBy(*by, "_n", "pi", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by, "pi").orderBy(F.asc_nulls_first("v")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = buckets.withColumn("cum", F.sum("c").over(w))
-
-    # The value at 0-based rank k is the first bucket whose cumulative count
-    # exceeds k; all probabilities of a group are picked in one aggregate.
-    n = F.col("_n")
-    aggs = [F.max("_n").alias("_n")]
-    for i, p in enumerate(probs):
-        pos = (n - 1).cast("double") * F.lit(p)
-        k0 = F.floor(pos)
-        k1 = F.least(k0 + 1, n - 1)
-        mine = (F.col("pi") == i) & F.col("v").isNotNull()
-        aggs += [
-            F.min(F.when(mine & (F.col("cum") > k0), F.col("v"))).alias(f"_a{i}"),
-            F.min(F.when(mine & (F.col("cum") > k1), F.col("v"))).alias(f"_b{i}"),
-            F.max(F.when(F.col("pi") == i, pos - k0)).alias(f"_f{i}"),
-            F.max(F.when(F.col("pi") == i, k0)).alias(f"_k{i}"),
-            F.sum(F.when((F.col("pi") == i) & F.col("v").isNull(), F.col("c"))).alias(f"_below{i}"),
-        ]
-    picked = ranked.groupBy(*by).agg(*aggs)
-
-    def value(i: int) -> F.Column:
-        a, b, f = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_f{i}")
-        below = F.coalesce(F.col(f"_below{i}"), F.lit(0))
-        ok = a.isNotNull() & b.isNotNull() & (below <= F.col(f"_k{i}"))
-        missed = F.raise_error(F.lit("exact_quantiles: rank bracket missed"))
-        return (
-            F.when(F.coalesce(F.col("_n"), F.lit(0)) == 0, F.lit(None))
-            .when(ok, a + (b - a) * f)
-            .otherwise(missed)
-            .cast("double")
-        )
-
-    # A keyless aggregate returns one row even for empty input (NULLs).
-    out = picked.select(*by, *[value(i).alias(nm) for i, nm in enumerate(names)])
-    if by:
-        # Groups whose values are all NULL keep a row with NULL quantiles.
-        out = stats.select(*by).join(out, on=by, how="left")
-    return out
-
-
-def quantile_bins(value: F.Column, edges: Sequence[F.Column]) -> F.Column:
+def quantile_bins(value: Column, edges: Sequence[Column]) -> Column:
     """1-based bin of ``value`` for right-closed bins ``(e0, e1], (e1, e2] ...``.
 
-    The lowest edge is included in the first bin (pandas ``qcut``).
+    The lowest edge is included in the first bin (pandas ``qcut``); a NULL
+    value has no bin.
     """
-    expr = None
-    for i, edge in enumerate(edges[1:-1], start=1):
-        cond = value <= edge
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
     last = len(edges) - 1
-    return expr.otherwise(F.lit(last)) if expr is not None else F.lit(1)
+    expr = F.when(value.isNull(), F.lit(None).cast("int"))
+    for i, edge in enumerate(edges[1:-1], start=1):
+        expr = expr.when(value <= edge, F.lit(i))
+    return expr.otherwise(F.lit(last))

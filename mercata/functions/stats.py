@@ -1,9 +1,9 @@
 """Normal-distribution helpers for the experiment statistics.
 
-Spark SQL has no ``erf``/``erfc``. The only place a normal CDF is needed
-(p-value, power) is on already aggregated rows, one per experiment, so an
-Arrow-batched pandas UDF over ``math.erfc`` is used there; quantile
-constants are computed once on the driver from the standard library.
+Spark SQL has no ``erf``/``erfc``. Both are Column arithmetic here: the
+(all-positive) series of erf near zero, the continued fraction of erfc
+beyond it. Quantile constants are computed once on the driver from the
+standard library.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 STD_NORMAL = NormalDist()
+#: Terms of the series, levels of the fraction, and where one takes over from the other.
+SERIES_TERMS, FRACTION_LEVELS, SERIES_END = 80, 60, 3.0
 
 
 def z_quantile(p: float) -> float:
@@ -25,23 +24,36 @@ def z_quantile(p: float) -> float:
     return STD_NORMAL.inv_cdf(p)
 
 
-@pandas_udf(T.DoubleType())
-def _erfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.erfc(v) if v is not None and not math.isnan(v) else float("nan"))
+def _once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _erfc_positive(x: Column) -> Column:
+    two_xx = F.lit(2.0) * x * x
+    series = F.lit(1.0)
+    for n in range(SERIES_TERMS, 0, -1):
+        series = F.lit(1.0) + two_xx * F.lit(1.0 / (2 * n + 1)) * series
+    bell = F.exp(-x * x)
+    near = F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * x * bell * series
+    fraction = F.lit(1.0)
+    for n in range(FRACTION_LEVELS, 0, -1):
+        fraction = F.lit(1.0) + F.lit(float(n)) / two_xx / fraction
+    far = bell / (x * F.lit(math.sqrt(math.pi)) * fraction)
+    return F.when(x < SERIES_END, near).otherwise(far)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function (NULL stays NULL)."""
+    positive = _once(F.abs(x), _erfc_positive)
+    return F.when(x < 0, F.lit(2.0) - positive).otherwise(positive)
 
 
 def normal_cdf(x: Column) -> Column:
-    """Phi(x) = erfc(-x / sqrt 2) / 2 (vectorised UDF; NULL stays NULL)."""
-    return F.when(x.isNotNull(), _erfc(-x / F.lit(math.sqrt(2.0))) / 2.0)
+    """Phi(x) = erfc(-x / sqrt 2) / 2."""
+    return _once(-x / F.lit(math.sqrt(2.0)), erfc) / F.lit(2.0)
 
 
 def two_sided_p(z: Column) -> Column:
     """2 * (1 - Phi(|z|)) = erfc(|z| / sqrt 2)."""
-    return F.when(z.isNotNull(), _erfc(F.abs(z) / F.lit(math.sqrt(2.0))))
-
-
-def normal_pdf(x: Column, loc: Column | float = 0.0, scale: Column | float = 1.0) -> Column:
-    loc = loc if isinstance(loc, Column) else F.lit(float(loc))
-    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    u = (x - loc) / scale
-    return F.exp(-0.5 * u * u) / (scale * F.lit(math.sqrt(2.0 * math.pi)))
+    return _once(F.abs(z) / F.lit(math.sqrt(2.0)), _erfc_positive)

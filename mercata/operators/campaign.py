@@ -2,8 +2,9 @@
 
 The reference lists the metrics (CAC, ROI, AOV, retention, ARPPU) of a
 campaign report whose code it does not include; the definitions here are
-the standard ones. Inputs: ``campaign_users(campaign, user_id)``,
-``spend(campaign, amount)`` and the delivery service tables.
+the standard ones. Inputs: ``campaign_users(campaign, user_id)``, one row a
+user, ``spend(campaign, amount)`` and the delivery service tables. A campaign
+without a spend row (organic users) stays, with NULL spend and NULL ratios.
 """
 
 from __future__ import annotations
@@ -13,10 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import not_in, salted_join
-from mercata.functions.rounding import cents_to_money, round_ratio
+from mercata.functions.joins import not_in
+from mercata.functions.rounding import cents_to_money, round_ratio, to_cents
 from mercata.operators.delivery import cancelled_orders
-from mercata.operators.economics import priced_items
 
 RETENTION_DAYS = (0, 1, 3, 7)
 
@@ -27,19 +27,23 @@ def paid_orders(
     """campaign, user_id, order_id, date, rev_cents for surviving orders of
     campaign users (orders without a priced product have NULL revenue)."""
     cancelled = cancelled_orders(user_actions)
-    owners = not_in(user_actions, "order_id", cancelled).select("user_id", "order_id").distinct()
+    # Campaign users come first: only their orders are unpacked and priced.
+    owners = (
+        not_in(user_actions, "order_id", cancelled)
+        .select("user_id", "order_id")
+        .distinct()
+        .join(campaign_users, "user_id")
+    )
+    bought = owners.join(orders, "order_id").select(
+        "campaign", "user_id", "order_id", F.to_date("creation_time").alias("date"), "product_ids"
+    )
+    items = bought.select("user_id", "order_id", F.explode("product_ids").alias("product_id"))
     revenue = (
-        priced_items(orders, products, cancelled)
-        .groupBy("order_id")
+        items.join(products.select("product_id", to_cents(F.col("price")).alias("cents")), "product_id")
+        .groupBy("user_id", "order_id")
         .agg(F.sum("cents").alias("rev_cents"))
     )
-    created = orders.select("order_id", F.to_date("creation_time").alias("date"))
-    # A user with a large share of the orders is spread over several tasks.
-    return (
-        salted_join(owners, campaign_users, ["user_id"])
-        .join(created, "order_id")
-        .join(revenue, "order_id", "left")
-    )
+    return bought.drop("product_ids").join(revenue, ["user_id", "order_id"], "left")
 
 
 def _totals(campaign_users: DataFrame, paid: DataFrame, spend: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def _totals(campaign_users: DataFrame, paid: DataFrame, spend: DataFrame) -> Dat
         F.sum("rev_cents").alias("rev_cents"),
     )
     return (
-        users.join(F.broadcast(spend), "campaign")
+        users.join(spend, "campaign", "left")
         .join(agg, "campaign", "left")
         .fillna(0, ["paying_users", "n_orders", "rev_cents"])
     )
@@ -81,14 +85,33 @@ def campaign_roi(campaign_users, user_actions, orders, products, spend) -> DataF
 
 
 def campaign_aov(campaign_users, user_actions, orders, products, spend) -> DataFrame:
-    """D3: orders, revenue and average order value (revenue / orders, 2 dp)."""
-    t = _totals(campaign_users, paid_orders(campaign_users, user_actions, orders, products), spend)
-    return t.select(
-        "campaign",
-        "n_orders",
-        cents_to_money(F.col("rev_cents")).alias("revenue"),
-        round_ratio(F.col("rev_cents"), F.col("n_orders") * 100, 2).alias("aov"),
-    ).orderBy("campaign")
+    """D3: mean over paying users of their own average order value (2 dp),
+    with orders, revenue and revenue per order beside it.
+
+    A user's average is a whole number of cents over a whole number of orders;
+    the mean of these is taken in doubles and rounded at the end."""
+    paid = paid_orders(campaign_users, user_actions, orders, products)
+    per_user = paid.groupBy("campaign", "user_id").agg(
+        F.coalesce(F.sum("rev_cents"), F.lit(0)).alias("cents"), F.count_distinct("order_id").alias("n")
+    )
+    totals = per_user.groupBy("campaign").agg(
+        F.sum("n").alias("n_orders"),
+        F.sum("cents").alias("cents"),
+        F.avg(F.col("cents").cast("double") / F.col("n") / F.lit(100.0)).alias("aov"),
+    )
+    every = campaign_users.select("campaign").distinct()
+    return (
+        every.join(totals, "campaign", "left")
+        .fillna(0, ["n_orders", "cents"])
+        .select(
+            "campaign",
+            "n_orders",
+            cents_to_money(F.col("cents")).alias("revenue"),
+            F.round("aov", 2).alias("aov"),
+            round_ratio(F.col("cents"), F.col("n_orders") * 100, 2).alias("revenue_per_order"),
+        )
+        .orderBy("campaign")
+    )
 
 
 def campaign_retention(
@@ -132,7 +155,7 @@ def campaign_arppu(campaign_users, user_actions, orders, products, spend) -> Dat
     daily = (
         daily_rev.join(new_payers, ["campaign", "date"], "full")
         .fillna(0, ["rev", "new_payers"])
-        .join(F.broadcast(spend), "campaign")
+        .join(spend, "campaign", "left")
     )
     w = Window.partitionBy("campaign").orderBy("date")
     cum_rev = F.sum("rev").over(w)

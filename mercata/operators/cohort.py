@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import salted_join
+from mercata.functions.joins import join_per_key
 from mercata.functions.rounding import round_ratio, round_ratio_units
 
 
@@ -26,19 +26,22 @@ def _month_index(month: F.Column, cohort: F.Column) -> F.Column:
 def cohort_assign(tx: DataFrame, customer: str = "CustomerID", ts: str = "InvoiceDate") -> DataFrame:
     """Every transaction plus YearMonth, CohortMonth and CohortIndex.
 
-    Row-preserving, so every line meets its customer's first month in a
-    join; the join is salted so a customer holding a large share of the
-    lines is spread over several tasks.
+    Row-preserving: lines without a customer stay, with NULL CohortMonth and
+    CohortIndex. Every line meets its customer's first month in a join that
+    spreads customers holding a large share of the lines.
     """
-    first = tx.groupBy(customer).agg(F.min(F.trunc(ts, "month")).alias("CohortMonth"))
-    return salted_join(tx.withColumn("YearMonth", F.trunc(ts, "month")), first, [customer]).withColumn(
+    first = tx.where(F.col(customer).isNotNull()).groupBy(customer).agg(
+        F.min(F.trunc(ts, "month")).alias("CohortMonth"), F.count(F.lit(1)).alias("_rows")
+    )
+    return join_per_key(tx.withColumn("YearMonth", F.trunc(ts, "month")), first, [customer]).withColumn(
         "CohortIndex", _month_index(F.col(ts), F.col("CohortMonth")).cast("int")
     )
 
 
 def customer_months(tx: DataFrame, customer: str = "CustomerID", ts: str = "InvoiceDate") -> DataFrame:
-    """Distinct (customer, YearMonth) with CohortMonth and CohortIndex."""
-    months = tx.select(customer, F.trunc(ts, "month").alias("YearMonth")).distinct()
+    """Distinct (customer, YearMonth) with CohortMonth and CohortIndex; lines
+    without a customer belong to no cohort."""
+    months = tx.where(F.col(customer).isNotNull()).select(customer, F.trunc(ts, "month").alias("YearMonth")).distinct()
     cohort = F.min("YearMonth").over(Window.partitionBy(customer))
     return months.withColumn("CohortMonth", cohort).withColumn(
         "CohortIndex", _month_index(F.col("YearMonth"), F.col("CohortMonth")).cast("int")
@@ -55,26 +58,25 @@ def cohort_matrix(tx: DataFrame, customer: str = "CustomerID", ts: str = "Invoic
     )
 
 
+def pivot_wide(
+    long: DataFrame, row: Sequence[str], column: str, value: str, values: Sequence, prefix: str = "m"
+) -> DataFrame:
+    """Long cells as one row per ``row`` and one column per listed value; a
+    missing cell is NULL. The values are a parameter of the report, so no job
+    looks for them; a cell outside them raises instead of being dropped."""
+    wide = long.groupBy(*row).pivot(column, list(values)).agg(F.first(value))
+    outside = long.agg(F.count_if(~F.col(column).isin(*values))).scalar()
+    guard = F.when(outside > 0, F.raise_error(F.lit(f"{column} outside the listed values")))
+    kind = long.schema[value].dataType
+    return wide.select(*row, *[F.coalesce(guard, F.col(f"`{v}`")).cast(kind).alias(f"{prefix}{v}") for v in values])
+
+
 def cohort_matrix_wide(
-    tx: DataFrame,
-    indices: Sequence[int] = tuple(range(1, 14)),
-    customer: str = "CustomerID",
-    ts: str = "InvoiceDate",
+    tx: DataFrame, indices: Sequence[int], customer: str = "CustomerID", ts: str = "InvoiceDate"
 ) -> DataFrame:
-    """C2 (wide form): one row per cohort, one column per index; a missing
-    cell is NULL (not 0). Pivot values are explicit, so no extra job to find
-    them; an index outside ``indices`` raises instead of being dropped."""
-    long = cohort_matrix(tx, customer, ts)
-    wide = long.groupBy("CohortMonth").pivot("CohortIndex", list(indices)).agg(F.first("n_customers"))
-    outside = long.agg(
-        F.count_if(~F.col("CohortIndex").isin(*[int(i) for i in indices]))
-    ).scalar()
-    guard = F.when(
-        outside > 0, F.raise_error(F.lit("cohort_matrix_wide: cohort index outside `indices`"))
-    )
-    return wide.select(
-        "CohortMonth",
-        *[F.coalesce(guard, F.col(str(i))).cast("bigint").alias(f"m{i}") for i in indices],
+    """C2 (wide form): one row per cohort, one column per index of ``indices``."""
+    return pivot_wide(
+        cohort_matrix(tx, customer, ts), ["CohortMonth"], "CohortIndex", "n_customers", [int(i) for i in indices]
     ).orderBy("CohortMonth")
 
 
@@ -108,6 +110,14 @@ def cohort_retention_rate(tx: DataFrame, customer: str = "CustomerID", ts: str =
     ).orderBy("CohortMonth", "CohortIndex")
 
 
+def cohort_retention_wide(
+    tx: DataFrame, indices: Sequence[int], customer: str = "CustomerID", ts: str = "InvoiceDate"
+) -> DataFrame:
+    """C4 (wide form): retention in % per cohort row and index column."""
+    long = cohort_retention_rate(tx, customer, ts)
+    return pivot_wide(long, ["CohortMonth"], "CohortIndex", "retention", [int(i) for i in indices]).orderBy("CohortMonth")
+
+
 def cohort_heatmap_frame(
     tx: DataFrame, vmax: float = 0.5, customer: str = "CustomerID", ts: str = "InvoiceDate"
 ) -> DataFrame:

@@ -35,18 +35,22 @@ def given_or_cancelled(
     return cancelled if cancelled is not None else cancelled_orders(user_actions, action)
 
 
+def _daily_presence(rows: DataFrame, ts: str, key: str, cancelled: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Per date, distinct keys and distinct keys with a non-cancelled order row.
+
+    Two levels: one row per (date, key) with map-side combine, then plain
+    counts; a hot date is spread over its keys, and no row is expanded."""
+    dated = rows.select(F.to_date(ts).alias("date"), F.col(key).alias("_k"), "order_id")
+    marked = mark_not_in(dated, "order_id", cancelled, "_ok")
+    per_key = marked.groupBy("date", "_k").agg(F.max(F.coalesce("_ok", F.lit(False))).alias("_ok"))
+    return per_key.groupBy("date").agg(
+        F.count("_k").alias(names[0]), F.count_if(F.col("_ok") & F.col("_k").isNotNull()).alias(names[1])
+    )
+
+
 def daily_users(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
     """date, uniq_users, uniq_paying_users (users with a non-cancelled order row)."""
-    marked = mark_not_in(
-        user_actions.select(F.to_date("time").alias("date"), "user_id", "order_id"),
-        "order_id",
-        cancelled,
-        "_ok",
-    )
-    return marked.groupBy("date").agg(
-        F.count_distinct("user_id").alias("uniq_users"),
-        F.count_distinct(F.when(F.col("_ok"), F.col("user_id"))).alias("uniq_paying_users"),
-    )
+    return _daily_presence(user_actions, "time", "user_id", cancelled, ("uniq_users", "uniq_paying_users"))
 
 
 def daily_core_metrics(
@@ -58,32 +62,10 @@ def daily_core_metrics(
     absent; missing courier or order sides are NULL."""
     cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
     users = daily_users(user_actions, cancelled)
-    couriers = (
-        mark_not_in(
-            courier_actions.select(F.to_date("time").alias("date"), "courier_id", "order_id"),
-            "order_id",
-            cancelled,
-            "_ok",
-        )
-        .groupBy("date")
-        .agg(
-            F.count_distinct("courier_id").alias("uniq_couriers"),
-            F.count_distinct(F.when(F.col("_ok"), F.col("courier_id"))).alias("uniq_active_couriers"),
-        )
-    )
-    order_counts = (
-        mark_not_in(
-            orders.select(F.to_date("creation_time").alias("date"), "order_id"),
-            "order_id",
-            cancelled,
-            "_ok",
-        )
-        .groupBy("date")
-        .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.count_distinct(F.when(F.col("_ok"), F.col("order_id"))).alias("successful_orders"),
-        )
+    couriers = _daily_presence(
+        courier_actions, "time", "courier_id", cancelled, ("uniq_couriers", "uniq_active_couriers")
     )
+    order_counts = _daily_presence(orders, "creation_time", "order_id", cancelled, ("orders", "successful_orders"))
     return (
         users.join(couriers, "date", "left")
         .join(order_counts, "date", "left")

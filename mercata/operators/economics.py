@@ -4,8 +4,8 @@ Money is carried in bigint cents and printed as doubles; ratios are rounded
 exactly (see ``mercata.functions.rounding``). The products dimension is
 joined without a hint: the planner's broadcast threshold (a size check on
 the scan) decides between broadcast and shuffle join, and AQE re-plans
-from real sizes. Only parameter tables of bounded size are broadcast
-explicitly (cost model periods, VAT name list, one-row totals).
+from real sizes. Nothing is broadcast by a hint; cost model periods and
+one-row totals travel as scalar subqueries.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.joins import not_in, with_flag
+from mercata.functions.lineage import materialize
 from mercata.functions.rounding import (
     cents_to_money,
     round_ratio,
@@ -80,8 +81,9 @@ def _with_period(daily: DataFrame, model: DataFrame, date_col: str = "date") ->
 
     The model is a parameter table of a few rows: it travels as one array
     (a scalar subquery, evaluated once) and each row picks its period with
-    an array filter, so no join is needed. It is applied to aggregated
-    (per-day) rows only; a date outside every period gets NULL terms.
+    an array filter, so no join is needed. It is applied to aggregated rows
+    (per day, or per day and courier); a date outside every period gets NULL
+    terms.
     """
     periods = model.agg(F.collect_list(F.struct(*model.columns))).scalar()
     d = F.col(date_col)
@@ -111,15 +113,32 @@ def priced_items(orders: DataFrame, products: DataFrame, cancelled: DataFrame |
     )
 
 
+def sold_units(orders: DataFrame, cancelled: DataFrame | None) -> DataFrame:
+    """(date, product_id, units) of surviving orders by creation date.
+
+    Basket entries are counted before they meet their price, so the join
+    sees days x products rows and a hot product is one row a day."""
+    if cancelled is not None:
+        orders = not_in(orders, "order_id", cancelled)
+    items = orders.select(F.to_date("creation_time").alias("date"), F.explode("product_ids").alias("product_id"))
+    return items.groupBy("date", "product_id").agg(F.count(F.lit(1)).alias("units"))
+
+
+def sales(orders: DataFrame, products: DataFrame, cancelled: DataFrame | None) -> DataFrame:
+    """(date, product_id, name, units, cents): takings per day and priced product."""
+    priced = products.select("product_id", "name", to_cents(F.col("price")).alias("_c"))
+    return sold_units(orders, cancelled).join(priced, "product_id").select(
+        "date", "product_id", "name", "units", (F.col("units") * F.col("_c")).alias("cents")
+    )
+
+
 def daily_revenue(
     orders: DataFrame, user_actions: DataFrame, products: DataFrame, cancel_action: str = CANCEL,
     cancelled: DataFrame | None = None
 ) -> DataFrame:
     """Revenue by creation date, running total, day-over-day % change."""
-    items = priced_items(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
-    daily = items.groupBy(F.to_date("creation_time").alias("date")).agg(
-        F.sum("cents").alias("rev")
-    )
+    sold = sales(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
+    daily = sold.groupBy("date").agg(F.sum("cents").alias("rev"))
     w = Window.orderBy("date")
     prev = F.lag("rev").over(w)
     return daily.select(
@@ -166,8 +185,8 @@ def product_revenue_share(
     """Revenue and % share by product name; names whose rounded share is
     below the threshold fold into one ``other_label`` row. Shares are rounded
     per name before folding, so the column need not total 100."""
-    items = priced_items(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
-    by_name = items.groupBy("name").agg(F.sum("cents").alias("rev"))
+    sold = sales(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
+    by_name = sold.groupBy("name").agg(F.sum("cents").alias("rev"))
     total = by_name.agg(F.sum("rev")).scalar()
     shares = by_name.withColumn("share_units", round_ratio_units(F.col("rev") * 100, total, 2))
     threshold_units = int(round(other_threshold * 100))
@@ -251,9 +270,9 @@ def vat_extract(
 
     tax = round(price * r / (1 + r), 2), computed in integer cents:
     ``(2*p*r + (100+r)) div (2*(100+r))`` for a rate of r percent.
-    ``reduced_names`` is a small parameter table (one column ``name``).
+    ``reduced_names`` has one column ``name``; its size decides the join.
     """
-    names = F.broadcast(reduced_names.select("name").distinct())
+    names = reduced_names.select("name").distinct()
     flagged = with_flag(products.select("product_id", "name", "price"), "name", names, "_reduced")
     cents = to_cents(F.col("price"))
     rate = F.when(F.col("_reduced"), F.lit(reduced_percent)).otherwise(F.lit(standard_percent))
@@ -271,11 +290,12 @@ def revenue_and_tax(
     orders: DataFrame, cancelled: DataFrame, taxed_products: DataFrame
 ) -> DataFrame:
     """date, rev_cents, tax_cents of surviving orders by creation date."""
-    items = order_items(not_in(orders, "order_id", cancelled)).join(
-        taxed_products.select("product_id", "price", "tax_cents"), "product_id"
+    items = sold_units(orders, cancelled).join(
+        taxed_products.select("product_id", to_cents(F.col("price")).alias("_c"), "tax_cents"), "product_id"
     )
-    return items.groupBy(F.to_date("creation_time").alias("date")).agg(
-        F.sum(to_cents(F.col("price"))).alias("rev_cents"), F.sum("tax_cents").alias("tax_cents")
+    return items.groupBy("date").agg(
+        F.sum(F.col("units") * F.col("_c")).alias("rev_cents"),
+        F.sum(F.col("units") * F.col("tax_cents")).alias("tax_cents"),
     )
 
 
@@ -353,7 +373,9 @@ def gross_profit(
     deliver_action: str = DELIVER,
 ) -> DataFrame:
     """Daily P&L with running totals and margins (2 dp)."""
-    cancelled = given_or_cancelled(cancelled, user_actions, cancel_action)
+    # One set of cancelled orders serves revenue, packing and delivery.
+    if cancelled is None:
+        cancelled = materialize(given_or_cancelled(None, user_actions, cancel_action))
     taxed = vat_extract(products, reduced_names)
     rev_tax = revenue_and_tax(orders, cancelled, taxed)
     costs = daily_costs(user_actions, courier_actions, model, cancel_action, cancelled, deliver_action)

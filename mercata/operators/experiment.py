@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import salted_join
-from mercata.functions.quantiles import exact_quantiles
+from mercata.functions.joins import attach
+from mercata.functions.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from mercata.functions.rounding import round_ratio, round_ratio_units, units_to_double
 from mercata.functions.stats import normal_cdf, two_sided_p, z_quantile
 
@@ -34,15 +34,6 @@ NULL_CURVE_POINTS = 1000
 NULL_CURVE_HALF_WIDTH_SE = 8.5
 
 
-def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach one-row-per-experiment values: an equi-join on the experiment
-    keys, or a scalar subquery (evaluated once) when there are none."""
-    if by:
-        return salted_join(df, small, list(by))
-    row = small.select(F.struct(*small.columns).alias("_s")).scalar()
-    return df.withColumns({c: row[c] for c in small.columns})
-
-
 def exposure_threshold(df: DataFrame, q: float = TRIM_Q, by: Sequence[str] = (), col: str = EXPOSURE) -> DataFrame:
     """Exact q-quantile of exposure per experiment (column ``threshold``)."""
     return exact_quantiles(df, col, [q], ["threshold"], by=by)
@@ -50,7 +41,7 @@ def exposure_threshold(df: DataFrame, q: float = TRIM_Q, by: Sequence[str] = (),
 
 def ab_outlier_profile(df: DataFrame, q: float = TRIM_Q, by: Sequence[str] = (), col: str = EXPOSURE) -> DataFrame:
     """A1: rows above the q-quantile: mean / min / max exposure per group."""
-    t = _attach(df, exposure_threshold(df, q, by, col), by)
+    t = attach(df, exposure_threshold(df, q, by, col), by)
     return (
         t.where(F.col(col) > F.col("threshold"))
         .groupBy(*by, GROUP)
@@ -62,7 +53,7 @@ def ab_outlier_profile(df: DataFrame, q: float = TRIM_Q, by: Sequence[str] = (),
 def ab_trim(df: DataFrame, q: float = TRIM_Q, by: Sequence[str] = (), col: str = EXPOSURE) -> DataFrame:
     """A2: keep rows strictly below the q-quantile (rows equal to it are in
     neither the trimmed frame nor the outlier profile, as in the reference)."""
-    t = _attach(df, exposure_threshold(df, q, by, col), by)
+    t = attach(df, exposure_threshold(df, q, by, col), by)
     return t.where(F.col(col) < F.col("threshold")).select(*df.columns)
 
 
@@ -165,22 +156,27 @@ def ab_effect_size(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def ab_exposure_balance(df: DataFrame, by: Sequence[str] = (), col: str = EXPOSURE) -> DataFrame:
     """Per group mean exposure and box-plot statistics (exact quartiles,
-    whiskers at the most extreme values within 1.5 IQR, outlier count)."""
+    whiskers at the most extreme values within 1.5 IQR, outlier count).
+
+    Everything is read from value counts: equal exposures are one row there,
+    however many users have them, so no group and no value is hot."""
     keys = [*by, GROUP]
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=keys)
-    # Few groups, one usually dominant: the join back to the rows is salted.
-    t = salted_join(df.select(*keys, F.col(col).cast("double").alias("_x")), q, keys)
+    counts = value_counts(df, col, keys)
+    q = quantiles_of_counts(counts, [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys)
+    t = attach(counts, q, keys)
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
     return (
         t.groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.count("_x").alias("n"),
-            F.avg("_x").alias("mean"),
+            F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_c"))), F.lit(0)).alias("n"),
+            F.try_divide(
+                F.sum(F.col("_x") * F.col("_c")), F.sum(F.when(F.col("_x").isNotNull(), F.col("_c")))
+            ).alias("mean"),
             F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"),
         )
         .select(*keys, "n", "mean", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
         .orderBy(*keys)
@@ -235,11 +231,12 @@ def ab_required_n(
 ) -> DataFrame:
     """Per-arm sample size to detect the observed h (two-sided alpha,
     given power, arm ratio), normal approximation:
-    n = (1 + 1/ratio) * ((z_{1-alpha/2} + z_power) / h)^2.
+    n = (1 + 1/ratio) * ((z_{1-alpha/2} + z_power) / h)^2; no size detects
+    h = 0 (NULL).
     (A t-based solver gives about one unit more at these sizes.)"""
     z_sum = z_quantile(1 - alpha / 2) + z_quantile(power)
     e = ab_effect_size(df, by)
-    n = F.lit(1.0 + 1.0 / ratio) * F.pow(F.lit(z_sum) / F.col("effect_size"), 2)
+    n = F.lit(1.0 + 1.0 / ratio) * F.pow(F.try_divide(F.lit(z_sum), F.col("effect_size")), 2)
     return e.select(
         *by,
         "effect_size",
@@ -248,17 +245,23 @@ def ab_required_n(
     )
 
 
+def _size(col: str) -> F.Column:
+    """An arm's size; NULL for an empty arm, and so is all that divides by it."""
+    return F.nullif(F.col(col).cast("double"), F.lit(0.0))
+
+
 def _z(counts: DataFrame) -> F.Column:
-    n_c, n_t = F.col("n_control").cast("double"), F.col("n_test").cast("double")
+    n_c, n_t = _size("n_control"), _size("n_test")
     p1 = F.col("conv_control") / n_c
     p2 = F.col("conv_test") / n_t
     pooled = (F.col("conv_control") + F.col("conv_test")) / (n_c + n_t)
     var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n_c + F.lit(1.0) / n_t)
-    return (p1 - p2) / F.sqrt(var)
+    return F.try_divide(p1 - p2, F.sqrt(var))
 
 
 def ab_ztest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A13 (statistic): pooled two-proportion z, control - test."""
+    """A13 (statistic): pooled two-proportion z, control - test. NULL for an
+    experiment with an empty arm, or without spread (all or none converted)."""
     c = arm_counts(df, by)
     return c.select(*by, "n_control", "n_test", "conv_control", "conv_test", _z(c).alias("z"))
 
@@ -275,7 +278,7 @@ def ab_power(df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> Dat
     Phi(lambda - z) + Phi(-lambda - z), lambda = h sqrt(n1 n2 / (n1 + n2))."""
     z = z_quantile(1 - alpha / 2)
     e = ab_effect_size(df, by)
-    n1, n2 = F.col("n_control").cast("double"), F.col("n_test").cast("double")
+    n1, n2 = _size("n_control"), _size("n_test")
     lam = F.col("effect_size") * F.sqrt(n1 * n2 / (n1 + n2))
     pw = normal_cdf(lam - F.lit(z)) + normal_cdf(-lam - F.lit(z))
     return e.select(*by, "effect_size", pw.alias("power")).withColumn(
@@ -285,18 +288,19 @@ def ab_power(df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> Dat
 
 def ab_null_distribution(df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """Pooled rate, standard error and critical values of the
-    difference under H0, rounded to 3 dp as the reference prints them (the
-    unrounded pooled rate and SE are returned too), plus the observed
-    difference p_test - p_control of the 4-dp rates."""
+    difference under H0, rounded to 3 dp as the reference prints them and
+    unrounded (``*_exact``), plus the observed difference p_test - p_control
+    of the 4-dp rates. NULL for an experiment with an empty arm."""
     r = _rates(arm_counts(df, by))
     n_c, n_t = F.col("n_control"), F.col("n_test")
     pooled_num = n_c * F.col("k_control") + n_t * F.col("k_test")
-    pooled_den = (n_c + n_t) * 10_000
+    pooled_den = F.nullif((n_c + n_t) * 10_000, F.lit(0))
     p3 = round_ratio(pooled_num, pooled_den, 3)
-    inv = F.lit(1.0) / n_c.cast("double") + F.lit(1.0) / n_t.cast("double")
+    inv = F.lit(1.0) / _size("n_control") + F.lit(1.0) / _size("n_test")
     p_exact = pooled_num.cast("double") / pooled_den.cast("double")
     se3 = F.round(F.sqrt(p3 * (F.lit(1.0) - p3) * inv), 3)
     z_lo, z_hi = z_quantile(alpha / 2), z_quantile(1 - alpha / 2)
+    se_exact = F.sqrt(p_exact * (F.lit(1.0) - p_exact) * inv)
     return r.select(
         *by,
         p3.alias("p_pooled"),
@@ -305,7 +309,9 @@ def ab_null_distribution(df: DataFrame, by: Sequence[str] = (), alpha: float = A
         F.round(F.lit(z_hi) * se3, 3).alias("cutoff_right"),
         units_to_double(F.col("k_test") - F.col("k_control"), 4).alias("delta"),
         p_exact.alias("p_pooled_exact"),
-        F.sqrt(p_exact * (F.lit(1.0) - p_exact) * inv).alias("se_exact"),
+        se_exact.alias("se_exact"),
+        (F.lit(z_lo) * se_exact).alias("cutoff_left_exact"),
+        (F.lit(z_hi) * se_exact).alias("cutoff_right_exact"),
     )
 
 
@@ -317,13 +323,16 @@ def ab_null_curve(
     half_width_se: float = NULL_CURVE_HALF_WIDTH_SE,
 ) -> DataFrame:
     """The H0 density of the difference on ``points`` evenly spaced x
-    in +-half_width_se * SE, and whether x lies in a rejection tail."""
-    nd = ab_null_distribution(df, by, alpha)
-    lo = F.lit(-half_width_se) * F.col("se")
-    step = F.lit(2.0 * half_width_se) * F.col("se") / F.lit(float(points - 1))
+    in +-half_width_se * SE, and whether x lies in a rejection tail. Uses the
+    unrounded SE and cutoffs (the 3-digit ones vanish for large samples);
+    an experiment without an SE, or with none, has no curve."""
+    nd = ab_null_distribution(df, by, alpha).where(F.col("se_exact") > 0)
+    se = F.col("se_exact")
+    lo = F.lit(-half_width_se) * se
+    step = F.lit(2.0 * half_width_se) * se / F.lit(float(points - 1))
     x = lo + F.col("i") * step
-    u = x / F.col("se")
-    pdf = F.exp(F.lit(-0.5) * u * u) / (F.col("se") * F.lit((2.0 * 3.141592653589793) ** 0.5))
+    u = x / se
+    pdf = F.exp(F.lit(-0.5) * u * u) / (se * F.lit((2.0 * 3.141592653589793) ** 0.5))
     return (
         nd.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .select(
@@ -331,7 +340,7 @@ def ab_null_curve(
             "i",
             x.alias("x"),
             pdf.alias("pdf"),
-            ((x <= F.col("cutoff_left")) | (x >= F.col("cutoff_right"))).alias("in_rejection"),
+            ((x <= F.col("cutoff_left_exact")) | (x >= F.col("cutoff_right_exact"))).alias("in_rejection"),
         )
         .orderBy(*by, "i")
     )

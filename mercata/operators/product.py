@@ -23,7 +23,7 @@ def dau_wau_mau(
     windows: Sequence[tuple[str, int]] = ACTIVE_WINDOWS,
 ) -> DataFrame:
     """Distinct active users per day over trailing windows of 1 / 7 / 30
-    days, for every day that has events.
+    days, for every day that has events of known users (NULL is no user).
 
     Spark has no distinct-count window function. Each distinct (user, day)
     instead covers the following days up to the user's next active day (and
@@ -34,17 +34,17 @@ def dau_wau_mau(
     with map-side combine.
     """
     longest = max(w for _, w in windows)
-    user_days = events.select(user, F.to_date(ts).alias("day")).distinct()
+    user_days = events.where(F.col(user).isNotNull()).select(user, F.to_date(ts).alias("day")).distinct()
     nxt = F.lead("day").over(Window.partitionBy(user).orderBy("day"))
     span = F.least(F.coalesce(F.datediff(nxt, F.col("day")), F.lit(longest)), F.lit(longest))
     covered = user_days.withColumn("_span", span).select(
         F.explode(F.sequence(F.lit(0), F.col("_span") - 1)).alias("since"), "day"
     ).select(F.date_add("day", F.col("since")).alias("day"), "since")
+    # A day has events of its own if some user was active on it.
     counts = covered.groupBy("day").agg(
-        *[F.count_if(F.col("since") < w).alias(name) for name, w in windows]
+        *[F.count_if(F.col("since") < w).alias(name) for name, w in windows], F.min("since").alias("_own")
     )
-    days = user_days.select("day").distinct()
-    return days.join(counts, "day", "left").orderBy("day")
+    return counts.where(F.col("_own") == 0).drop("_own").orderBy("day")
 
 
 def engagement_ctr(
@@ -78,15 +78,16 @@ def audience_slices(users: DataFrame, dims: Sequence[str], user: str = "user_id"
 
 
 def event_users_with_profile(events: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Active users of the event stream with segment / nation / region."""
-    users = events.select("user_id").distinct()
+    """Active users of the event stream with segment / nation / region; users
+    without a customer row stay, with NULL attributes."""
+    users = events.where(F.col("user_id").isNotNull()).select("user_id").distinct()
     c = customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment", "c_nationkey")
     n = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
     r = region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
     return (
-        users.join(c, "user_id")
-        .join(n, "c_nationkey")
-        .join(r, "n_regionkey")
+        users.join(c, "user_id", "left")
+        .join(n, "c_nationkey", "left")
+        .join(r, "n_regionkey", "left")
         .select(
             "user_id",
             F.col("c_mktsegment").alias("segment"),

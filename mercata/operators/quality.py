@@ -1,8 +1,7 @@
 """Data-quality profiling and cleaning.
 
 Duplicate handling never gathers a duplicate group in one task: groups are
-counted with map-side combine, members are selected by a semi join against
-the (usually small) set of duplicated keys, and copies are re-emitted in
+counted with map-side combine, and copies are re-emitted from the counts in
 chunks spread over partitions.
 """
 
@@ -14,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercata.functions.joins import attach
+from mercata.functions.lineage import materialize
 from mercata.functions.quantiles import exact_quantiles
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -51,17 +52,11 @@ def duplicate_rows(
     "first" does not matter. ``sort_by`` orders the listing (a range-
     partitioned sort, no single-task step).
     """
-    cols = df.columns
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    if keep is False:
-        # Semi join on the duplicated keys; a hot group stays spread over the
-        # input partitions (broadcast when the key set passes the size check,
-        # AQE splits a skewed partition otherwise).
-        out = _semi_or_anti(df, counts.drop("_n"), "left_semi")
-    elif keep == "first":
-        out = replicate_rows(counts.withColumn("_n", F.col("_n") - 1), "_n").drop("_n")
-    else:
+    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    if keep not in (False, "first"):
         raise ValueError("keep must be False or 'first'")
+    # Members of a group are identical, so its one counted row stands for all.
+    out = replicate_rows(counts.withColumn("_n", F.col("_n") - (1 if keep else 0)), "_n").drop("_n")
     return out.orderBy(*sort_by) if sort_by else out
 
 
@@ -135,23 +130,21 @@ def histogram_frame(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """H1: equal-width histogram over [min, max] (last bin closed), all bins
     present: bin, bin_lo, bin_hi, n."""
     x = F.col(col).cast("double")
-    rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo = rng["lo"]
-    width = (rng["hi"] - lo) / F.lit(float(bins))
-    idx = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / width), F.lit(bins - 1)))
-    counts = (
-        df.where(x.isNotNull())
-        .groupBy(idx.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    ends = materialize(df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))).select(
+        "_lo", ((F.col("_hi") - F.col("_lo")) / F.lit(float(bins))).alias("_width")
     )
+    place = F.floor((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_width"), F.lit(0.0)))
+    idx = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))
+    rows = attach(df.select(x.alias("_x")).where(F.col("_x").isNotNull()), ends, [])
+    counts = rows.groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # Every bin is listed, empty ones with 0 (bins is a parameter).
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
-        grid.join(counts, "bin", "left")
+        attach(grid.join(counts, "bin", "left"), ends, [])
         .select(
             "bin",
-            (lo + F.col("bin") * width).alias("bin_lo"),
-            (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
+            (F.col("_lo") + F.col("bin") * F.col("_width")).alias("bin_lo"),
+            (F.col("_lo") + (F.col("bin") + 1) * F.col("_width")).alias("bin_hi"),
             F.coalesce(F.col("n"), F.lit(0)).alias("n"),
         )
         .orderBy("bin")

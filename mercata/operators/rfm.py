@@ -16,6 +16,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercata.functions.lineage import materialize
 from mercata.functions.quantiles import exact_quantiles, quantile_bins
 
 RFM_COLS = ("Recency", "Frequency", "MonetaryValue")
@@ -30,7 +31,9 @@ SEGMENT_CODES = {
     "newcomer": ("311", "312", "313"),
 }
 OTHER_SEGMENT = "other"
-KMEANS_SEED = 1
+KMEANS_SEEDS = (1, 2, 3)
+#: Customers in a partition of the k-means features.
+KMEANS_ROWS = 200_000
 
 
 def with_line_total(
@@ -55,13 +58,18 @@ def rfm_matrix(
 ) -> DataFrame:
     """Per customer Recency (whole days from last purchase to the
     snapshot), Frequency (invoice lines with an invoice number, or distinct
-    invoices), MonetaryValue (sum of line values)."""
+    invoices), MonetaryValue (sum of line values).
+
+    The snapshot is taken over all lines; lines without a customer then belong
+    to nobody and drop out (``anonymous_lines`` counts them). The aggregate is
+    written once and read for both, so the lines are read once."""
     freq = F.count_distinct(invoice) if distinct_invoices else F.count(invoice)
     per = tx.groupBy(customer).agg(
         F.max(ts).alias("_last"), freq.alias("Frequency"), F.sum(amount).alias("_m")
     )
+    per = materialize(per)
     snap = per.agg(F.timestamp_add("DAY", F.lit(1), F.max("_last"))).scalar()
-    return per.select(
+    return per.where(F.col(customer).isNotNull()).select(
         customer,
         F.timestamp_diff("DAY", F.col("_last"), snap).alias("Recency"),
         "Frequency",
@@ -69,6 +77,17 @@ def rfm_matrix(
     )
 
 
+def anonymous_lines(tx: DataFrame, customer: str = "CustomerID") -> DataFrame:
+    """Lines, and lines without a customer, which R3 leaves out."""
+    return tx.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col(customer).isNull()).alias("anonymous"))
+
+
+def undefined_logs(rfm: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
+    """Customers, and customers with a metric <= 0, which R4 makes NULL and k-means leaves out."""
+    bad = reduce(operator.or_, [F.coalesce(F.col(c) <= 0, F.lit(True)) for c in cols])
+    return rfm.agg(F.count(F.lit(1)).alias("customers"), F.count_if(bad).alias("undefined"))
+
+
 def rfm_log(rfm: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
     """Natural log of R, F, M; NULL for values <= 0 (undefined)."""
     return rfm.withColumns(
@@ -78,57 +97,69 @@ def rfm_log(rfm: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
 
 def rfm_standardize(df: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
     """Z-scores with the population standard deviation (as a fitted
-    scikit-learn StandardScaler would produce). Mean and std come from one
-    aggregate row broadcast to every task."""
+    scikit-learn StandardScaler would produce: a constant column becomes 0).
+    Mean and std come from one aggregate row broadcast to every task."""
     stats = df.agg(
         F.struct(
             *[F.avg(c).alias(f"mu_{c}") for c in cols],
             *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols],
         )
     ).scalar()
-    return df.withColumns({c: (F.col(c) - stats[f"mu_{c}"]) / stats[f"sd_{c}"] for c in cols})
+    return df.withColumns(
+        {c: (F.col(c) - stats[f"mu_{c}"]) / F.when(stats[f"sd_{c}"] == 0, 1.0).otherwise(stats[f"sd_{c}"]) for c in cols}
+    )
 
 
-def _features(scaled: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _features(scaled: DataFrame, cols: Sequence[str], customer: str = "CustomerID") -> DataFrame:
+    """Feature vectors of customers with all metrics, in a layout that follows
+    from the data alone, not from the session's shuffle partitions: MLlib's
+    sampled starting centres follow the layout, and so do the labels."""
     from pyspark.ml.feature import VectorAssembler
 
+    keys = [customer] if customer in scaled.columns else []
+    clean = scaled.dropna(subset=list(cols)).select(*keys, *cols)
+    parts = max(1, -(-clean.count() // KMEANS_ROWS))
+    placed = clean.repartitionByRange(parts, *(keys or cols)).sortWithinPartitions(*keys, *cols)
+    return materialize(VectorAssembler(inputCols=list(cols), outputCol="features").transform(placed))
+
+
+def _best_fit(feats: DataFrame, k: int, seeds: Sequence[int], max_iter: int):
+    """The fit with the lowest cost over several starts (the first of equals)."""
+    from pyspark.ml.clustering import KMeans
+
+    fits = [KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-4).fit(feats) for s in seeds]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def total_inertia(scaled: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFrame:
+    """R6 at k = 1: the sum of squares around the mean (one centroid)."""
     clean = scaled.dropna(subset=list(cols))
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(clean)
+    return clean.agg(sum((F.count(c) * F.var_pop(c) for c in cols), F.lit(0.0)).alias("inertia")).select(
+        F.lit(1).alias("k"), "inertia"
+    )
 
 
 def kmeans_elbow(
     scaled: DataFrame,
     ks: Sequence[int] = tuple(range(1, 15)),
     cols: Sequence[str] = RFM_COLS,
-    seed: int = KMEANS_SEED,
+    seeds: Sequence[int] = KMEANS_SEEDS,
     max_iter: int = 300,
 ) -> DataFrame:
-    """Within-cluster sum of squares for each k.
+    """Within-cluster sum of squares for each k, the lowest of several starts.
 
     k = 1 is the total sum of squares around the mean (MLlib rejects k=1).
-    The feature frame is checkpointed to the session's checkpoint folder so
-    the repeated fits neither recompute nor carry the upstream lineage.
+    The features (three doubles a customer) are written once and persisted
+    across the fits, which read them many times, and released after.
     """
-    from pyspark.ml.clustering import KMeans
-
-    from mercata.session import ensure_checkpoint_dir
-
-    spark = scaled.sparkSession
-    ensure_checkpoint_dir(spark)
-    feats = _features(scaled, cols).select(*cols, "features").checkpoint(eager=True)
-    rows = []
-    for k in ks:
-        if k == 1:
-            continue
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4).fit(feats)
-        rows.append((k, float(model.summary.trainingCost)))
-    out = spark.createDataFrame(rows, "k int, inertia double")
+    feats = _features(scaled, cols).select(*cols, "features").persist()
+    try:
+        rows = [(k, float(_best_fit(feats, k, seeds, max_iter).summary.trainingCost)) for k in ks if k > 1]
+    finally:
+        feats.unpersist()
+    out = scaled.sparkSession.createDataFrame(rows, "k int, inertia double")
     if 1 in ks:
-        # One centroid at the mean: SSE = sum over features of n * var_pop.
-        sse1 = feats.agg(
-            sum((F.count(c) * F.var_pop(c) for c in cols), F.lit(0.0)).alias("inertia")
-        ).select(F.lit(1).alias("k"), "inertia")
-        out = sse1.unionByName(out)
+        out = total_inertia(feats, cols).unionByName(out)
     return out.orderBy("k")
 
 
@@ -138,17 +169,22 @@ def kmeans_segments(
     k: int = 3,
     customer: str = "CustomerID",
     cols: Sequence[str] = RFM_COLS,
-    seed: int = KMEANS_SEED,
+    seeds: Sequence[int] = KMEANS_SEEDS,
     max_iter: int = 300,
 ) -> DataFrame:
     """K-means cluster per customer, renumbered 0..k-1 by ascending mean
-    MonetaryValue so that labels are stable across runs and engines."""
-    from pyspark.ml.clustering import KMeans
-
-    feats = _features(scaled, cols)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4).fit(feats)
+    MonetaryValue. The features are laid out by customer in a fixed number of
+    partitions and the best of several seeds is kept, so the labels don't move
+    with the session's partitioning. Customers with an undefined metric have
+    no cluster (``undefined_logs`` counts them)."""
+    feats = _features(scaled, cols, customer).persist()
+    try:
+        model = _best_fit(feats, k, seeds, max_iter)
+    finally:
+        feats.unpersist()
     labelled = model.transform(feats).select(customer, F.col("prediction").alias("_raw"))
     with_m = labelled.join(rfm.select(customer, "MonetaryValue"), customer)
+    # one row a cluster: k of them
     order = F.broadcast(
         with_m.groupBy("_raw")
         .agg(F.avg("MonetaryValue").alias("_mean_m"))
@@ -221,10 +257,11 @@ def rfm_scores(rfm: DataFrame, q: int = 3, cols: Sequence[str] = RFM_COLS) -> Da
             ]
         )
     ).scalar()
-    out = rfm
+    # The edge row is attached once; each score reads its fields.
+    out = rfm.withColumn("_edges", edges)
     scored = {}
     for c, name in zip(cols, ("R", "F", "M")):
-        es = [edges[f"{c}_e{i}"] for i in range(q + 1)]
+        es = [F.col(f"_edges.{c}_e{i}") for i in range(q + 1)]
         dup = reduce(operator.or_, [es[i] >= es[i + 1] for i in range(q)])
         b = quantile_bins(F.col(c).cast("double"), es)
         score = (F.lit(q + 1) - b) if name == "R" else b
@@ -279,6 +316,7 @@ def rfm_density(
     axis is summed over the bin centres (an array of at most ``bins``
     entries per metric), so the cost is bins x grid per metric whatever the
     number of customers. Bandwidth: Scott's rule.
+    A metric without spread has a histogram and no density.
     Output rows: metric, kind ('histogram' | 'kde'), x, value.
     """
     long = rfm.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
@@ -304,7 +342,7 @@ def rfm_density(
     )
     # Each metric's non-empty bins as one array of at most `bins` entries;
     # every grid point sums its kernel over that array.
-    per_metric = hist.groupBy("metric", "lo", "hi", "n", "sd").agg(
+    per_metric = hist.where(F.col("sd") > 0).groupBy("metric", "lo", "hi", "n", "sd").agg(
         F.collect_list(F.struct("centre", "count")).alias("_bins")
     )
     axis = (

@@ -17,6 +17,7 @@ from mercata.functions.lineage import materialize
 from mercata.operators import delivery as dl
 from mercata.operators import economics as ec
 from mercata.sources import fixtures as fx
+from mercata.sources import tables as tb
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -200,6 +201,12 @@ def q_user_lifecycle_excluding_cancelled(spark, d):
     return rt.user_lifecycle(_ret(spark, d).user_actions, exclude_action=dl.CANCEL)
 
 
+@register("most_active_days")
+def q_most_active_days(spark, d):
+    """The 20 days with the most users of the lifecycle report (top-k)."""
+    return rt.user_lifecycle(_ret(spark, d).user_actions).orderBy(F.desc("total"), "day").limit(20)
+
+
 @register("lag_sanity")
 def q_lag_sanity(spark, d):
     return rt.lag_sanity(_ret(spark, d).user_actions)
@@ -216,6 +223,9 @@ from mercata.operators import cohort as ch  # noqa: E402
 from mercata.operators import quality as ql  # noqa: E402
 
 
+RETAIL_INDICES = range(1, fx.RETAIL_MONTHS + 1)
+
+
 def _tx(spark: SparkSession, d: str) -> DataFrame:
     """De-duplicated online-retail lines (the notebooks drop duplicates first)."""
     return ql.dedupe(fx.retail_transactions(spark, d))
@@ -233,7 +243,12 @@ def q_cohort_matrix(spark, d):
 
 @register("cohort_matrix_wide")
 def q_cohort_matrix_wide(spark, d):
-    return ch.cohort_matrix_wide(_tx(spark, d))
+    return ch.cohort_matrix_wide(_tx(spark, d), RETAIL_INDICES)
+
+
+@register("cohort_retention_wide")
+def q_cohort_retention_wide(spark, d):
+    return ch.cohort_retention_wide(_tx(spark, d), RETAIL_INDICES)
 
 
 @register("cohort_reconcile")
@@ -290,12 +305,33 @@ def q_describe_numeric(spark, d):
 
 @register("price_outliers")
 def q_price_outliers(spark, d):
-    return ql.outlier_rows(_raw_tx(spark, d), "UnitPrice", 2000)
+    return ql.outlier_rows(_raw_tx(spark, d), "UnitPrice", fx.PRICE_OUTLIER)
 
 
 @register("quantity_outliers")
 def q_quantity_outliers(spark, d):
-    return ql.outlier_rows(_raw_tx(spark, d), "Quantity", 2000)
+    return ql.outlier_rows(_raw_tx(spark, d), "Quantity", fx.QUANTITY_OUTLIER)
+
+
+@register("drop_outlier_rows")
+def q_drop_outlier_rows(spark, d):
+    """The price outliers, removed as listed rows rather than by a predicate."""
+    tx = _raw_tx(spark, d)
+    return ql.drop_rows(tx, ql.outlier_rows(tx, "UnitPrice", fx.PRICE_OUTLIER).distinct())
+
+
+@register("invoice_timestamps")
+def q_invoice_timestamps(spark, d):
+    """Invoice times parsed from text, lines counted per day."""
+    tx = tb.to_timestamp_column(fx.retail_export(spark, d), "InvoiceDate", "yyyy-MM-dd HH:mm:ss")
+    per_day = tx.groupBy(F.to_date("InvoiceDate").alias("day"))
+    return per_day.agg(F.count(F.lit(1)).alias("lines"), F.max("InvoiceDate").alias("last_invoice")).orderBy("day")
+
+
+@register("ab_export_columns")
+def q_ab_export_columns(spark, d):
+    """The export without its index column, spaces out of the names."""
+    return tb.snake_columns(fx.ab_export(spark, d).drop("Unnamed: 0"))
 
 
 # ----------------------------------------------------------------------- rfm
@@ -306,7 +342,7 @@ from mercata.operators import rfm as rf  # noqa: E402
 def _rfm_tx(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned lines with TotalSum: price outliers removed (the reference
     drops its one outlier row by index), duplicates dropped."""
-    tx = ql.drop_outliers(fx.retail_transactions(spark, d), "UnitPrice", 2000)
+    tx = ql.drop_outliers(fx.retail_transactions(spark, d), "UnitPrice", fx.PRICE_OUTLIER)
     return rf.with_line_total(ql.dedupe(tx))
 
 
@@ -348,6 +384,16 @@ def q_rfm_matrix(spark, d):
     return _rfm(spark, d)
 
 
+@register("rfm_anonymous_lines")
+def q_rfm_anonymous_lines(spark, d):
+    return rf.anonymous_lines(_rfm_tx(spark, d))
+
+
+@register("rfm_undefined_logs")
+def q_rfm_undefined_logs(spark, d):
+    return rf.undefined_logs(_rfm(spark, d))
+
+
 @register("rfm_log")
 def q_rfm_log(spark, d):
     return _r(rf.rfm_log(_rfm(spark, d)), 9)
@@ -358,6 +404,12 @@ def q_rfm_standardize(spark, d):
     return _r(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d))), 6)
 
 
+@register("kmeans_total_inertia")
+def q_kmeans_total_inertia(spark, d):
+    """R6 at k = 1, which needs no fit."""
+    return _r(rf.total_inertia(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d)))), 3)
+
+
 @register("kmeans_elbow")
 def q_kmeans_elbow(spark, d):
     return rf.kmeans_elbow(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d))))
@@ -431,9 +483,23 @@ def q_rfm_segment_label(spark, d):
     )
 
 
+def _density(df: DataFrame) -> DataFrame:
+    return rf.rfm_density(df).withColumns({"x": F.round("x", 6), "value": F.round("value", 9)})
+
+
 @register("rfm_density")
 def q_rfm_density(spark, d):
-    return rf.rfm_density(_rfm(spark, d))
+    return _density(_rfm(spark, d))
+
+
+@register("rfm_density_log")
+def q_rfm_density_log(spark, d):
+    return _density(rf.rfm_log(_rfm(spark, d)))
+
+
+@register("rfm_code_sizes")
+def q_rfm_code_sizes(spark, d):
+    return rf.cluster_sizes(_coded(spark, d), "RFM_cluster")
 
 
 # ---------------------------------------------------------------- experiment
@@ -494,6 +560,43 @@ def q_ab_hour_mix(spark, d):
     return ab.ab_hour_mix(_ab(spark, d))
 
 
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+@register("ab_day_mix_wide")
+def q_ab_day_mix_wide(spark, d):
+    return ch.pivot_wide(ab.ab_day_mix(_ab(spark, d)), ["test_group"], "most_ads_day", "share_pct", WEEKDAYS, "")
+
+
+@register("ab_hour_mix_wide")
+def q_ab_hour_mix_wide(spark, d):
+    return ch.pivot_wide(ab.ab_hour_mix(_ab(spark, d)), ["test_group"], "most_ads_hour", "share_pct", range(24), "h")
+
+
+def _abs(spark: SparkSession, d: str) -> DataFrame:
+    return ab.ab_trim(fx.ab_experiments(spark, d), by=["experiment"])
+
+
+@register("ab_effect_size_by_experiment")
+def q_ab_effect_size_by_experiment(spark, d):
+    return _r(ab.ab_effect_size(_abs(spark, d), ["experiment"]), 9)
+
+
+@register("ab_required_n_by_experiment")
+def q_ab_required_n_by_experiment(spark, d):
+    return _r(ab.ab_required_n(_abs(spark, d), ["experiment"]), 6)
+
+
+@register("ab_ztest_by_experiment")
+def q_ab_ztest_by_experiment(spark, d):
+    return _r(ab.ab_ztest(_abs(spark, d), ["experiment"]), 9)
+
+
+@register("ab_null_distribution_by_experiment")
+def q_ab_null_distribution_by_experiment(spark, d):
+    return _r(ab.ab_null_distribution(_abs(spark, d), ["experiment"]), 9)
+
+
 @register("ab_normality_check")
 def q_ab_normality_check(spark, d):
     return ab.ab_normality_check(_ab2(spark, d))
@@ -516,12 +619,12 @@ def q_ab_ztest(spark, d):
 
 @register("ab_ztest_pvalue")
 def q_ab_ztest_pvalue(spark, d):
-    return ab.ab_ztest_pvalue(_ab2(spark, d))
+    return _r(ab.ab_ztest_pvalue(_ab2(spark, d)), 9)
 
 
 @register("ab_power")
 def q_ab_power(spark, d):
-    return ab.ab_power(_ab2(spark, d))
+    return _r(ab.ab_power(_ab2(spark, d)), 9)
 
 
 @register("ab_null_distribution")

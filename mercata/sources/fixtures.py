@@ -44,7 +44,10 @@ START_DAY = dt.date(1995, 1, 1)  # first o_orderdate
 SERVICE_START = "2022-08-24 00:00:00"  # first moment of the delivery data window
 DASHBOARD_PERIOD_DAYS = 16  # 2022-08-24 .. 2022-09-08
 RETENTION_PERIOD_DAYS = 60  # long enough for every lifecycle class
-RETAIL_END = "1996-02-01 00:00:00"  # 13 calendar months of invoices
+RETAIL_MONTHS = 80  # calendar months from the first to the last o_orderdate
+ANONYMOUS_EVERY = 50  # one customer key (or user id) in so many is unknown
+PRICE_OUTLIER, QUANTITY_OUTLIER = 990, 49  # above these a line is an outlier
+EXPERIMENTS, ONE_ARMED = 7, 3  # parallel experiments; this one has no control
 REDUCED_VAT_TYPES = ("ECONOMY", "STANDARD")
 CAMPAIGN_SPEND = 250_000
 
@@ -144,7 +147,9 @@ def delivery_tables(
 
 
 def retail_transactions(spark: SparkSession, folder: str, with_duplicates: bool = True) -> DataFrame:
-    """Online-retail invoice lines (InvoiceNo ... Country).
+    """Online-retail invoice lines (InvoiceNo ... Country), all of them.
+
+    Lines of every ``ANONYMOUS_EVERY``-th customer key have no CustomerID.
 
     ``with_duplicates`` appends every line of invoices with number divisible
     by 37 a second time, so de-duplication has work to do.
@@ -152,7 +157,6 @@ def retail_transactions(spark: SparkSession, folder: str, with_duplicates: bool
     li = read_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = (
         read_table(spark, folder, "orders")
-        .where(F.col("o_orderdate") < F.lit(RETAIL_END).cast("timestamp_ntz"))
         .select("o_orderkey", "o_custkey", "o_orderdate")
     )
     p = read_table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
@@ -170,7 +174,7 @@ def retail_transactions(spark: SparkSession, folder: str, with_duplicates: bool
             F.col("l_quantity").cast("int").alias("Quantity"),
             F.col("o_orderdate").alias("InvoiceDate"),
             F.col("p_retailprice").cast("decimal(12,2)").alias("UnitPrice"),
-            F.col("o_custkey").alias("CustomerID"),
+            F.when(F.pmod("o_custkey", F.lit(ANONYMOUS_EVERY)) != 0, F.col("o_custkey")).alias("CustomerID"),
             F.col("n_name").alias("Country"),
         )
     )
@@ -201,12 +205,13 @@ def ab_experiment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def campaign_tables(spark: SparkSession, user_actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(campaign_users, spend): users with id mod 10 = 0 / 1 were acquired by
-    campaign_1 / campaign_2, each with the same spend."""
+    """(campaign_users, spend): of all users, those with id mod 10 = 0 / 1 were
+    acquired by campaign_1 / campaign_2, each with the same spend, and the
+    others are organic, without a spend row."""
     users = user_actions.select("user_id").distinct()
     bucket = F.pmod(F.col("user_id"), F.lit(10))
-    campaign_users = users.where(bucket < 2).select(
-        F.when(bucket == 0, F.lit("campaign_1")).otherwise(F.lit("campaign_2")).alias("campaign"),
+    campaign_users = users.select(
+        F.when(bucket == 0, F.lit("campaign_1")).when(bucket == 1, F.lit("campaign_2")).otherwise("organic").alias("campaign"),
         "user_id",
     )
     spend = spark.createDataFrame(
@@ -216,5 +221,27 @@ def campaign_tables(spark: SparkSession, user_actions: DataFrame) -> tuple[DataF
     return campaign_users, spend
 
 
+def ab_experiments(spark: SparkSession, folder: str) -> DataFrame:
+    """The A/B export split into parallel experiments by user; one of them
+    has no control arm."""
+    e = F.pmod("user_id", F.lit(EXPERIMENTS)).cast("int")
+    group = F.when(e == ONE_ARMED, F.lit("ad")).otherwise(F.col("test_group"))
+    return ab_experiment(spark, folder).withColumn("experiment", e).withColumn("test_group", group)
+
+
+def ab_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The A/B export as delivered: an index column and names with spaces."""
+    df = ab_experiment(spark, folder).withColumn("Unnamed: 0", F.col("user_id"))
+    return df.withColumnsRenamed({c: c.replace("_", " ") for c in df.columns})
+
+
+def retail_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The retail lines as delivered: InvoiceDate is a text."""
+    text = F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")
+    return retail_transactions(spark, folder).withColumn("InvoiceDate", text)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events")
+    """The event stream; every ``ANONYMOUS_EVERY``-th event has no user."""
+    known = F.when(F.pmod("event_id", F.lit(ANONYMOUS_EVERY)) != 0, F.col("user_id"))
+    return read_table(spark, folder, "events").withColumn("user_id", known)

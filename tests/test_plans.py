@@ -8,9 +8,6 @@ import pytest
 
 from mercata.plans.registry import QUERIES
 
-# Reports whose statistics need the normal CDF: a vectorised (Arrow) UDF runs
-# there on one aggregated row per experiment, never on raw rows.
-NORMAL_CDF = {"ab_ztest_pvalue", "ab_power"}
 # MLlib k-means runs its own jobs while the plan is built.
 EAGER = {"kmeans_elbow", "kmeans_segments", "kmeans_profile", "kmeans_profile_four", "cluster_sizes", "cluster_mean_bars"}
 
@@ -28,8 +25,7 @@ def test_plan_shape(spark, sf_dir, name):
     summary = plan_summary(df)
     assert summary["cartesian"] == 0
     assert "BatchEvalPython" not in plan, "row-at-a-time Python UDF in plan"
-    if name not in NORMAL_CDF:
-        assert summary["python"] == 0
+    assert summary["python"] == 0
     assert summary["bnlj"] == 0, "nested-loop join in plan"
 
 
@@ -38,7 +34,7 @@ def test_scan_pruning_and_pushdown(spark, sf_dir):
 
     plan = _plan(retail_transactions(spark, sf_dir))
     orders_scan = [l for l in plan.splitlines() if "FileScan parquet" in l and "o_orderdate" in l][0]
-    assert "PushedFilters" in orders_scan and "LessThan(o_orderdate" in orders_scan
+    assert "IsNotNull(o_orderkey)" in orders_scan and "LessThan" not in orders_scan  # every order
     assert "o_orderpriority" not in orders_scan and "o_totalprice" not in orders_scan
 
 
