@@ -37,9 +37,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        # written first, so that both sides of the join are plain exchanges and AQE can split a hub
+        low = materialize(low.select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(least, "a")
             .select(F.explode(F.array(

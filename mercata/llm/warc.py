@@ -26,6 +26,8 @@ from mercata.llm.common import shared_folder, shared_table
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fields that every record has.
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 MAGIC = b"\x1f\x8b\x08"
 #: Namespace of the record ids that are derived from page ids.
 RECORDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -111,7 +113,10 @@ def parse_record(raw: bytes | memoryview, at: int, offset: int) -> tuple[Record,
         if not colon:
             raise ValueError("header line without colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
+    missing = [f for f in MANDATORY if not headers.get(f)]
+    if missing:
+        raise ValueError(f"header without {missing[0]}")
+    length = headers["content-length"]
     if not (length.isascii() and length.isdigit()):
         raise ValueError("no content length")
     start, end = head_end + 4, head_end + 4 + int(length)
