@@ -24,8 +24,9 @@ from pyspark.sql.types import StructType
 
 #: What stands for "the word before, again" among the words.
 AGAIN = "\x00="
-#: Words whose parts a task remembers.
-REMEMBERED = 200_000
+#: Words whose parts a task remembers, and texts it looks up together.
+REMEMBERED, TOGETHER = 300_000, 256
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -51,14 +52,34 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))))
 
 
-def features(word: str, settings: Settings) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    marked = f"<{word}>"
-    out = [xxhash.xxh3_64_intdigest("w" + word) % settings.buckets]
-    if word != AGAIN:
-        for n in settings.grams:
-            out += [xxhash.xxh3_64_intdigest(marked[i : i + n]) % settings.buckets for i in range(len(marked) - n + 1)]
-    return out
+def features(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams, with the word each belongs to.
+
+    All words' code points, marked at both ends, stand in one array, so that
+    the n-grams of all of them are hashed at once.
+    """
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w) % settings.buckets for w in words), np.int64, len(words))]
+    owners = [np.arange(len(words))]
+    for n in settings.grams:
+        span = max(0, len(codes) - n + 1)
+        gram = np.full(span, n, np.uint64)
+        for k in range(n):
+            gram = (gram ^ codes[k : k + span]) * _MIX
+            gram ^= gram >> np.uint64(32)
+        inside = owner[:span] == owner[n - 1 :]
+        hashed.append((gram[inside] % np.uint64(settings.buckets)).astype(np.int64))
+        owners.append(owner[:span][inside])
+    return np.concatenate(hashed), np.concatenate(owners)
+
+
+def feature_count(words: list[str], settings: Settings) -> int:
+    """How many features the words have: each one, and its n-grams with the two marks."""
+    lengths = Counter(map(len, words))
+    return sum(n * (1 + sum(max(0, size + 3 - g) for g in settings.grams)) for size, n in lengths.items())
 
 
 def words_of(text: str | None) -> list[str]:
@@ -73,20 +94,13 @@ def train(samples: list[tuple[dict[str, int], int]], settings: Settings = Settin
     rng = np.random.default_rng(settings.seed)
     vectors = rng.uniform(-1 / settings.dims, 1 / settings.dims, (settings.buckets, settings.dims))
     weights, bias = np.zeros((2, settings.dims)), np.zeros(2)
-    known: dict[str, np.ndarray] = {}
     rows = []
     for counts, label in samples:
-        ids, times = [], []
-        for word, n in sorted(counts.items()):
-            if word not in known:
-                known[word] = np.array(features(word, settings), dtype=np.int32)
-            ids.append(known[word])
-            times.append(np.full(len(known[word]), n, dtype=np.float64))
-        if ids:
-            at, back = np.unique(np.concatenate(ids), return_inverse=True)
-            share = np.bincount(back, weights=np.concatenate(times))
-            rows.append((at, (share / share.sum()).astype(np.float32), label))
-    del known
+        if counts:
+            ids, owner = features(list(counts), settings)
+            at, back = np.unique(ids, return_inverse=True)
+            share = np.bincount(back, weights=np.array(list(counts.values()), dtype=np.float64)[owner])
+            rows.append((at.astype(np.int32), (share / share.sum()).astype(np.float32), label))
     steps = max(1, settings.epochs * len(rows))
     step = 0
     for _ in range(settings.epochs):
@@ -149,21 +163,20 @@ def labelled_sample(
 
 def _scorer(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, settings = model.parts, model.settings
         sums: dict[str, float] = {}
-        sizes: dict[str, int] = {}
-        for b in batches:
-            scores = []
-            for text in b.column(1):
-                words = words_of(text.as_py())
-                for w in set(words).difference(sums):
-                    at = features(w, settings)
-                    sums[w], sizes[w] = float(parts[at].sum()), len(at)
-                scores.append(model.score(sum(map(sums.__getitem__, words)), sum(map(sizes.__getitem__, words))))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(begin, TOGETHER)
+                texts = [words_of(t) for t in b.column(1).to_pylist()]
+                new = list(set().union(*texts).difference(sums))
+                at, owner = features(new, model.settings)
+                sums.update(zip(new, np.bincount(owner, model.parts[at], len(new)).tolist(), strict=True))
+                scores = [
+                    model.score(sum(map(sums.__getitem__, words)), feature_count(words, model.settings)) for words in texts
+                ]
+                yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
                 if len(sums) > REMEMBERED:
                     sums.clear()
-                    sizes.clear()
-            yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return run
 

@@ -44,10 +44,26 @@ def test_vectors_learn_the_label():
     good, bad = ["apple", "pear", "plum"], ["###x", "$$$y", "%%%z"]
     sample = [({str(w): 1 for w in rng.choice(good if y else bad, 3)}, y) for y in rng.integers(0, 2, 200).tolist()]
     m = ql.train(sample)
-    score = lambda *w: m.score(sum(m.parts[ql.features(x, m.settings)].sum() for x in w), sum(len(ql.features(x, m.settings)) for x in w))
+
+    def score(*words):
+        at, _ = ql.features(list(words), m.settings)
+        return m.score(m.parts[at].sum(), len(at))
+
     assert score("apple", "plum") > 0.8 > 0.2 > score("$$$y", "###w")
 
 
+def test_features_of_a_word_do_not_follow_its_company():
+    cut = ql.Settings(grams=(2, 3, 5))
+    words = ["a", "ab", "été", "longer-word", "x" * 50, "東京"]
+    at, owner = ql.features(words, cut)
+    for i, w in enumerate(words):
+        alone, _ = ql.features([w], cut)
+        assert sorted(at[owner == i]) == sorted(alone)
+        assert len(alone) == ql.feature_count([w], cut)
+    assert ql.feature_count(words * 2, cut) == 2 * len(at)
+    assert [len(x) for x in ql.features([], cut)] == [0, 0]
+
+
 def test_repeats_are_marked():
     assert ql.words_of("a a b a") == ["a", "a", "b", "a", ql.AGAIN] and ql.words_of(None) == []
 
