@@ -46,6 +46,14 @@ def build_session(
     return spark
 
 
+def _machine_local(sc, folder: str) -> bool:
+    """Whether a folder given without a scheme would be on the local disk."""
+    if "://" in folder or folder.startswith("file:"):
+        return False
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, taken from the session.
 
@@ -62,6 +70,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
+        if not sc.master.startswith("local") and _machine_local(sc, configured):
+            raise RuntimeError(
+                f"spark.checkpoint.dir = {configured} is a folder of each machine's own; name a shared "
+                "folder with its scheme (file:// for a mount that all machines share)"
+            )
         sc.setCheckpointDir(configured)
         return configured
     if not sc.master.startswith("local"):
