@@ -10,8 +10,9 @@ steps of equal tokens, those of like attention cost together.
 from __future__ import annotations
 
 import os
-import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,11 +26,35 @@ from pyspark.sql.types import StructType
 #: Context sizes, all powers of two.
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Characters of chunks that a tokenizer remembers.
-REMEMBERED = 4_000_000
-#: One mark after a letter or digit and before white space: a token boundary on both sides.
-_MARK = re.compile(r"(?<=[^\W_])[.,](?=\s|\Z)")
-#: Here white space and the tokenizer's own may differ, or a special token may stand.
-_DIRECT = re.compile("[\x1c-\x1f\x85]|<\\|")
+REMEMBERED = 6_000_000
+#: Stands between chunks that are encoded together, and between texts that are split together.
+_BETWEEN = "\x01"
+#: Here white space and the tokenizer's own may differ, or the mark above or a special token may stand.
+_ODD = b"\x01\x1c\x1d\x1e\x1f"
+_DIRECT = ("\x85".encode(), b"<|")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(97, 123)]] = True
+#: Second bytes of Latin letters that begin with 0xC3 (all but the multiplication and division signs).
+_LATIN = np.zeros(256, bool)
+_LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+
+
+#: Byte-level models write bytes as characters: printable ones as they are, the others from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def part_marks(text: bytes) -> bytes:
+    """Put a space before each full stop or comma between a letter or digit and white space.
+
+    There a token ends on both sides, so the words before the marks are met
+    again and again without them.
+    """
+    a = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((a[2:-1] == 46) | (a[2:-1] == 44)) + 2
+    after, before = a[at + 1], a[at - 1]
+    letter = _LETTER[before] | (_LATIN[before] & (a[at - 2] == 0xC3))
+    return np.insert(a, at[letter & ((after == 32) | (after == 10))], 32).tobytes()
 
 
 class ChunkTokenizer:
@@ -47,19 +72,37 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.size = 0
+        (self.between,) = self.whole(_BETWEEN)
+
+    def whole(self, text: str) -> np.ndarray:
+        (done,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(done.ids, dtype="<u2")
 
     def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks: words of plain or Latin letters by the model alone, others whole.
+
+        Such a word is one token of the splitter and is changed by the
+        normaliser in nothing but case, so only the model's merges are left.
+        """
+        self.size += sum(map(len, chunks))
+        merge, rest = self.tokenizer.model.tokenize, []
+        for c in chunks:
+            if not c.isalpha() or max(c) > "\xff":
+                rest.append(c)
+                continue
+            word = c if c.isascii() else c.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+            self.known[c] = _uint16([t.id for t in merge(word)])
+        self._learn_whole(rest)
+
+    def _learn_whole(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 4096):
             part = chunks[i : i + 4096]
-            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(done.ids, dtype="<u2").tobytes()
-            starts = np.array([a for a, _ in done.offsets], dtype=np.int64)
-            cuts = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in part])) * 2
-            begin = 0
-            for chunk, end in zip(part, cuts.tolist(), strict=True):
-                self.known[chunk] = ids[begin:end]
-                begin = end
-            self.size += sum(map(len, part))
+            ids = self.whole(f" {_BETWEEN} ".join(part))
+            ends = np.append(np.flatnonzero(ids == self.between), len(ids)) * 2
+            raw, begin = ids.tobytes(), 0
+            for chunk, end in zip(part, ends.tolist(), strict=True):
+                self.known[chunk] = raw[begin:end]
+                begin = end + 2
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit numbers."""
@@ -67,19 +110,43 @@ class ChunkTokenizer:
             self.known.clear()
             self.size = 0
         out: list[bytes] = [b""] * len(texts)
-        split: list[list[str]] = [[]] * len(texts)
+        own, raw = [], []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _DIRECT.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out[i] = np.array(ids, dtype="<u2").tobytes()
+            data = (text or "").encode()
+            if any(x in data for x in _DIRECT) or len(data.translate(None, _ODD)) < len(data):
+                out[i] = self.whole(text).tobytes()
             else:
-                split[i] = _MARK.sub(r" \g<0>", text.encode().lower().decode()).split()
-        self._learn(list(set().union(*split).difference(self.known)))
-        for i, chunks in enumerate(split):
-            if chunks:
-                out[i] = b"".join(map(self.known.__getitem__, chunks))
+                own.append(i)
+                raw.append(data.lower())
+        border = f"\n{_BETWEEN}\n"
+        parted = part_marks(b"\n\n" + border.encode().join(raw) + b"\n\n").decode()
+        chunks = [t.split() for t in parted.split(border)][: len(own)]
+        found = [list(map(self.known.get, c)) for c in chunks]
+        missing = [_places(f) for f in found]
+        self._learn(list({c[k] for c, m in zip(chunks, missing, strict=True) for k in m}))
+        for i, c, f, m in zip(own, chunks, found, missing, strict=True):
+            for k in m:
+                f[k] = self.known[c[k]]
+            out[i] = b"".join(f)
+        return out
+
+
+def _uint16(ids: list[int]) -> bytes:
+    """Little-endian, whatever the machine."""
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _places(values: list[bytes | None]) -> list[int]:
+    """Where a list has None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
         return out
 
 
