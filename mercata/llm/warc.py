@@ -31,6 +31,8 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 MAGIC = b"\x1f\x8b\x08"
 #: Namespace of the record ids that are derived from page ids.
 RECORDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Bytes of an archive that are inflated at once.
+STEP = 16 << 10
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -134,14 +136,19 @@ def parse_record(raw: bytes | memoryview, at: int, offset: int) -> tuple[Record,
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+    """The member at ``data[at:]`` and its end; fed in steps, so the rest of the archive is never copied."""
     z = zlib.decompressobj(31)
+    out, end = [], at
     try:
-        raw = z.decompress(memoryview(data)[at:])
+        while not z.eof and end < len(data):
+            step = data[end : end + STEP]
+            out.append(z.decompress(step))
+            end += len(step)
     except zlib.error as e:
         raise ValueError(f"gzip: {str(e)[:60]}") from None
     if not z.eof:
         raise ValueError("gzip: member cut off")
-    return raw, len(data) - len(z.unused_data)
+    return b"".join(out), end - len(z.unused_data)
 
 
 def _one_member(data: bytes, at: int) -> tuple[Record, int]:
