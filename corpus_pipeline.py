@@ -27,11 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that with the smallest id."""
-    found = simhash.near_duplicates(docs, words=4, max_bits=4)
-    heads = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each SimHash component, that with the smallest id (null ids last)."""
+    return simhash.one_per_component(docs, words=4, max_bits=4).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,11 +240,7 @@ def near_duplicates(
     more blocks keep groups small when there are billions of fingerprints.
     """
     marked = shared_table(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = shared_table(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    stars = components(fingerprint_links(distinct.select("fp"), max_bits, blocks, limit))
-    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(marked, max_bits, blocks, limit)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
@@ -252,3 +248,36 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def _rooted(marked: DataFrame, max_bits: int, blocks: int, limit: int) -> DataFrame:
+    """(fp, low, root) of each distinct fingerprint of (id, fp) rows; ``low`` is its smallest id."""
+    distinct = shared_table(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
+    stars = components(fingerprint_links(distinct.select("fp"), max_bits, blocks, limit))
+    return distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+
+
+def one_per_component(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    max_bits: int = 4,
+    blocks: int = 6,
+    limit: int = 4096,
+) -> DataFrame:
+    """Of each component of ``near_duplicates`` the row with the smallest id, whole.
+
+    A component is known by its fingerprints, not by an id: rows that share an
+    id, or have none, but not a text are documents of their own. Null ids come
+    last; equal ids go by a digest of the whole row, so a re-run keeps the
+    same row. Equal rows are one. An empty table gives an empty result.
+    """
+    digests = [F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-")) for c in docs.columns]
+    keyed = docs.withColumn("_row", F.sha2(F.concat_ws("|", *digests), 256))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    marked = shared_table(fingerprints(keyed.select(order.alias("id"), text_col), "id", text_col, words), "fingerprints")
+    chosen = _rooted(marked, max_bits, blocks, limit).groupBy("root").agg(F.min("low").alias("low"))
+    return keyed.join(chosen.select(F.col("low.row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

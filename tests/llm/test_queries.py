@@ -87,3 +87,14 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark, sf_dir):
         assert len(corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).collect()) >= len(rows)
     kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(odd, real.schema), sf_dir).collect()
     assert np.unique([str(r.doc_id) for r in kept]).size == len(kept)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_near_duplicate_stage_keeps_documents_that_share_an_id(spark, sf_dir):
+    import corpus_pipeline
+
+    own = [(None, f"no id {i} but words of its own v{i} u{i} t{i}") for i in range(5)] + [(7, f"shared id {i} and words s{i} r{i} q{i}") for i in range(3)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in own + own[:1] + [(None, own[6][1])]]
+    df = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(own, key=str)

@@ -97,3 +97,20 @@ def test_empty_table_and_other_columns(spark):
     assert sh.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(2, "x", 1, "y"), (1, "x", 2, "z")], "doc_id long, text string, fp int, component_id string")
     assert {tuple(r)[::2] for r in sh.near_duplicates(df).collect()} == {(1, 1), (2, 1)}
+
+
+def test_one_row_stays_per_component(spark):
+    rows = [(i, f"text {i} of its own with words w{i} x{i} y{i} z{i}", "a") for i in range(3)]
+    rows += [(None, f"no id {i} but words of its own v{i} u{i} t{i}", "a") for i in range(5)]
+    rows += [(7, f"shared id {i} and words s{i} r{i} q{i}", "a") for i in range(3)]
+    own = list(rows)
+    # copies: a later id, none at all, the same row again, the same text with another column
+    rows += [(50, rows[0][1], "b"), (None, rows[0][1], "b"), rows[1], rows[1], rows[3], (None, rows[3][1], "b"), (None, None, "a"), (9, "", "b"), (8, " ", "a")]
+    schema = "doc_id long, text string, source string"
+    kept = sorted(map(tuple, sh.one_per_component(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert len(brute([r[:2] for r in own])) == len({(c, f) for _, f, c in brute([r[:2] for r in own])}) == len(own)
+    assert len(kept) == len(own) + 1
+    assert {r[:2] for r in own} | {(8, " ")} == {r[:2] for r in kept}
+    again = sh.one_per_component(spark.createDataFrame(rows[::-1], schema).repartition(5))
+    assert sorted(map(tuple, again.collect()), key=str) == kept
+    assert sh.one_per_component(spark.createDataFrame([], schema)).collect() == []
