@@ -57,9 +57,13 @@ def format_pairs(
     role_col: str = "role",
     text_col: str = "text",
     trained: str = "assistant",
+    keep_chosen: bool = False,
 ) -> DataFrame:
     """A row per pair that has both sides: prompt and two masked completions.
 
+    ``keep_chosen``: a pair that has a chosen side alone keeps its row too; its
+    rejected side has no turns.
+
     ``chosen`` and ``rejected`` hold a row per turn (key, turn, role, text).
     Columns: key, ``n_prompt`` (turns both sides begin with), ``prompt``
     (those, rendered once), ``chosen`` and ``rejected`` (the rest of each
@@ -75,10 +79,12 @@ def format_pairs(
     """
     a = conversations(chosen, key, turn_col, role_col, text_col, "a")
     b = conversations(rejected, key, turn_col, role_col, text_col, "b").withColumnRenamed("key", "other")
-    both = a.join(b, F.col("key").eqNullSafe(F.col("other")))
+    both = a.join(b, F.col("key").eqNullSafe(F.col("other")), "left" if keep_chosen else "inner")
+    if keep_chosen:
+        both = both.withColumn("b", F.coalesce("b", F.array().cast(b.schema["b"].dataType)))
     common = F.least(F.size("a"), F.size("b"))
     differs = F.filter(
-        F.sequence(F.lit(1), common), lambda i: ~F.element_at("a", i).eqNullSafe(F.element_at("b", i))
+        F.sequence(F.lit(1), F.greatest(common, F.lit(1))), lambda i: ~F.get("a", i - 1).eqNullSafe(F.get("b", i - 1))
     )
     lcp = F.coalesce(F.get(differs, F.lit(0)) - 1, common)
     cut = both.withColumn("n", lcp)

@@ -66,9 +66,9 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with its neighbour's last answer."""
+    """Each conversation against itself with its neighbour's last answer (no turns if that leaves none)."""
     turns = table(spark, sf_dir, "conversations")
-    out = chat.format_pairs(turns, chat.swapped_answers(turns), key="conv_id")
+    out = chat.format_pairs(turns, chat.swapped_answers(turns), key="conv_id", keep_chosen=True)
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select(
         "conv_id",

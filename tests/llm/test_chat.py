@@ -78,3 +78,19 @@ def test_empty_tables_and_other_columns(spark):
     a = spark.createDataFrame([(1, 0, "user", "x", 5, "y")], SCHEMA + ", n int, a string")
     assert chat.format_pairs(a, a).first().same
     assert chat.format_pairs(a, a.limit(0)).collect() == [] and chat.swapped_answers(a.limit(0), key="pair_id").collect() == []
+
+
+def test_query_keeps_a_conversation_without_a_rejected_side(spark, tmp_path):
+    from hashlib import sha256
+
+    from mercata.llm.queries import op8_preference_pairs
+
+    turns = [(0, 0, "assistant", "alone"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "assistant", "b"), (None, 0, "assistant", "n")]
+    spark.createDataFrame(turns, SCHEMA.replace("pair_id", "conv_id")).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in op8_preference_pairs(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 2, 3, None}
+    drawn = "<|im_start|>assistant\nalone<|im_end|>\n"
+    digest = lambda t: sha256(t.encode()).hexdigest()
+    r = got[0]
+    assert (r.n_prompt, r.chosen_sha256, r.rejected_sha256) == (0, digest(drawn), digest(""))
+    assert (r.chosen_spans, r.rejected_spans, r.same) == (f"22-{len(drawn)}", "", False)
