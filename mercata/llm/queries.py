@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from mercata.llm import chat, decontaminate, embedding_lsh, licenses, line_dedup, packing, quality, sharding, simhash, warc
+from mercata.llm import (
+    chat, decontaminate, embedding_lsh, licenses, line_dedup, main_text, packing, prefix_trie, quality, repair, sharding, simhash, warc,
+)
 from mercata.llm.common import table
 
 
@@ -92,6 +94,23 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text.extract(table(spark, sf_dir, "pages"), min_tokens=8)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.rebuild(prefix_trie.sequences(table(spark, sf_dir, "conversations")), every=20, heads=4)
+    return prefix_trie.prefix_trie(convs).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -103,4 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_quality": op9_quality,
     "op10_pack": op10_pack,
+    "op11_main_text": op11_main_text,
+    "op12_repair": op12_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
