@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from mercata.llm.common import shared_table
 
@@ -321,26 +322,31 @@ def extract(pages: DataFrame, min_tokens: int = 8, url: str = "url", html: str =
     columns named ``text`` or ``n_removed`` are replaced. An empty table gives
     an empty result.
     """
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    names = [F.xxhash64(host).alias("host"), F.xxhash64(F.coalesce(F.col(f"`{html}`"), F.lit(""))).alias("page")]
-    read = pages.select(*names, F.col(f"`{html}`").alias("html"))
+    column = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    host = F.lower(F.regexp_extract(F.coalesce(column(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    names = [F.xxhash64(host).alias("host"), F.xxhash64(F.coalesce(column(html), F.lit(""))).alias("page")]
+    read = pages.select(*names, column(html).alias("html"))
     runs = shared_table(read.mapInArrow(_runs, "host long, page long, nth int, run string, open boolean"), "page-runs")
     places = repeated_places(runs, min_tokens)
     # only unmarked blocks depend on what their host repeats
     open_ = runs.where("open").select("host", "page", "nth", F.xxhash64("run").alias("run")).distinct()
     repeats = open_.join(places, ["host", "run"]).groupBy("host", "page").agg(F.collect_list(F.struct("nth", "places")).alias("repeats"))
     # written, so that its size is known when the join is planned: without unmarked blocks no page moves
-    repeats = shared_table(repeats, "page-repeats").withColumnsRenamed({"host": "_host", "page": "_page", "repeats": "_repeats"})
+    repeats = shared_table(repeats, "page-repeats")
     kept = [c for c in pages.columns if c not in ("text", "n_removed")]
-    keyed = pages.select(*[F.col(f"`{c}`") for c in kept], names[0].alias("_host"), names[1].alias("_page"))
-    wide = keyed.join(repeats, ["_host", "_page"], "left").select(*[F.col(f"`{c}`") for c in kept], "_repeats")
+    if html not in kept:
+        kept.append(html)
+    # columns by place, so that none of the caller's names can clash with ours
+    keyed = pages.select(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], *names)
+    wide = keyed.join(repeats, ["host", "page"], "left").drop("host", "page")
+    own = [c for c in kept if c in pages.columns and c not in ("text", "n_removed")]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = zip(b.column(kept.index(html)).to_pylist(), b.column(len(kept)).to_pylist(), strict=True)
             out = [page_text(h, {x["nth"]: x["places"] for x in r or ()}, min_tokens) for h, r in found]
             added = [pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *added], names=[*kept, "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *added], names=[*own, "text", "n_removed"])
 
-    schema = wide.drop("_repeats").schema.add("text", "string").add("n_removed", "long")
+    schema = StructType([StructField(c, pages.schema[c].dataType) for c in own]).add("text", "string").add("n_removed", "long")
     return wide.mapInArrow(texts, schema)

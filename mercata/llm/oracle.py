@@ -173,10 +173,131 @@ SELECT m.doc_id, m.path, coalesce(m.license, n.license) AS license,
 FROM marked m LEFT JOIN nearest n USING (dir)
 """
 
+#: The unsigned crc32 of an ASCII string, by the byte table of the reversed polynomial.
+_CRC_TABLE = """(SELECT list(list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) FROM range(256) AS r(n))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295::BIGINT)"""
+
+
+def _edit(v: str, cost: str, letter: str) -> str:
+    """A state (six digits of cost, then the audit) after one more edit."""
+    return f"printf('%06d', left({v}, 6)::INT + {cost}) || substr({v}, 7) || '{letter}'"
+
+
+def _keep(v: str, initial: str) -> str:
+    return f"CASE WHEN NOT forced AND initial = '{initial}' THEN {_edit(v, 'extra', 'K')} END"
+
+
+def _rerole(v: str) -> str:
+    return f"CASE WHEN NOT forced THEN {_edit(v, '3 + extra', 'R')} END"
+
+
+#: States with empty turns inserted: a user after the start, a system or an assistant turn, then an assistant.
+_INSERTED = """SELECT * EXCLUDE (u, a), u1 AS u, least(a, {late}) AS a
+  FROM (SELECT *, least(u, {first}, {second}, {third}) AS u1 FROM {source})"""
+
+
+def _inserted(source: str) -> str:
+    return _INSERTED.format(
+        late=_edit("u1", "3", "I"), first=_edit("z", "3", "I"), second=_edit("s", "3", "I"), third=_edit("a", "3", "I"), source=source
+    )
+
+
+# The cheapest edits by an automaton of the grammar: z nothing yet, s, u and a the last turn; least of (cost, audit) in each.
+_REPAIR = rf"""
+WITH RECURSIVE crcs AS (SELECT {_CRC_TABLE} AS crc), t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault
+  FROM conversations, crcs
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT * FROM t UNION ALL SELECT * FROM t WHERE fault = 3) WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), marked AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut
+  FROM placed
+), faults AS (
+  SELECT *, blank OR again AS forced, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM marked
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE extra > 0) AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faults GROUP BY conv_id
+), aligned AS (
+  SELECT conv_id, n, 0::BIGINT AS i, '000000' AS z, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM counts
+  UNION ALL
+  SELECT conv_id, n, i, {_edit("z", "4", "D")} AS z, least({_edit("s", "4", "D")}, {_keep("z", "s")}) AS s,
+         least({_edit("u", "4", "D")}, {_keep("z", "u")}, {_keep("s", "u")}, {_keep("a", "u")}, {_rerole("z")}, {_rerole("s")}, {_rerole("a")}) AS u,
+         least({_edit("a", "4", "D")}, {_keep("u", "a")}, {_rerole("u")}) AS a
+  FROM (SELECT b.conv_id, b.n, f.i, b.z, b.s, b.u, b.a, f.forced, f.extra, f.initial
+        FROM ({_inserted("aligned")}) b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1)
+), best AS (
+  SELECT conv_id, left(v, 6)::BIGINT AS cost, substr(v, 7) AS audit
+  FROM (SELECT conv_id, least(z, a) AS v FROM ({_inserted("aligned")}) WHERE i = n)
+), steps AS (
+  SELECT conv_id, p, edit, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS o
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(length(audit))) AS p FROM best WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), drawn AS (
+  SELECT s.conv_id, p, o, edit, f.role, f.text,
+         max(CASE WHEN o = 1 AND edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS led
+  FROM steps s LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i AND s.edit <> 'I'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                             || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS text
+  FROM drawn WHERE edit <> 'D' GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+# Every prefix of every rebuilt conversation, grouped; each node adds to all its ancestors.
+_TRIE = rf"""
+WITH crcs AS (SELECT {_CRC_TABLE} AS crc), t AS (
+  SELECT conv_id, turn, md5(length(role)::VARCHAR || ':' || role || text) AS key,
+         len(regexp_extract_all(text, '[^ 	-]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+), own AS (
+  SELECT conv_id, list(struct_pack(key := key, words := words) ORDER BY turn NULLS FIRST, key) AS turns FROM t GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, coalesce(b.turns[1:h], []) || o.turns[h + 1:] AS turns
+  FROM (SELECT *, coalesce({_CRC.format("conv_id::VARCHAR")} % 4, 0) AS h FROM own, crcs) o
+  LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, array_to_string(list_transform(turns[1:d], lambda x: x.key), ',') AS node,
+         CASE WHEN d > 0 THEN array_to_string(list_transform(turns[1:d - 1], lambda x: x.key), ',') END AS parent,
+         CASE WHEN d > 0 THEN turns[d].words ELSE 0 END AS words, len(turns) AS n,
+         list_transform(range(d + 1), lambda k: array_to_string(list_transform(turns[1:k], lambda x: x.key), ',')) AS above
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(words) AS saved, any_value(above) AS above,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY node
+), children AS (
+  SELECT parent, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT top, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM (SELECT unnest(above) AS top, saved, c.n_children FROM nodes LEFT JOIN children c ON c.parent = nodes.node) GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.top = n.node LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.parent = n.node
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op2_decontaminate": _DECONTAMINATE,
     "op5_warc": _WARC,
     "op6_license_scan": _LICENSES,
     "op8_preference_pairs": _CHAT,
+    "op12_repair": _REPAIR,
+    "op13_prefix_trie": _TRIE,
 }
