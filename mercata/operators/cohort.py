@@ -64,11 +64,13 @@ def pivot_wide(
     """Long cells as one row per ``row`` and one column per listed value; a
     missing cell is NULL. The values are a parameter of the report, so no job
     looks for them; a cell outside them raises instead of being dropped."""
-    wide = long.groupBy(*row).pivot(column, list(values)).agg(F.first(value))
-    outside = long.agg(F.count_if(~F.col(column).isin(*values))).scalar()
-    guard = F.when(outside > 0, F.raise_error(F.lit(f"{column} outside the listed values")))
     kind = long.schema[value].dataType
-    return wide.select(*row, *[F.coalesce(guard, F.col(f"`{v}`")).cast(kind).alias(f"{prefix}{v}") for v in values])
+    cells = [F.max(F.when(F.col(column) == v, F.col(value))).cast(kind).alias(f"{prefix}{v}") for v in values]
+    # counted with the cells, in the same pass
+    wide = long.groupBy(*row).agg(*cells, F.count_if(~F.col(column).isin(*values)).alias("_outside"))
+    guard = F.when(F.col("_outside") > 0, F.raise_error(F.lit(f"{column} outside the listed values")))
+    first, *rest = [f"{prefix}{v}" for v in values]
+    return wide.select(*row, F.coalesce(guard.cast(kind), F.col(f"`{first}`")).alias(first), *[F.col(f"`{c}`") for c in rest])
 
 
 def cohort_matrix_wide(

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import not_in, with_flag
+from mercata.functions.joins import attach, not_in, with_flag
 from mercata.functions.lineage import materialize
 from mercata.functions.rounding import (
     cents_to_money,
@@ -187,8 +187,10 @@ def product_revenue_share(
     per name before folding, so the column need not total 100."""
     sold = sales(orders, products, given_or_cancelled(cancelled, user_actions, cancel_action))
     by_name = sold.groupBy("name").agg(F.sum("cents").alias("rev"))
-    total = by_name.agg(F.sum("rev")).scalar()
-    shares = by_name.withColumn("share_units", round_ratio_units(F.col("rev") * 100, total, 2))
+    # one column that the rounding reads several times, not a subquery each time
+    shares = attach(by_name, by_name.agg(F.sum("rev").alias("_total")), []).withColumn(
+        "share_units", round_ratio_units(F.col("rev") * 100, F.col("_total"), 2)
+    )
     threshold_units = int(round(other_threshold * 100))
     folded = shares.select(
         F.when(F.col("share_units") < threshold_units, F.lit(other_label))

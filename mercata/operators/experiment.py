@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mercata.functions.joins import attach
 from mercata.functions.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from mercata.functions.rounding import round_ratio, round_ratio_units, units_to_double
-from mercata.functions.stats import normal_cdf, two_sided_p, z_quantile
+from mercata.functions.stats import normal_cdf, t_test_power, t_test_size, two_sided_p, z_quantile
 
 GROUP = "test_group"
 CONVERTED = "converted"
@@ -245,6 +245,23 @@ def ab_required_n(
     )
 
 
+def ab_required_n_t(
+    df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA, power: float = POWER, ratio: float = 1.0
+) -> DataFrame:
+    """A12 as the two-sample t test solves it: the size of the first arm
+    (the second has ``ratio`` times as many) that detects the observed h.
+    ``required_n_rounded`` is rounded to the nearest integer (halves to even).
+    NULL for h = 0 and for an empty arm; at least two a group."""
+    n = t_test_size(F.col("effect_size"), alpha, power, ratio)
+    sized = ab_effect_size(df, by).select(*by, "effect_size", n.alias("required_n"))
+    return sized.withColumns(
+        {
+            "required_n_rounded": F.rint("required_n").cast("bigint"),
+            "required_n_ceil": F.ceil("required_n").cast("bigint"),
+        }
+    )
+
+
 def _size(col: str) -> F.Column:
     """An arm's size; NULL for an empty arm, and so is all that divides by it."""
     return F.nullif(F.col(col).cast("double"), F.lit(0.0))
@@ -286,6 +303,18 @@ def ab_power(df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> Dat
     )
 
 
+def ab_power_t(df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
+    """A14 by the noncentral t distribution: achieved power of the two-sided
+    two-sample t test for the observed h with the actual arm sizes. NULL for
+    an experiment with an empty arm or fewer than four rows in all."""
+    pw = t_test_power(F.col("effect_size"), _size("n_control"), _size("n_test"), alpha)
+    return (
+        ab_effect_size(df, by)
+        .select(*by, "n_control", "n_test", "effect_size", pw.alias("power"))
+        .withColumn("power_rounded", F.round("power").cast("int"))
+    )
+
+
 def ab_null_distribution(df: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """Pooled rate, standard error and critical values of the
     difference under H0, rounded to 3 dp as the reference prints them and

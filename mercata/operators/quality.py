@@ -18,6 +18,7 @@ from mercata.functions.lineage import materialize
 from mercata.functions.quantiles import exact_quantiles
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
+HISTOGRAM_CHUNK = 4096
 REPLICATE_CHUNK = 10_000
 
 
@@ -149,3 +150,45 @@ def histogram_frame(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
         )
         .orderBy("bin")
     )
+
+
+def histogram_auto(df: DataFrame, col: str) -> DataFrame:
+    """H1 with as many bins as the data call for: bin, bin_lo, bin_hi, n.
+
+    The bin width is the smaller of the Sturges width, range / (log2 n + 1),
+    and the Freedman-Diaconis width, 2 IQR / n^(1/3), if the exact quartiles
+    differ, and at least 1 for integers. The number of bins is a value of the
+    running job: it's listed bin by bin from the counts' own row, in chunks,
+    so that a far outlier makes many rows and no large array. A constant
+    column has one bin from half below to half above; no values, no bins.
+    """
+    x = F.col(col).cast("double")
+    whole = df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long")
+    q = exact_quantiles(df, col, [0.25, 0.75], ["_q1", "_q3"])
+    ends = attach(df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(x).alias("_n")), q, []).where("_n > 0")
+    reach = F.col("_hi") - F.col("_lo")
+    n = F.col("_n").cast("double")
+    sturges = reach / (F.log2(n) + F.lit(1.0))
+    freedman = F.lit(2.0) * (F.col("_q3") - F.col("_q1")) / F.pow(n, F.lit(1.0 / 3.0))
+    width = F.when(freedman > 0, F.least(freedman, sturges)).otherwise(sturges)
+    width = F.greatest(width, F.lit(1.0)) if whole else width
+    flat = reach == 0
+    shape = materialize(
+        ends.select(
+            F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
+            F.when(flat, F.lit(1)).otherwise(F.ceil(reach / width)).cast("bigint").alias("_bins"),
+        )
+    )
+    place = F.floor((F.col("_x") - F.col("_lo")) * F.col("_bins") / (F.col("_hi") - F.col("_lo")))
+    rows = attach(df.select(x.alias("_x")).where(F.col("_x").isNotNull()), shape, [])
+    counts = rows.groupBy(F.least(place, F.col("_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    chunks = shape.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_bins") - 1) / HISTOGRAM_CHUNK))))
+    first = F.col("_chunk") * HISTOGRAM_CHUNK
+    bins = chunks.withColumn("bin", F.explode(F.sequence(first, F.least(first + HISTOGRAM_CHUNK, F.col("_bins")) - 1)))
+    edge = lambda b: F.col("_lo") + b * (F.col("_hi") - F.col("_lo")) / F.col("_bins")
+    return (
+        bins.join(counts, "bin", "left")
+        .select("bin", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + 1).alias("bin_hi"), F.coalesce("n", F.lit(0)).alias("n"))
+        .orderBy("bin")
+    )

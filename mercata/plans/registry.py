@@ -466,6 +466,11 @@ def q_score_mean_bars(spark, d):
     return _r(rf.cluster_mean_bars(_coded(spark, d), "RFM_score"))
 
 
+@register("cluster_mean_bars_bootstrap")
+def q_cluster_mean_bars_bootstrap(spark, d):
+    return _r(rf.cluster_mean_bars_bootstrap(_coded(spark, d), "RFM_score"))
+
+
 @register("rfm_code_count")
 def q_rfm_code_count(spark, d):
     return rf.rfm_code_count(_coded(spark, d))
@@ -497,6 +502,17 @@ def q_rfm_density_log(spark, d):
     return _density(rf.rfm_log(_rfm(spark, d)))
 
 
+@register("rfm_density_exact")
+def q_rfm_density_exact(spark, d):
+    return rf.rfm_density_exact(_rfm(spark, d, reused=True)).withColumns({"x": F.round("x", 6), "density": F.round("density", 14)})
+
+
+@register("rfm_density_exact_log")
+def q_rfm_density_exact_log(spark, d):
+    logs = rf.rfm_log(_rfm(spark, d, reused=True))
+    return rf.rfm_density_exact(logs).withColumns({"x": F.round("x", 6), "density": F.round("density", 14)})
+
+
 @register("rfm_code_sizes")
 def q_rfm_code_sizes(spark, d):
     return rf.cluster_sizes(_coded(spark, d), "RFM_cluster")
@@ -612,6 +628,26 @@ def q_ab_required_n(spark, d):
     return _r(ab.ab_required_n(_ab2(spark, d)), 6)
 
 
+@register("ab_required_n_t")
+def q_ab_required_n_t(spark, d):
+    return _r(ab.ab_required_n_t(_ab2(spark, d)), 5)
+
+
+@register("ab_required_n_t_by_experiment")
+def q_ab_required_n_t_by_experiment(spark, d):
+    return _r(ab.ab_required_n_t(_abs(spark, d), ["experiment"]), 5)
+
+
+@register("ab_power_t")
+def q_ab_power_t(spark, d):
+    return _r(ab.ab_power_t(_ab2(spark, d)), 8)
+
+
+@register("ab_power_t_by_experiment")
+def q_ab_power_t_by_experiment(spark, d):
+    return _r(ab.ab_power_t(_abs(spark, d), ["experiment"]), 8)
+
+
 @register("ab_ztest")
 def q_ab_ztest(spark, d):
     return _r(ab.ab_ztest(_ab2(spark, d)), 9)
@@ -642,6 +678,21 @@ def q_ab_exposure_histogram(spark, d):
     return _r(ql.histogram_frame(_ab(spark, d), "total_ads", 30), 9)
 
 
+@register("ab_exposure_histogram_auto")
+def q_ab_exposure_histogram_auto(spark, d):
+    return _r(ql.histogram_auto(_ab(spark, d), "total_ads"), 9)
+
+
+@register("ab_exposure_histogram_auto_trimmed")
+def q_ab_exposure_histogram_auto_trimmed(spark, d):
+    return _r(ql.histogram_auto(_ab2(spark, d), "total_ads"), 9)
+
+
+@register("rfm_monetary_histogram_auto")
+def q_rfm_monetary_histogram_auto(spark, d):
+    return _r(ql.histogram_auto(_rfm(spark, d, reused=True), "MonetaryValue"), 6)
+
+
 @register("ab_exposure_describe")
 def q_ab_exposure_describe(spark, d):
     return _r(ql.describe_numeric(_ab(spark, d), ["total_ads"]))

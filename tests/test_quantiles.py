@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mercata.functions.quantiles import exact_quantiles, quantile_bins
+from mercata.functions.quantiles import FEW, candidates, exact_quantiles, ordered_bits, quantile_bins, value_counts
 
 PROBS = [0.0, 0.01, 0.25, 1 / 3, 0.5, 2 / 3, 0.99, 1.0]
 
@@ -83,3 +83,41 @@ def test_matches_numpy_small(spark, values):
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_tiny(spark, n):
     _check(spark, list(range(n)), PROBS)
+
+
+def test_bits_order_like_the_double(spark):
+    import math
+    import struct
+
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), -float("inf")]
+    for e in range(-1022, 1024, 31):
+        values += [math.ldexp(1.0, e), math.nextafter(math.ldexp(1.0, e), 0), -math.nextafter(math.ldexp(1.0, e), math.inf)]
+    values += list(rng.normal(0, 1, 300)) + list(10.0 ** rng.uniform(-300, 300, 300))
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    for x, bits in df.select("x", ordered_bits(F.col("x"))).collect():
+        pattern = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert bits == (-pattern if x < 0 else pattern), x
+
+
+def test_a_far_outlier_leaves_few_values_to_the_window(spark):
+    """One value of 1e12 among 200,000 distinct ones below 10,000: no window sorts more than FEW of them."""
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") == 7, F.lit(1e12)).otherwise(F.col("id") / F.lit(20.0)).alias("x"))
+    values = np.arange(n) / 20.0
+    values[7] = 1e12
+    probs = [0.0, 0.25, 0.5, 0.99, 0.999995, 1.0]
+    got = list(exact_quantiles(df, "x", probs).first())
+    assert np.allclose(got, np.quantile(values, probs), rtol=1e-12)
+    left = candidates(value_counts(df, "x"), probs)
+    sizes = [r["count"] for r in left.groupBy("_t.i").count().collect()]
+    assert len(sizes) == 2 * len(probs) and max(sizes) <= FEW
+
+
+def test_selection_goes_on_to_the_last_bits(spark):
+    """Values that differ in their lowest bits only."""
+    n = 20_000
+    df = spark.range(n).select((F.lit(1.0) + F.col("id") * F.lit(2.0**-52)).alias("x"))
+    got = list(exact_quantiles(df, "x", [0.0, 0.5, 1.0]).first())
+    assert got[0] == 1.0 and got[2] == 1.0 + (n - 1) * 2.0**-52
+    assert abs(got[1] - (1.0 + (n - 1) / 2 * 2.0**-52)) <= 2.0**-52
