@@ -168,3 +168,18 @@ def campaign_arppu(campaign_users, user_actions, orders, products, spend) -> Dat
         round_ratio(cum_rev, cum_payers * 100, 2).alias("cumulative_arppu"),
         (cum_rev >= F.col("amount") * 100).alias("paid_back"),
     ).orderBy("campaign", "date")
+
+
+def campaign_payback(campaign_users, user_actions, orders, products, spend) -> DataFrame:
+    """D5, the day a campaign pays: per campaign with a spend, the first date on
+    which cumulative revenue covers it, its number counted from the first
+    order's date (1), and the revenue by then. NULL while it hasn't paid back."""
+    daily = campaign_arppu(campaign_users, user_actions, orders, products, spend).where(F.col("paid_back").isNotNull())
+    paid = F.when(F.col("paid_back"), F.struct("date", "cumulative_revenue"))
+    per = daily.groupBy("campaign").agg(F.min("date").alias("_first"), F.min(paid).alias("_paid"))
+    return per.select(
+        "campaign",
+        F.col("_paid.date").alias("payback_date"),
+        (F.datediff("_paid.date", "_first") + 1).alias("payback_day"),
+        F.col("_paid.cumulative_revenue").alias("revenue_by_then"),
+    ).orderBy("campaign")

@@ -121,11 +121,15 @@ def _features(scaled: DataFrame, cols: Sequence[str], customer: str = "CustomerI
     return materialize(VectorAssembler(inputCols=list(cols), outputCol="features").transform(placed))
 
 
-def _best_fit(feats: DataFrame, k: int, seeds: Sequence[int], max_iter: int):
+#: Centres that move less than this a step have settled.
+KMEANS_TOL, SETTLED = 1e-4, 1e-12
+
+
+def _best_fit(feats: DataFrame, k: int, seeds: Sequence[int], max_iter: int, tol: float = KMEANS_TOL):
     """The fit with the lowest cost over several starts (the first of equals)."""
     from pyspark.ml.clustering import KMeans
 
-    fits = [KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-4).fit(feats) for s in seeds]
+    fits = [KMeans(k=k, seed=s, maxIter=max_iter, tol=tol).fit(feats) for s in seeds]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -177,7 +181,7 @@ def kmeans_segments(
     no cluster (``undefined_logs`` counts them)."""
     feats = _features(scaled, cols, customer).persist()
     try:
-        model = _best_fit(feats, k, seeds, max_iter)
+        model = _best_fit(feats, k, seeds, max_iter, SETTLED)
     finally:
         feats.unpersist()
     labelled = model.transform(feats).select(customer, F.col("prediction").alias("_raw"))
@@ -192,6 +196,107 @@ def kmeans_segments(
     return labelled.join(order, "_raw").select(customer, F.col("cluster").cast("int"))
 
 
+def clustering_certificate(
+    assigned: DataFrame, centres: Sequence[Sequence[float]], cols: Sequence[str] = RFM_COLS, cluster: str = "cluster"
+) -> DataFrame:
+    """What makes an assignment a k-means solution, checked without the solver.
+
+    ``assigned`` holds the features and a cluster 0..k-1 a row; ``centres`` are
+    the solver's (k of them). One row: customers, clusters (that have any),
+    misplaced (customers nearer to another cluster's mean), centres_off
+    (centres that aren't their customers' mean), within (sum of squares
+    around the means), between (of the means around the grand mean, weighed by
+    size), total (around the grand mean, from the variances alone) and
+    decomposed (within + between is total). Distances are compared to a part
+    in 10^9. Only k means are gathered.
+    """
+    k = len(centres)
+    means = assigned.groupBy(F.col(cluster).cast("int").alias("_c")).agg(
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(c) for c in cols]).alias("_mean")
+    )
+    known = F.map_from_entries(F.array(*[F.struct(F.lit(i), F.array(*[F.lit(float(v)) for v in c])) for i, c in enumerate(centres)]))
+    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    means = materialize(means.withColumn("_off", F.coalesce(square(F.col("_mean"), known[F.col("_c")]) > 1e-12, F.lit(True))))
+    table = means.agg(F.map_from_entries(F.collect_list(F.struct("_c", "_mean"))).alias("_means"))
+    own = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = attach(assigned.select(F.col(cluster).cast("int").alias("_c"), own.alias("_x")), table, [])
+    rows = rows.withColumn("_all", F.transform(F.map_values("_means"), lambda m: square(F.col("_x"), m))).withColumn(
+        "_own", square(F.col("_x"), F.col("_means")[F.col("_c")])
+    )
+    within = rows.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(F.col("_own") > F.array_min("_all") * (1 + 1e-9) + 1e-12).alias("misplaced"),
+        F.sum("_own").alias("within"),
+    )
+    total = sum((F.count(c) * F.var_pop(c) for c in cols), F.lit(0.0))
+    grand = attach(means, assigned.agg(F.array(*[F.avg(c) for c in cols]).alias("_grand"), total.alias("_total")), [])
+    between = grand.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.count_if("_off").alias("centres_off"),
+        F.sum(F.col("_n") * square(F.col("_mean"), F.col("_grand"))).alias("between"),
+        F.max("_total").alias("total"),
+    )
+    out = attach(within, between, [])
+    gap = F.abs(F.col("within") + F.col("between") - F.col("total"))
+    return out.select(
+        F.lit(k).alias("k"), "customers", "clusters", "misplaced", "centres_off", "within", "between", "total",
+        (gap <= F.col("total") * 1e-9).alias("decomposed"),
+    )
+
+
+def kmeans_certificate(
+    scaled: DataFrame, k: int = 3, customer: str = "CustomerID", cols: Sequence[str] = RFM_COLS,
+    seeds: Sequence[int] = KMEANS_SEEDS, max_iter: int = 300,
+) -> DataFrame:
+    """The certificate of the labels that ``kmeans_segments`` gives, over written assignments."""
+    feats = _features(scaled, cols, customer).persist()
+    try:
+        model = _best_fit(feats, k, seeds, max_iter, SETTLED)
+        assigned = materialize(model.transform(feats).select(*cols, F.col("prediction").alias("cluster")))
+    finally:
+        feats.unpersist()
+    return clustering_certificate(assigned, [list(c) for c in model.clusterCenters()], cols)
+
+
+def kmeans_elbow_certificate(
+    scaled: DataFrame, ks: Sequence[int] = tuple(range(1, 15)), cols: Sequence[str] = RFM_COLS,
+    seeds: Sequence[int] = KMEANS_SEEDS, max_iter: int = 300,
+) -> DataFrame:
+    """Per k, whether the elbow's cost is what its assignment costs.
+
+    The cost is summed anew from the solver's centres, every customer at its
+    nearest; ``cost_agrees`` compares it with the solver's own, and
+    ``no_worse`` says that it isn't above the cost of a smaller k.
+    """
+    feats = _features(scaled, cols).select(*cols, "features").persist()
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    square = lambda m: F.aggregate(F.zip_with(x, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    told, sums = [], []
+    try:
+        for k in (k for k in ks if k > 1):
+            model = _best_fit(feats, k, seeds, max_iter)
+            told.append((k, float(model.summary.trainingCost)))
+            centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+            sums.append(F.sum(F.array_min(F.transform(centres, square))).alias(f"k{k}"))
+        summed = materialize(feats.agg(F.count(F.lit(1)).alias("customers"), *sums))
+        one = materialize(total_inertia(feats, cols))
+    finally:
+        feats.unpersist()
+    costs = scaled.sparkSession.createDataFrame(told, "k int, told double")
+    again = summed.unpivot(["customers"], [f"k{k}" for k, _ in told], "name", "cost").select(
+        "customers", F.substring("name", 2, 9).cast("int").alias("k"), "cost"
+    )
+    rows = costs.join(again, "k")
+    if 1 in ks:
+        single = attach(summed.select("customers"), one, []).select("k", F.col("inertia").alias("told"), "customers", F.col("inertia").alias("cost"))
+        rows = rows.unionByName(single)
+    below = F.min("cost").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))  # a row a k
+    return rows.select(
+        "k", "customers", (F.abs(F.col("told") - F.col("cost")) <= 1e-6 * F.col("told")).alias("cost_agrees"),
+        F.coalesce(F.col("cost") <= below * (1 + 1e-9), F.lit(True)).alias("no_worse"),
+    ).orderBy("k")
+
+
 def cluster_profile(rfm: DataFrame, cluster_col: str, cols: Sequence[str] = RFM_COLS) -> DataFrame:
     """Per cluster mean of R, F, M and the number of customers."""
     return (

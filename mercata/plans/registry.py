@@ -278,6 +278,10 @@ def _raw_tx(spark: SparkSession, d: str) -> DataFrame:
     return fx.retail_transactions(spark, d).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
 
 
+#: Places of rows that a report leaves out.
+DROPPED_ROWS = (0, 523, 5323)
+
+
 @register("null_profile")
 def q_null_profile(spark, d):
     return ql.null_profile(fx.retail_transactions(spark, d))
@@ -320,6 +324,12 @@ def q_drop_outlier_rows(spark, d):
     return ql.drop_rows(tx, ql.outlier_rows(tx, "UnitPrice", fx.PRICE_OUTLIER).distinct())
 
 
+@register("drop_row_at")
+def q_drop_row_at(spark, d):
+    """The orders without the rows at three places of the table."""
+    return tb.drop_row_at(spark, DROPPED_ROWS, f"{d.rstrip('/')}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+
+
 @register("invoice_timestamps")
 def q_invoice_timestamps(spark, d):
     """Invoice times parsed from text, lines counted per day."""
@@ -415,6 +425,19 @@ def q_kmeans_elbow(spark, d):
     return rf.kmeans_elbow(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d))))
 
 
+@register("kmeans_certificate")
+def q_kmeans_certificate(spark, d):
+    """R7 for three and four clusters: the labels are a k-means solution."""
+    scaled = rf.rfm_standardize(rf.rfm_log(_rfm(spark, d, reused=True)))
+    rows = rf.kmeans_certificate(scaled, 3).unionByName(rf.kmeans_certificate(scaled, 4))
+    return rows.select("k", "customers", "clusters", "misplaced", "centres_off", F.round("total", 3).alias("total"), "decomposed")
+
+
+@register("kmeans_elbow_certificate")
+def q_kmeans_elbow_certificate(spark, d):
+    return rf.kmeans_elbow_certificate(rf.rfm_standardize(rf.rfm_log(_rfm(spark, d, reused=True))))
+
+
 def _segments(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     rfm = _rfm(spark, d, reused=True)
     seg = rf.kmeans_segments(rfm, rf.rfm_standardize(rf.rfm_log(rfm)), k=k)
@@ -736,6 +759,11 @@ def q_campaign_arppu(spark, d):
     return cp.campaign_arppu(*_campaign_inputs(spark, d))
 
 
+@register("campaign_payback")
+def q_campaign_payback(spark, d):
+    return cp.campaign_payback(*_campaign_inputs(spark, d))
+
+
 # ------------------------------------------------------------------- product
 
 
@@ -749,6 +777,17 @@ def q_engagement_ctr(spark, d):
     return pr.engagement_ctr(fx.events(spark, d))
 
 
+@register("active_users_rollup")
+def q_active_users_rollup(spark, d):
+    return pr.active_users_rollup(fx.events(spark, d))
+
+
+@register("audience_cube")
+def q_audience_cube(spark, d):
+    tables = (fx.read_table(spark, d, t) for t in ("customer", "nation", "region"))
+    return pr.audience_cube(fx.events(spark, d), *tables)
+
+
 @register("audience_slices")
 def q_audience_slices(spark, d):
     users = pr.event_users_with_profile(

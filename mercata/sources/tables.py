@@ -7,7 +7,9 @@ schema inference is an extra full pass over the file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,3 +107,37 @@ def to_timestamp_column(df: DataFrame, column: str, fmt: str | None = None) -> D
         "timestamp_ntz"
     )
     return df.withColumn(column, value)
+
+
+def row_positions(spark: SparkSession, *paths: str, name: str = "position") -> DataFrame:
+    """A Parquet table with each row's place in it, from 0, as column ``name``.
+
+    A row's place in its file is what the Parquet reader tells
+    (``_metadata.row_index``); files follow one another by path. So rows are
+    numbered where they are read: only the files' sizes, a row a file, are
+    added up in order.
+    """
+    read = spark.read.parquet(*paths)
+    own = [F.col(f"`{c}`") for c in read.columns]
+    rows = read.select(*own, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(offsets, "_file").select(*own, (F.col("_before") + F.col("_at")).alias(name))
+
+
+def drop_row_at(spark: SparkSession, positions: Sequence[int], *paths: str, missing: str = "ignore") -> DataFrame:
+    """A Parquet table without the rows at the given places (from 0).
+
+    ``missing='raise'`` refuses places that the table doesn't have. The list
+    is a parameter of the report.
+    """
+    if missing not in ("ignore", "raise"):
+        raise ValueError("missing must be 'ignore' or 'raise'")
+    rows = row_positions(spark, *paths, name="_position")
+    if missing == "raise":
+        have = rows.agg(F.coalesce(F.max("_position"), F.lit(-1))).first()[0]
+        beyond = [p for p in positions if not 0 <= p <= have]
+        if beyond:
+            raise KeyError(f"no rows at {beyond}")
+    return rows.where(~F.col("_position").isin([int(p) for p in positions])).drop("_position")

@@ -9,7 +9,7 @@ import pytest
 from mercata.plans.registry import QUERIES
 
 # MLlib k-means runs its own jobs while the plan is built.
-EAGER = {"kmeans_elbow", "kmeans_segments", "kmeans_profile", "kmeans_profile_four", "cluster_sizes", "cluster_mean_bars"}
+EAGER = {"kmeans_elbow", "kmeans_segments", "kmeans_profile", "kmeans_profile_four", "cluster_sizes", "cluster_mean_bars", "kmeans_certificate", "kmeans_elbow_certificate"}
 
 
 def _plan(df) -> str:
@@ -42,3 +42,21 @@ def test_not_in_is_an_equi_anti_join(spark, sf_dir):
     plan = _plan(QUERIES["daily_revenue"](spark, sf_dir))
     assert "LeftAnti" in plan
     assert not re.search(r"BroadcastNestedLoopJoin.*LeftAnti", plan)
+
+
+def _copies(df) -> int:
+    """Scalar subqueries of the logical plan, each mention counted."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery#")
+
+
+@pytest.mark.parametrize("wide, long", [("cohort_matrix_wide", "cohort_matrix"), ("cohort_retention_wide", "cohort_retention_rate"),
+                                        ("ab_day_mix_wide", "ab_day_mix"), ("ab_hour_mix_wide", "ab_hour_mix")])
+def test_a_wide_form_reads_what_its_long_form_reads(spark, sf_dir, wide, long):
+    scans = lambda name: _plan(QUERIES[name](spark, sf_dir)).count("FileScan")
+    assert scans(wide) <= scans(long)
+
+
+def test_a_total_is_asked_for_once(spark, sf_dir):
+    # the share's total and the emptiness of the cancelled set, in both copies of the sales
+    assert _copies(QUERIES["product_revenue_share"](spark, sf_dir)) <= 4
+    assert _copies(QUERIES["rfm_standardize"](spark, sf_dir)) <= 2

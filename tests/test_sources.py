@@ -6,11 +6,12 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from mercata.operators import quality as ql
 from mercata.sources import tables as tb
-from mercata.sources.sinks import write_report
+from mercata.sources.sinks import expire_versions, publish_report, read_report, stage_report, switch_report, write_report
 
 AB_CSV = """,user id,test group,converted,total ads,most ads day,most ads hour
 0,1069124,ad,False,130,Monday,20
@@ -101,3 +102,69 @@ def test_write_delivery_dashboard(spark, sf_dir):
     assert sorted(map(tuple, back.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     rpaths = dashboards.write_dashboard(tables, dashboards.retention_overview, out)
     assert len(rpaths) == 5
+
+
+def test_published_report_survives_a_cut_off_write(spark, tmp_path):
+    path = str(tmp_path / "report")
+    old = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "date string, n int").withColumn("date", F.to_date("date"))
+    publish_report(old, path, partition_by="date")
+    rows = lambda: sorted((str(r.date), r.n) for r in read_report(spark, path).collect())
+    assert rows() == [("2024-01-01", 1), ("2024-01-02", 2)]
+    new = old.withColumn("n", F.col("n") * 10)
+    stage_report(new, path, partition_by="date")  # written, and then the job dies
+    assert rows() == [("2024-01-01", 1), ("2024-01-02", 2)]
+    # a job that dies while it writes
+    with pytest.raises(Exception):
+        publish_report(new.withColumn("n", F.when(F.col("n") > 10, F.raise_error(F.lit("lost"))).otherwise(F.col("n")).cast("int")), path, partition_by="date")
+    assert rows() == [("2024-01-01", 1), ("2024-01-02", 2)]
+    assert read_report(spark, path).schema == old.select("n", "date").schema or set(read_report(spark, path).columns) == {"date", "n"}
+    assert len(expire_versions(spark, path)) >= 1 and rows() == [("2024-01-01", 1), ("2024-01-02", 2)]
+
+
+def test_a_day_is_run_again_without_the_others(spark, tmp_path):
+    path = str(tmp_path / "report")
+    frame = lambda rows: spark.createDataFrame(rows, "date string, n int").withColumn("date", F.to_date("date"))
+    assert publish_report(frame([("2024-01-01", 1), ("2024-01-02", 2)]), path, "date") == 1
+    assert publish_report(frame([("2024-01-02", 5), ("2024-01-02", 6), ("2024-01-03", 7)]), path, "date", only_parts=True) == 2
+    got = read_report(spark, path)
+    assert sorted((str(r.date), r.n) for r in got.collect()) == [("2024-01-01", 1), ("2024-01-02", 5), ("2024-01-02", 6), ("2024-01-03", 7)]
+    assert dict(got.dtypes)["date"] == "date"
+    with pytest.raises(ValueError):
+        publish_report(frame([("2024-01-02", 5)]).withColumn("m", F.lit(1)), path, "date", only_parts=True)
+    with pytest.raises(ValueError):
+        publish_report(frame([]), path, only_parts=True)
+    assert publish_report(frame([]), path, "date") == 3
+    assert read_report(spark, path).collect() == [] and read_report(spark, path).columns == ["date", "n"]
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    from mercata.sources import sinks
+
+    path = str(tmp_path / "report")
+    df = spark.range(3).toDF("n")
+    publish_report(df, path)
+    staged, seen = stage_report(df.limit(1), path), sinks._manifest(spark, path)
+    publish_report(df.limit(2), path)
+    monkeypatch.setattr(sinks, "_manifest", lambda *_: seen)  # it looked before the other one switched
+    with pytest.raises(RuntimeError):
+        switch_report(spark, path, staged)
+    monkeypatch.undo()
+    assert read_report(spark, path).count() == 2
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, str(tmp_path / "none"))
+
+
+def test_rows_are_dropped_by_place(spark, tmp_path):
+    """Places run through the files in order, whatever the splits."""
+    path = str(tmp_path / "t")
+    for i, (a, b) in enumerate([(0, 10), (10, 11), (11, 40)]):
+        spark.range(a, b, numPartitions=1).selectExpr("id", "id % 3 AS `a.b`").write.parquet(f"{path}/part{i}")
+    paths = [f"{path}/part{i}" for i in range(3)]
+    got = tb.row_positions(spark, *paths).collect()
+    assert sorted((r.position, r.id) for r in got) == [(i, i) for i in range(40)]
+    kept = tb.drop_row_at(spark, [0, 9, 10, 39, 99], *paths)
+    assert kept.columns == ["id", "a.b"]
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(40) if i not in (0, 9, 10, 39)]
+    with pytest.raises(KeyError):
+        tb.drop_row_at(spark, [99], *paths, missing="raise")
+    assert tb.drop_row_at(spark, [], *paths, missing="raise").count() == 40
