@@ -139,14 +139,16 @@ def labelled_sample(
 ) -> list[tuple[dict[str, int], int]]:
     """Word counts and label of at most ``fit_rows`` labelled rows, the same at every run.
 
-    The rows are those with the smallest hashes of their ids; a label other
-    than 0 or 1 is no label. Their ids, at most ``fit_rows``, are broadcast.
+    The rows are those with the smallest hashes of their ids, of all labels
+    whose id ``docs`` has; a label other than 0 or 1 is no label. Their ids,
+    at most ``fit_rows``, are broadcast.
     """
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
         .where("id IS NOT NULL AND label IN (0, 1)")
         .groupBy("id")
         .agg(F.min("label").alias("label"))
+        .join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
         .orderBy(F.xxhash64("id"), "id")
         .limit(fit_rows)
     )

@@ -82,3 +82,15 @@ def test_edge_cases(spark):
     none = ql.score_quality(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert ql.score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_labels_of_other_corpora_take_no_place(spark):
+    """A hundred thousand labels, fifty documents: all that have a label and aren't held out teach."""
+    words = {0: "### $$$ %%%", 1: "apple pear plum"}
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:50]
+    docs = spark.createDataFrame([(i, f"{words[i % 2]} w{i % 3} {words[i % 2]}") for i in ids], "doc_id long, text string")
+    labels = spark.range(100_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    sample = ql.labelled_sample(docs, labels, "doc_id", "text", "quality", 3000)
+    assert len(sample) == 50
+    got = {r.doc_id: r.score for r in ql.score_quality(docs, labels).collect()}
+    assert min(s for i, s in got.items() if i % 2) > 0.5 > max(s for i, s in got.items() if not i % 2)
