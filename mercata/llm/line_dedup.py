@@ -183,14 +183,18 @@ def dedup_lines(
     one empty line and come back as ''. Null ids are an id like any other. An
     empty table gives an empty result. Other columns pass unchanged.
 
-    The documents arrive in ``batches`` by a hash of the id, all of them
+    The documents arrive in ``batches`` by a hash of the row, all of them
     counted. The 128-bit keys of lines travel, never the lines. A key that
-    holds 1 / HEAVY_PART of all (document, line) pairs is told to the tasks
-    directly (at most HEAVY_PART such keys exist, 16 bytes each); all others
-    are joined on the key, so that no key is large there.
+    holds 1 / HEAVY_PART of all (document, line) pairs, counted over all
+    batches, is told to the tasks directly (at most HEAVY_PART such keys exist,
+    16 bytes each); all others are joined on the key, so that no key is large
+    there. What a document loses comes back under its id and a hash of its
+    text: documents that share an id, or have none, are rows of their own. (Two
+    texts of one id and hash would both be told both texts' lines, which leave
+    every document anyway.)
     """
     spark = docs.sparkSession
-    batch = F.pmod(F.xxhash64(F.col(id_col), F.lit("batch")), F.lit(batches)).cast("int")
+    batch = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("batch")), F.lit(batches)).cast("int")
     staged = shared_table(
         line_counts(docs.select(batch.alias("batch"), F.col(text_col).alias("text")), "batch", "text", min_chars),
         "line-counts",
@@ -198,19 +202,23 @@ def dedup_lines(
     runs = LineRuns(spark, min_docs, fanout)
     for i in range(batches):
         runs.add(staged.where(F.col("batch") == i).select("key", "n"))
-    frequent = shared_table(runs.frequent(), "frequent-lines")
+    frequent = shared_table(runs.frequent().select("key"), "frequent-lines")
 
+    # the runs stop counting a saturated line, so what is heavy is asked of the batches' own counts
     pairs_total = staged.agg(F.sum("n")).first()[0] or 0
     least = max(min_docs, -(-pairs_total // HEAVY_PART))
-    heavy = frozenset(bytes(r[0]) for r in frequent.where(F.col("n") >= least).select("key").collect())
-    rare = frequent.where(F.col("n") < least).select("key")
+    hot = staged.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    heavy = frozenset(bytes(r[0]) for r in hot.collect())
+    told = spark.createDataFrame([(bytearray(k),) for k in sorted(heavy)], "key binary")
+    rare = frequent.join(F.broadcast(told), "key", "left_anti")
 
     id_type = docs.schema[id_col].dataType
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     owned = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_pairs(min_chars, heavy), StructType().add("id", id_type).add("key", "binary"))
+        docs.select(row.alias("id"), F.col(text_col).alias("text"))
+        .mapInArrow(_pairs(min_chars, heavy), StructType().add("id", StructType().add("id", id_type).add("h", "long")).add("key", "binary"))
         .join(rare, "key")
-        .groupBy("id")
+        .groupBy("id.id", "id.h")
         .agg(F.collect_set("key").alias("keys"))
     )
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
@@ -219,8 +227,10 @@ def dedup_lines(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
         F.col(text_col).alias("text"),
         F.col(id_col).alias("row_id"),
+        F.xxhash64(F.col(text_col)).alias("row_h"),
     )
-    joined = rows.join(owned, F.col("row_id").eqNullSafe(F.col("id")), "left").select("row", "text", "keys")
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("h"))
+    joined = rows.join(owned, same, "left").select("row", "text", "keys")
     schema = StructType().add("row", joined.schema["row"].dataType).add("text", "string")
     out = joined.mapInArrow(_rewriter(min_chars, heavy), schema.add("n_lines", "long").add("n_dropped", "long"))
     return out.select(

@@ -67,3 +67,20 @@ def test_runs_are_compacted_and_saturated_lines_are_not_added_again(spark):
     runs.add(batch((b"b", 1)))
     assert [len(x) for x in runs.levels] == [1, 1]
     assert sorted(bytes(r.key) for r in runs.frequent().collect()) == [b"a", b"b"]
+
+
+def test_heavy_lines_are_counted_over_all_batches(spark, monkeypatch):
+    """The runs stop counting a saturated line; a line in half of all pairs is told to the tasks all the same."""
+    rows = [(i, f"everywhere\nrare {i // 3}") for i in range(300)]
+    told = []
+    rewriter = ld._rewriter
+    monkeypatch.setattr(ld, "HEAVY_PART", 4)
+    monkeypatch.setattr(ld, "_rewriter", lambda chars, heavy: told.append(heavy) or rewriter(chars, heavy))
+    assert rows_of(ld.dedup_lines(docs(spark, rows), min_docs=2, batches=5)) == brute(rows, 2, 1)
+    assert [len(h) for h in told] == [1]
+
+
+def test_documents_without_an_id_are_rows_of_their_own(spark):
+    """A third of all rows has no id, some share one; each loses its own lines, and copies theirs."""
+    rows = [(None if i % 3 == 0 else i % 7, f"shared {i % 4}\nown {i}\nfew {i // 2}") for i in range(120)] + [(None, "own 0")] * 3
+    assert rows_of(ld.dedup_lines(docs(spark, rows), min_docs=4)) == brute(rows, 4, 1)
