@@ -275,9 +275,17 @@ def one_per_component(
     last; equal ids go by a digest of the whole row, so a re-run keeps the
     same row. Equal rows are one. An empty table gives an empty result.
     """
-    digests = [F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-")) for c in docs.columns]
-    keyed = docs.withColumn("_row", F.sha2(F.concat_ws("|", *digests), 256))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    marked = shared_table(fingerprints(keyed.select(order.alias("id"), text_col), "id", text_col, words), "fingerprints")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    digests = [F.coalesce(F.sha2(c.cast("string").cast("binary"), 256), F.lit("-")) for c in own]
+    # the row as one column, so that none of its names can clash with ours
+    keyed = docs.select(
+        F.struct(*own).alias("whole"),
+        F.sha2(F.concat_ws("|", *digests), 256).alias("digest"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{text_col}`").alias("text"),
+    )
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("digest").alias("row"))
+    marked = shared_table(fingerprints(keyed.select(order.alias("id"), "text"), "id", "text", words), "fingerprints")
     chosen = _rooted(marked, max_bits, blocks, limit).groupBy("root").agg(F.min("low").alias("low"))
-    return keyed.join(chosen.select(F.col("low.row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = keyed.join(chosen.select(F.col("low.row").alias("digest")), "digest", "left_semi").dropDuplicates(["digest"])
+    return kept.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])

@@ -114,3 +114,11 @@ def test_one_row_stays_per_component(spark):
     again = sh.one_per_component(spark.createDataFrame(rows[::-1], schema).repartition(5))
     assert sorted(map(tuple, again.collect()), key=str) == kept
     assert sh.one_per_component(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_one_per_component_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e", 5, "x", 9), (2, "a b c d e", 5, "y", 9), (3, "quite other words than those before", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, `a.b` string, id int")
+    out = sh.one_per_component(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted((r.doc_id, r._row, r["a.b"], r.id) for r in out.collect()) == [(1, 5, "x", 9), (3, None, None, None)]
