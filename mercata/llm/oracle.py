@@ -94,9 +94,9 @@ WITH t AS (
         FROM other WHERE NOT (is_last AND swap IS NULL))
   GROUP BY conv_id
 ), cut AS (
-  SELECT c.conv_id, a, b,
+  SELECT conv_id, a, b,
          coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n
-  FROM chosen c JOIN rejected r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+  FROM (SELECT c.conv_id, a, coalesce(b, []) AS b FROM chosen c LEFT JOIN rejected r ON c.conv_id IS NOT DISTINCT FROM r.conv_id)
 ), parts AS (
   SELECT conv_id, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM cut
 ), drawn AS (
@@ -218,9 +218,11 @@ WITH RECURSIVE crcs AS (SELECT {_CRC_TABLE} AS crc), t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
 ), marked AS (
   SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-         NOT regexp_matches(text, '[^ 	-]') AS blank,
+         NOT regexp_matches(text, '[^ 	-
+]') AS blank,
          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut
   FROM placed
 ), faults AS (
   SELECT *, blank OR again AS forced, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM marked
@@ -263,7 +265,8 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired
 _TRIE = rf"""
 WITH crcs AS (SELECT {_CRC_TABLE} AS crc), t AS (
   SELECT conv_id, turn, md5(length(role)::VARCHAR || ':' || role || text) AS key,
-         len(regexp_extract_all(text, '[^ 	-]+')) AS words
+         len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
 ), own AS (
   SELECT conv_id, list(struct_pack(key := key, words := words) ORDER BY turn NULLS FIRST, key) AS turns FROM t GROUP BY conv_id

@@ -94,3 +94,21 @@ def test_query_keeps_a_conversation_without_a_rejected_side(spark, tmp_path):
     r = got[0]
     assert (r.n_prompt, r.chosen_sha256, r.rejected_sha256) == (0, digest(drawn), digest(""))
     assert (r.chosen_spans, r.rejected_spans, r.same) == (f"22-{len(drawn)}", "", False)
+
+
+def test_sql_keeps_conversations_without_a_rejected_side(spark, tmp_path):
+    """A lone answer whose neighbour has none is left out of the rejected side; the pair stays, in SQL too."""
+    import duckdb
+
+    from mercata.llm.oracle import SQL
+    from mercata.llm.queries import QUERIES
+
+    rows = [(0, 0, "assistant", "alone"), (1, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "r"), (3, 1, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = QUERIES["op8_preference_pairs"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(SQL["op8_preference_pairs"])
+    names = [c[0] for c in want.description]
+    got = sorted(tuple(r[c] for c in names) for r in out.collect())
+    assert got == sorted(want.fetchall()) and [r[names.index("conv_id")] for r in got] == [0, 1, 2, 3]
