@@ -19,6 +19,8 @@ from mercata.functions.quantiles import exact_quantiles
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 HISTOGRAM_CHUNK = 4096
+#: What a repeated digest takes in a broadcast table, its hash entry included.
+DIGEST_BYTES = 64
 REPLICATE_CHUNK = 10_000
 
 
@@ -42,6 +44,33 @@ def _semi_or_anti(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return df.join(renamed, cond, how)
 
 
+def _digests(columns: Sequence[str]) -> list[F.Column]:
+    """128 bits of a row as two longs; NULLs count by their place, which the plain hash skips."""
+    cols = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    return [F.xxhash64(F.lit(seed), nulls, *cols).alias(f"_d{seed}") for seed in (1, 2)]
+
+
+def _repeated_digests(df: DataFrame, digests: Sequence[F.Column]) -> DataFrame:
+    """The digests that several rows have, ready to be joined.
+
+    They are broadcast if they fit the session's threshold, by their count;
+    beyond it they meet the rows in a join that exchanges both.
+    """
+    counted = df.select(*digests).groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    repeated = materialize(counted.select("_d1", "_d2"))
+    limit = int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB"))
+    return F.broadcast(repeated) if repeated.count() * DIGEST_BYTES <= limit else repeated
+
+
+def _suspects(df: DataFrame, digests: Sequence[F.Column] | None = None, how: str = "left_semi") -> DataFrame:
+    """Rows whose digest repeats (``how`` 'left_anti': all others), whole."""
+    digests = digests or _digests(df.columns)
+    return df.select("*", *digests).join(_repeated_digests(df, digests), ["_d1", "_d2"], how).select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )
+
+
 def duplicate_rows(
     df: DataFrame, keep: str | bool = False, sort_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -52,10 +81,18 @@ def duplicate_rows(
     (n - 1 per group of n). Rows of a group are identical, so which copy is
     "first" does not matter. ``sort_by`` orders the listing (a range-
     partitioned sort, no single-task step).
+
+    Two passes: 128-bit digests are counted first (16 bytes a row travel),
+    then only rows with a repeated digest are grouped by all their columns, so
+    that a digest that two different rows share lists neither.
     """
-    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     if keep not in (False, "first"):
         raise ValueError("keep must be False or 'first'")
+    return _listed(_suspects(df), keep, sort_by)
+
+
+def _listed(suspects: DataFrame, keep: str | bool, sort_by: Sequence[str]) -> DataFrame:
+    counts = suspects.groupBy(*[F.col(f"`{c}`") for c in suspects.columns]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     # Members of a group are identical, so its one counted row stands for all.
     out = replicate_rows(counts.withColumn("_n", F.col("_n") - (1 if keep else 0)), "_n").drop("_n")
     return out.orderBy(*sort_by) if sort_by else out
@@ -84,6 +121,19 @@ def dedupe(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def dedupe_stored(df: DataFrame) -> DataFrame:
+    """S10 for a wide stored table with few duplicates: digests are counted first,
+    rows with one of their own pass where they were read, and only the others
+    are grouped by all their columns. Reads ``df`` three times, so it should
+    be a table, not a long computation; the same rows as ``dedupe``."""
+    digests = _digests(df.columns)
+    repeated = _repeated_digests(df, digests)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.select("*", *digests)
+    alone = marked.join(repeated, ["_d1", "_d2"], "left_anti").select(*own)
+    return alone.unionByName(marked.join(repeated, ["_d1", "_d2"], "left_semi").select(*own).dropDuplicates())
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per column.
 

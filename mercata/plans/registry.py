@@ -302,6 +302,13 @@ def q_dedupe(spark, d):
     return ql.dedupe(_raw_tx(spark, d))
 
 
+@register("dedupe_stored")
+def q_dedupe_stored(spark, d):
+    """S10 over a stored table: what was ordered of which supplier, and how it stands."""
+    lines = fx.read_table(spark, d, "lineitem")
+    return ql.dedupe_stored(lines.select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))
+
+
 @register("describe_numeric")
 def q_describe_numeric(spark, d):
     return _r(ql.describe_numeric(fx.retail_transactions(spark, d), ["Quantity", "UnitPrice"]))
