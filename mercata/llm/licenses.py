@@ -9,13 +9,15 @@ directory above it that has one. DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercata.llm.common import shared_table
 
-#: Licence notices by SPDX id (fixed values: the public wording of each).
-TEMPLATES = (
+# The public wording of notices, file headers and short licence texts, by SPDX id.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -25,6 +27,68 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("LGPL-3.0", "This library is free software under the GNU Lesser General Public License, version 3."),
 )
+HEADERS = (
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "LGPL-3.0",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+)
+TEXTS = (
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+)
+#: Every template, also the tag line that names a licence by its id.
+TEMPLATES = (*NOTICES, *HEADERS, *TEXTS, *((name, f"SPDX-License-Identifier: {name}") for name, _ in NOTICES))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII that is neither letter nor digit.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,9 +100,9 @@ def tokens(text: Column) -> Column:
 
 
 def template_counts(templates: DataFrame) -> DataFrame:
-    """(license, word, tf) of (license, text) templates."""
-    words = templates.select("license", F.explode(tokens(F.col("text"))).alias("word")).where("word <> ''")
-    return words.groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
+    """(license, text, word, tf) of (license, text) templates; a licence may have several."""
+    words = templates.select("license", "text", F.explode(tokens(F.col("text"))).alias("word")).where("word <> ''")
+    return words.groupBy("license", "text", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def inverse_frequency(files: DataFrame, words: list[str]) -> tuple[dict[str, float], float]:
@@ -62,7 +126,16 @@ def inverse_frequency(files: DataFrame, words: list[str]) -> tuple[dict[str, flo
     return {w: log((1 + total) / (1 + held.get(w, 0))) + 1 for w in words}, log(1 + total) + 1
 
 
-def prefix_words(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
+def any_word(words: list[str]) -> str:
+    """Pattern of any of the words as a whole word; those of one first letter stand together."""
+    letters: dict[str, list[str]] = {}
+    for w in words:
+        letters.setdefault(w[0], []).append(re.escape(w[1:]))
+    inner = "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in sorted(letters.items()))
+    return f"(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?i:{inner})(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
+
+
+def prefix_words(vectors: dict, threshold: float) -> list[str]:
     """Words one of which any passage at the threshold to any template must hold.
 
     Per template the heaviest words, until those left over could not reach
@@ -101,8 +174,11 @@ def scan(
 ) -> DataFrame:
     """(id, path, license, origin, cosine, directory) per row of ``files``.
 
-    ``origin``: "header" if a line of the file has a cosine of at least
-    ``threshold`` to a template; "file" if the whole text has one of at least
+    ``count_all``: words of no template weigh by the files that hold them, as
+    template words do; else as words that no file holds.
+
+    ``origin``: "header" if a line of the file, or a run of adjacent lines
+    between empty ones, has a cosine of at least ``threshold`` to a template; "file" if the whole text has one of at least
     ``file_threshold`` (it then counts for its directory too); "inherited" if
     the nearest directory above (its own included) with a licence file gives
     it; null if there is none. A whole file comes before its lines; then the
@@ -133,9 +209,9 @@ def scan(
     own = none
     if words:
         idf, other = inverse_frequency(files.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), words)
-        vectors: dict[str, dict[str, float]] = {}
+        vectors: dict[tuple[str, str], dict[str, float]] = {}
         for r in counted:
-            vectors.setdefault(r["license"], {})[r["word"]] = r["tf"] * idf[r["word"]]
+            vectors.setdefault((r["license"], r["text"]), {})[r["word"]] = r["tf"] * idf[r["word"]]
         own = _own(base, vectors, idf, other, threshold, file_threshold, count_all)
 
     found = shared_table(own, "licenses")
@@ -186,7 +262,7 @@ def passage_frequency(base: DataFrame, counts: DataFrame, other: float) -> DataF
 
 def _own(
     base: DataFrame,
-    vectors: dict[str, dict[str, float]],
+    vectors: dict[tuple[str, str], dict[str, float]],
     idf: dict[str, float],
     other: float,
     threshold: float,
@@ -196,10 +272,15 @@ def _own(
     """(row, license, origin, cosine) of the rows whose own text names a licence."""
     spark = base.sparkSession
     needed = prefix_words(vectors, min(threshold, file_threshold))
-    hint = "(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?i:" + "|".join(needed) + ")(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
+    hint = any_word(needed)
     held = base.where(F.col("text").rlike(hint)).select("row", "text").dropDuplicates(["row"])
     lines = held.select("row", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(hint))
-    passages = lines.unionByName(held.select("row", F.lit(-1).alias("line"), "text"))
+    # notices over several lines: runs of adjacent lines between empty ones, counted from -2 down
+    runs = held.select("row", F.posexplode(F.split("text", "\n\n+")).alias("at", "text")).where(F.col("text").contains("\n") & F.col("text").rlike(hint))
+    passages = (
+        lines.unionByName(held.select("row", F.lit(-1).alias("line"), "text"))
+        .unionByName(runs.select("row", (F.lit(-2) - F.col("at")).alias("line"), "text"))
+    )
     counts = (
         passages.select("row", "line", F.explode(tokens(F.col("text"))).alias("word"))
         .where("word <> ''")
@@ -230,7 +311,7 @@ def _own(
             F.array(
                 *[
                     F.struct(
-                        F.lit(n).alias("license"),
+                        F.lit(n[0]).alias("license"),
                         F.round(F.col(f"dot_{i}") / F.sqrt(F.col("norm") * F.lit(sum(x * x for x in vectors[n].values()))), 6).alias("cosine"),
                     )
                     for i, n in enumerate(names)
@@ -238,7 +319,7 @@ def _own(
             )
         ).alias("m"),
     ).select("row", "line", "m.license", "m.cosine")
-    whole = F.col("line") < 0
+    whole = F.col("line") == -1
     return (
         scored.where(F.when(whole, F.col("cosine") >= file_threshold).otherwise(F.col("cosine") >= threshold))
         .withColumn("origin", F.when(whole, "file").otherwise("header"))

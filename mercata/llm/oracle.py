@@ -129,34 +129,36 @@ _NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
 
 _LICENSES = rf"""
 WITH templates(license, text) AS (VALUES {_NOTICES}),
-t AS (SELECT license, word, count(*) AS tf FROM (SELECT license, unnest({_TOKENS.format("text")}) AS word FROM templates) GROUP BY ALL),
+t AS (SELECT license, text AS template, word, count(*) AS tf FROM (SELECT license, text, unnest({_TOKENS.format("text")}) AS word FROM templates) GROUP BY ALL),
 f AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text,
          concat_ws('/', coalesce(source, ''), coalesce(lang, ''), if(doc_id // 1000 > 0, (doc_id // 1000)::VARCHAR, NULL)) AS dir
   FROM documents),
 doc_words AS (SELECT DISTINCT rid, unnest({_TOKENS.format("text")}) AS word FROM f),
 idf AS (
-  SELECT v.word, ln((1 + (SELECT count(*) FROM f))::DOUBLE / (1 + count(w.rid))) + 1 AS idf
-  FROM (SELECT DISTINCT word FROM t) v LEFT JOIN doc_words w USING (word) GROUP BY v.word),
-vectors AS (SELECT license, word, tf * idf AS w FROM t JOIN idf USING (word)),
+  SELECT word, ln((1 + (SELECT count(*) FROM f))::DOUBLE / (1 + count(rid))) + 1 AS idf
+  FROM (SELECT rid, word FROM doc_words UNION ALL SELECT NULL, word FROM (SELECT DISTINCT word FROM t)) GROUP BY word),
+vectors AS (SELECT license, template, word, tf * idf AS w FROM t JOIN idf USING (word)),
 passages AS (
   SELECT rid, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT rid, string_split(text, chr(10)) AS l FROM f)
-  UNION ALL SELECT rid, -1, text FROM f),
+  UNION ALL SELECT rid, -1, text FROM f
+  UNION ALL SELECT rid, -2 - line, text
+  FROM (SELECT rid, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT rid, regexp_split_to_array(text, '\n\n+') AS l FROM f))
+  WHERE contains(text, chr(10))),
 counts AS (
   SELECT rid, line, word, count(*) AS tf FROM (SELECT rid, line, unnest({_TOKENS.format("text")}) AS word FROM passages) GROUP BY ALL),
 weighted AS (
-  SELECT rid, line, word, tf * coalesce(idf, ln((1 + (SELECT count(*) FROM f))::DOUBLE) + 1) AS w
-  FROM counts LEFT JOIN idf USING (word)),
+  SELECT rid, line, word, tf * idf AS w FROM counts JOIN idf USING (word)),
 norms AS (SELECT rid, line, sum(w * w) AS norm FROM weighted GROUP BY ALL),
 dots AS (
-  SELECT rid, line, license, sum(p.w * v.w) AS dot FROM weighted p JOIN vectors v USING (word) GROUP BY ALL),
+  SELECT rid, line, license, template, sum(p.w * v.w) AS dot FROM weighted p JOIN vectors v USING (word) GROUP BY ALL),
 cosines AS (
-  SELECT rid, line, license, round(dot / sqrt(norm * (SELECT sum(w * w) FROM vectors v WHERE v.license = dots.license)), 6) AS cosine
+  SELECT rid, line, license, round(dot / sqrt(norm * (SELECT sum(w * w) FROM vectors v WHERE v.license = dots.license AND v.template = dots.template)), 6) AS cosine
   FROM dots JOIN norms USING (rid, line)),
 own AS (
-  SELECT rid, license, cosine, if(line < 0, 'file', 'header') AS origin FROM cosines
-  WHERE cosine >= if(line < 0, 0.5, 0.7)
-  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY line < 0 DESC, cosine DESC, license) = 1),
+  SELECT rid, license, cosine, if(line = -1, 'file', 'header') AS origin FROM cosines
+  WHERE cosine >= if(line = -1, 0.5, 0.7)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY line = -1 DESC, cosine DESC, license) = 1),
 marked AS (SELECT f.*, dir || '/' || doc_id AS path, license, cosine, origin FROM f LEFT JOIN own USING (rid)),
 declared AS (
   SELECT dir AS directory, license, cosine FROM marked WHERE origin = 'file'

@@ -55,7 +55,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws(
         "/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.when(group > 0, group.cast("string")), F.col("doc_id").cast("string")
     )
-    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), id_col="doc_id")
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), id_col="doc_id", count_all=True)
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,27 @@ def test_common_words_beside_a_notice_weigh_little(spark):
     (row,) = [r for r in got if r.license]
     assert (row.id, row.license, row.origin) == (200, "MIT", "header") and abs(row.cosine - want) < 2e-6
     assert lc.scan(df.limit(0), templates=tm, count_all=True).collect() == []
+
+
+def test_headers_texts_and_tag_lines_are_found(spark):
+    """Registered templates: the tag line, a notice in a sentence, file headers over several lines, whole texts, beside prose."""
+    prose = "\n".join(f"prose of line {i} and of word w{i} it was" for i in range(40))
+    header = dict(lc.HEADERS)["GPL-3.0"]
+    comment = "\n".join(f" * {x}" for x in header.split("\n"))
+    mit = "MIT License\n\nCopyright (c) 2024 Somebody\n\n" + dict(lc.TEXTS)["MIT"]
+    cases = {
+        1: ("// SPDX-License-Identifier: MIT\n" + prose, "MIT", "header"),
+        2: (prose + "\nIt was released under the MIT License.\n" + prose, "MIT", "header"),
+        3: (prose + "\n\n/*\n" + comment + "\n */\n\n" + prose, "GPL-3.0", "header"),
+        4: (mit, "MIT", "file"),
+        5: (dict(lc.TEXTS)["BSD-3-Clause"], "BSD-3-Clause", "file"),
+        6: (prose + "\nSPDX-License-Identifier: Apache-2.0", "Apache-2.0", "header"),
+        7: (prose, None, None),
+    }
+    rows = [(i, f"d{i}/f", t) for i, (t, _, _) in cases.items()] + [(100 + i, f"e{i}/f", prose + f" x{i}") for i in range(200)]
+    out = lc.scan(spark.createDataFrame(rows, "id long, path string, text string"), count_all=True)
+    got = {r.id: (r.license, r.origin) for r in out.collect()}
+    assert {i: got[i] for i in cases} == {i: (name, origin) for i, (_, name, origin) in cases.items()}
+    assert all(got[100 + i] == (None, None) for i in range(200))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
