@@ -31,8 +31,9 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 MAGIC = b"\x1f\x8b\x08"
 #: Namespace of the record ids that are derived from page ids.
 RECORDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Bytes of an archive that are inflated at once.
-STEP = 16 << 10
+#: Bytes of an archive that are inflated at once, and the longest header that is read.
+STEP, HEADER_MOST = 16 << 10, 1 << 20
+VERSION_LINES = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -104,17 +105,21 @@ class Salvage:
 def parse_record(raw: bytes | memoryview, at: int, offset: int) -> tuple[Record, int]:
     """The record at ``raw[at:]`` and its end; ValueError names the failed check."""
     raw = bytes(raw) if isinstance(raw, memoryview) else raw
-    if not raw.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
+    if not raw.startswith(VERSION_LINES, at):
         raise ValueError("no version line")
-    head_end = raw.find(b"\r\n\r\n", at)
-    if head_end < 0:
-        raise ValueError("header without end")
     headers: dict[str, str] = {}
-    for line in raw[at:head_end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+    # line by line, so that a header that breaks off costs no more than its sound lines
+    line_at, last = at + len(VERSION_LINES[0]), at + HEADER_MOST
+    while not raw.startswith(b"\r\n", line_at):
+        line_end = raw.find(b"\r\n", line_at, last)
+        if line_end < 0:
+            raise ValueError("header without end")
+        name, colon, value = raw[line_at:line_end].partition(b":")
+        if not colon or b"\n" in name:
             raise ValueError("header line without colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line_at = line_end + 2
+    head_end = line_at - 2
     missing = [f for f in MANDATORY if not headers.get(f)]
     if missing:
         raise ValueError(f"header without {missing[0]}")
@@ -135,8 +140,25 @@ def parse_record(raw: bytes | memoryview, at: int, offset: int) -> tuple[Record,
     return Record(offset, headers, payload), end + 4
 
 
+def _after_gzip_header(data: bytes, at: int) -> int:
+    """Where the deflated bytes of the member at ``data[at:]`` begin; its name and comment are short."""
+    flags = data[at + 3] if at + 3 < len(data) else 0xFF
+    if flags & 0xE0:
+        raise ValueError("gzip: unknown flags")
+    place = at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            place = data.find(b"\0", place, place + 4096) + 1
+            if place <= 0:
+                raise ValueError("gzip: name or comment without end")
+    return place + (2 if flags & 2 else 0)
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """The member at ``data[at:]`` and its end; fed in steps, so the rest of the archive is never copied."""
+    _after_gzip_header(data, at)
     z = zlib.decompressobj(31)
     out, end = [], at
     try:
@@ -151,43 +173,81 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), end - len(z.unused_data)
 
 
-def _one_member(data: bytes, at: int) -> tuple[Record, int]:
+def _one_member(data: bytes, at: int) -> tuple[list[Record], int, str]:
+    """The records of the member at ``data[at:]``, its end, and what was wrong inside it ('' if nothing).
+
+    A member usually holds one record; one that holds several, as an archive
+    compressed as a whole does, gives all that pass their checks.
+    """
     if not data.startswith(MAGIC, at):
         raise ValueError("no member")
     raw, end = _inflate(data, at)
-    rec, used = parse_record(raw, 0, at)
-    if used != len(raw):
-        raise ValueError("bytes after the record")
-    return rec, end
+    inside = Salvage()
+    _walk(raw, inside, packed=False)
+    if not inside.records:
+        raise ValueError(inside.gaps[0].reason if inside.gaps else "empty member")
+    for r in inside.records:
+        r.offset = at
+    return inside.records, end, inside.gaps[0].reason if inside.gaps else ""
 
 
-def salvage(data: bytes) -> Salvage:
-    """All records of an archive that pass their checks, gaps for the rest.
+class _Next:
+    """Where some bytes come next. A found place is kept until it is passed, so that no byte is searched twice."""
 
-    Reads gzip members and plain records, in any order. After a failed check
-    the search goes on one byte later, at the next member or version line
-    that starts a record which passes; all bytes before it are one gap.
-    """
-    out = Salvage()
+    def __init__(self, data: bytes, wanted: bytes):
+        self.data, self.wanted, self.place = data, wanted, -1
+
+    def after(self, at: int) -> int:
+        """The first place behind ``at``; the end of the data if there is none."""
+        if self.place <= at:
+            found = self.data.find(self.wanted, at + 1)
+            self.place = found if found >= 0 else len(self.data)
+        return self.place
+
+
+def _walk(data: bytes, out: Salvage, packed: bool) -> None:
+    """Add the records and gaps of ``data``; ``packed``: gzip members are looked for too."""
+    starts = [_Next(data, b"WARC/1."), *([_Next(data, MAGIC)] if packed else [])]
     at, lost, reason = 0, None, ""
     while at < len(data):
         try:
-            if data.startswith(MAGIC, at):
-                rec, end = _one_member(data, at)
+            if packed and data.startswith(MAGIC, at):
+                records, end, wrong = _one_member(data, at)
             else:
-                rec, end = parse_record(data, at, at)
-            if lost is not None:
-                out.leave(lost, at, reason)
-                lost = None
-            out.records.append(rec)
-            at = end
+                record, end = parse_record(data, at, at)
+                records, wrong = [record], ""
         except ValueError as e:
             if lost is None:
                 lost, reason = at, str(e)
-            found = [p for p in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(found) if found else len(data)
+            at = min(s.after(at) for s in starts)
+            continue
+        if lost is not None:
+            out.leave(lost, at, reason)
+            lost = None
+        out.records += records
+        if wrong:
+            out.leave(at, end, f"inside the member: {wrong}")
+        at = end
     if lost is not None:
         out.leave(lost, len(data), reason)
+
+
+def salvage(data: bytes) -> Salvage:
+    """All records of an archive that pass their checks, gaps for the rest.
+
+    Reads gzip members, of one or several records, and plain records, in any
+    order. After a failed check the search goes on behind it, at the next
+    member or version line that starts a record which passes; all bytes before
+    it are one gap. A sound member that holds other bytes beside its records
+    is told as a gap too, by the member's place. No byte is searched twice, and
+    a header is read up to ``HEADER_MOST`` bytes, so time grows with the
+    archive, whatever the damage.
+
+    A record inside the payload of a damaged record can't be told from one
+    that follows it: if it passes its checks, it is recovered like any other.
+    """
+    out = Salvage()
+    _walk(data, out, packed=True)
     return out
 
 

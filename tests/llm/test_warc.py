@@ -107,3 +107,39 @@ def test_a_cut_archive_and_a_wrong_digest():
     swapped = parts[1].replace(b"B" * 41, b"C" * 41)
     out = warc.salvage(parts[0] + swapped + parts[2])
     assert len(out.records) == 2 and out.gaps[0].reason == "block digest"
+
+
+def test_members_of_several_records():
+    """An archive compressed as a whole, or in groups, gives all its records; what is damaged inside is told."""
+    raw = records(6)
+    out = warc.salvage(warc.member(b"".join(raw[:4])) + warc.member(b"".join(raw[4:])))
+    assert [int(r.headers["x-page-id"]) for r in out.records] == list(range(6)) and out.gaps == []
+    bad = raw[1].replace(b"B" * 41, b"C" * 41)
+    whole = warc.member(raw[0] + bad + raw[2])
+    out = warc.salvage(whole + warc.member(raw[3]))
+    assert [int(r.headers["x-page-id"]) for r in out.records] == [0, 2, 3]
+    assert [(g.start, g.end, g.reason) for g in out.gaps] == [(0, len(whole), "inside the member: block digest")]
+    assert warc.salvage(warc.member(b"no record")).gaps[0].reason == "no version line"
+
+
+def test_time_grows_with_the_damage():
+    """Twice the damaged bytes take about twice the time, whatever they hold."""
+    import time
+
+    kinds = (b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", b"\x1f\x8b\x08", b"WARC/1.0\r\n\r\n", b"\x1f\x8b\x08\x00WARC/1.")
+    for kind in kinds:
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            out = warc.salvage(kind * n + records(1)[0])
+            took.append(time.process_time() - began)
+            assert len(out.records) == 1 and len(out.gaps) == 1
+        assert took[1] < 10 * max(took[0], 0.05), kind
+
+
+def test_a_quoted_record_of_a_damaged_one_is_recovered():
+    inner = warc.record(9, "http://h/9", b"quoted", None, False)
+    outer = warc.record(1, "http://h/1", b"x" * 50 + inner + b"y" * 50, None, False)
+    assert [int(r.headers["x-page-id"]) for r in warc.salvage(outer).records] == [1]
+    damaged = outer.replace(b"x" * 50, b"z" * 50)
+    assert [int(r.headers["x-page-id"]) for r in warc.salvage(damaged).records] == [9]
