@@ -68,3 +68,29 @@ def test_a_large_bucket_is_compared_block_by_block(spark):
     _, want = brute(list(range(150)), vectors, 0.95)
     got = {tuple(r) for r in el.near_duplicates(df, limit=16, hashes=2).collect()}
     assert got == want
+
+
+def test_a_pair_that_meets_in_many_families_counts_once(spark):
+    """Few hashes and small blocks: near copies share many buckets, blocks and families."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((4, 24))
+    vectors = [(centres[i % 4] + 0.08 * rng.standard_normal(24)).tolist() for i in range(160)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    exact = [r.embedding for r in df.collect()]
+    _, want = brute(list(range(160)), exact, 0.95)
+    got = {tuple(r) for r in el.near_duplicates(df, limit=8, hashes=1, tables=6).collect()}
+    assert got == want
+
+
+def test_sketches_keep_what_is_near():
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((2000, 64))
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = 0.95 * base + np.sqrt(1 - 0.95**2) * off
+    a, b = el.sketches(base, 7), el.sketches(near, 7)
+    bits = np.bitwise_count(a ^ b).sum(axis=1)
+    assert bits.max() <= el.most_signs(0.95) < 40
+    assert np.bitwise_count(a[:-1] ^ a[1:]).sum(axis=1).min() > el.most_signs(0.95)
