@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mercata.llm.common import shared_table
+
 #: Context sizes, all powers of two.
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Characters of chunks that a tokenizer remembers.
@@ -231,6 +233,11 @@ def steps_of(windows: list[tuple[int, list[Piece]]], step_tokens: int) -> list[i
     return out
 
 
+PIECE_COLUMNS = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step", "part", "ids"]
+#: Partitions whose last pieces are packed together, and more partitions than a job has.
+TOGETHER, PARTITIONS = 256, 1 << 30
+
+
 def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, held_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,9 +249,9 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, held
         full: list[tuple[int, list[Piece]]] = []
         held = number = sequence = step = 0
 
-        def out(last: bool) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
             nonlocal full, held, sequence, step
-            full.extend(packer.windows(last))
+            full.extend(packer.windows(False))
             own = steps_of(full, step_tokens)
             rows: list[tuple] = []
             for (window, pieces), s in zip(full, own, strict=True):
@@ -262,7 +269,18 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, held
             wait = {p.doc for p in packer.waiting}
             for d in [d for d in ids if d not in wait]:
                 del ids[d], names[d]
-            return pa.record_batch([at, *columns], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step"])
+            none = pa.nulls(len(rows), pa.binary())
+            return pa.record_batch([at, *columns, pa.array(np.full(len(rows), part), pa.int32()), none], names=PIECE_COLUMNS)
+
+        def left() -> pa.RecordBatch:
+            """What fills no window here, with its ids."""
+            wait = packer.waiting
+            cut = [ids[p.doc][2 * p.start : 2 * (p.start + p.length)] for p in wait]
+            nothing = pa.nulls(len(wait), pa.int64())
+            columns = [pa.array([p.start for p in wait], pa.int64()), pa.array([p.length for p in wait], pa.int64()), nothing]
+            columns += [pa.array([len(ids[p.doc]) // 2 for p in wait], pa.int64()), nothing, nothing, nothing, nothing]
+            at = pa.array([names[p.doc] for p in wait], id_type)
+            return pa.record_batch([at, *columns, pa.array(np.full(len(wait), part), pa.int32()), pa.array(cut, pa.binary())], names=PIECE_COLUMNS)
 
         id_type = pa.int64()
         for whole in batches:
@@ -275,8 +293,36 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, held
                     held += len(own) // 2 + 1
                     number += 1
                 if held >= held_tokens:
-                    yield out(False)
-        yield out(True)
+                    yield out()
+        yield out()
+        yield left()
+
+    return run
+
+
+def _pack_rests(tiers: tuple[int, ...], step_tokens: int) -> Callable[[pa.Table], pa.Table]:
+    """The pieces that filled no window of their partition, packed together: those of at most ``TOGETHER`` partitions."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending"), ("length", "ascending"), ("doc_tokens", "ascending"), ("ids", "ascending")]).combine_chunks()
+        group = t.column("bundle")[0].as_py()
+        ids, start = t.column("ids").to_pylist(), t.column("start").to_pylist()
+        packer = Packer(tiers)
+        for i, own in enumerate(ids):
+            insort(packer.waiting, Piece(len(own) // 2, i, 0))
+        full = list(packer.windows(True))
+        first = (PARTITIONS + group) << 32
+        rows = []
+        for n, ((window, pieces), step) in enumerate(zip(full, steps_of(full, step_tokens), strict=True)):
+            offset = 0
+            for p in pieces:
+                cut = np.frombuffer(ids[p.doc], "<u2")[p.start : p.start + p.length]
+                rows.append((p.doc, start[p.doc] + p.start, p.length, zlib.crc32(cut.astype("<u4").tobytes()), first + n, offset, window, first + step))
+                offset += p.length
+        at = pa.array([r[0] for r in rows], pa.int64())
+        column = lambda i: pa.array([r[i] for r in rows], pa.int64())
+        values = [t.column("id").take(at), column(1), column(2), column(3), t.column("doc_tokens").take(at), *map(column, range(4, 8))]
+        return pa.table(dict(zip(PIECE_COLUMNS[:9], values, strict=True)))
 
     return run
 
@@ -305,14 +351,24 @@ def pack(
     the end id alone. Rows that repeat are documents of their own, null ids
     stay null. An empty table gives an empty result; other columns are ignored.
 
-    Each partition packs its own documents as they stream by: nothing is
-    shuffled, about ``held_tokens`` ids are held at once, and a partition that
-    is run again packs alike. Tiers are packed full from the longest down; only
-    at a partition's end are the last ids cut into shorter powers of two.
+    Each partition packs its own documents as they stream by, about
+    ``held_tokens`` ids at once; a partition that is run again packs alike.
+    Tiers are packed full from the longest down. What fills no window at a
+    partition's end, below 4,096 ids, is written with its ids and packed again
+    with that of up to ``TOGETHER`` partitions; only there the last ids are cut
+    into shorter powers of two, a few sequences for all of them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = StructType().add("id", docs.schema[id_col].dataType)
-    for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step"):
+    for name in PIECE_COLUMNS[1:9]:
         schema = schema.add(name, "long")
-    packed = rows.mapInArrow(_pack(tokenizer_path, end_id, tiers, step_tokens, held_tokens), schema)
+    first = rows.mapInArrow(
+        _pack(tokenizer_path, end_id, tiers, step_tokens, held_tokens),
+        StructType([*schema.fields]).add("part", "integer").add("ids", "binary"),
+    )
+    pieces = shared_table(first, "pieces")
+    rests = pieces.where("ids IS NOT NULL").withColumn("bundle", F.floor(F.col("part") / TOGETHER).cast("int"))
+    packed = pieces.where("ids IS NULL").select(PIECE_COLUMNS[:9]).unionByName(
+        rests.groupBy("bundle").applyInArrow(_pack_rests(tiers, step_tokens), schema)
+    )
     return packed.withColumnRenamed("id", id_col)

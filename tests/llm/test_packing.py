@@ -107,3 +107,20 @@ def test_steps_hold_equal_tokens_of_like_cost():
     one = lambda n, *lengths: (n, [packing.Piece(x, 0, 0) for x in lengths])
     windows = [one(8, 8), one(8, 4, 4), one(8, 8), one(8, 2, 2, 2, 2), one(4, 4), one(4, 1, 3)]
     assert packing.steps_of(windows, 16) == [0, 1, 0, 1, 2, 2]
+
+
+def test_short_windows_do_not_grow_with_the_partitions(spark, sf_dir):
+    """However the documents are dealt, only the last ids of all partitions together end in short windows."""
+    docs = table(spark, sf_dir, "documents")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    short = []
+    for parts in (1, 32):
+        sequences = check(texts, packing.pack(docs.repartition(parts), PATH).collect())
+        short.append(sum(own[0].window < packing.TIERS[0] for own in sequences.values()))
+    assert max(short) <= 8
+
+
+def test_a_partition_with_little_and_one_with_nothing(spark):
+    rows = [(i, "a few words of text " * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(64)
+    check(rows, packing.pack(df, PATH).collect())
