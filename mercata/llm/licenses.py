@@ -90,6 +90,8 @@ ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSI
 #: Every template, also the tag line that names a licence by its id.
 TEMPLATES = (*NOTICES, *HEADERS, *TEXTS, *((name, f"SPDX-License-Identifier: {name}") for name, _ in NOTICES))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: So many words of passages are told to all tasks (some tens of MB).
+TOLD_WORDS = 500_000
 #: What separates words: ASCII that is neither letter nor digit.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -246,18 +248,18 @@ def scan(
 def passage_frequency(base: DataFrame, counts: DataFrame, other: float) -> DataFrame:
     """(word, idf) of every word of ``counts``, by the files that hold it.
 
-    Words are counted with map-side combine before they meet those of the
-    passages, so a word that every file holds is one row a task. ``other`` is
-    ln(1 + files) + 1.
+    Words are counted with map-side combine, so a word that every file holds
+    is one row a task; at most ``TOLD_WORDS`` words of passages are broadcast,
+    so that no other word is counted at all. ``other`` is ln(1 + files) + 1.
     """
-    held = (
-        base.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return held.join(counts.select("word").distinct(), "word", "left_semi").select(
-        "word", (F.lit(other) - F.log(F.col("n") + 1)).alias("idf")
-    )
+    wanted = shared_table(counts.select("word").distinct(), "passage-vocabulary")
+    every = base.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    # of all words only those of passages are counted: where they are read, if their number allows it
+    if wanted.count() <= TOLD_WORDS:
+        held = every.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        held = every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(wanted, "word", "left_semi")
+    return held.select("word", (F.lit(other) - F.log(F.col("n") + 1)).alias("idf"))
 
 
 def _own(
