@@ -137,17 +137,18 @@ def any_word(words: list[str]) -> str:
     return f"(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?i:{inner})(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
 
 
-def prefix_words(vectors: dict, threshold: float) -> list[str]:
+def prefix_words(vectors: dict, threshold: float, idf: dict[str, float] | None = None) -> list[str]:
     """Words one of which any passage at the threshold to any template must hold.
 
-    Per template the heaviest words, until those left over could not reach
-    the threshold by themselves.
+    Per template the rarest words (without ``idf`` the heaviest), until those
+    left over could not reach the threshold by themselves. Rarity comes first
+    as a long text repeats common words, which would let every passage in.
     """
     out: set[str] = set()
     for weights in vectors.values():
         norm = sum(v * v for v in weights.values())
         left = norm
-        for word, v in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        for word, v in sorted(weights.items(), key=lambda x: (-(idf or weights)[x[0]], x[0])):
             if left < threshold * threshold * norm * (1 - 1e-9):
                 break
             out.add(word)
@@ -273,7 +274,7 @@ def _own(
 ) -> DataFrame:
     """(row, license, origin, cosine) of the rows whose own text names a licence."""
     spark = base.sparkSession
-    needed = prefix_words(vectors, min(threshold, file_threshold))
+    needed = prefix_words(vectors, min(threshold, file_threshold), idf)
     hint = any_word(needed)
     held = base.where(F.col("text").rlike(hint)).select("row", "text").dropDuplicates(["row"])
     lines = held.select("row", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(hint))
