@@ -279,7 +279,9 @@ def _own(
     held = base.where(F.col("text").rlike(hint)).select("row", "text").dropDuplicates(["row"])
     lines = held.select("row", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(hint))
     # notices over several lines: runs of adjacent lines between empty ones, counted from -2 down
-    runs = held.select("row", F.posexplode(F.split("text", "\n\n+")).alias("at", "text")).where(F.col("text").contains("\n") & F.col("text").rlike(hint))
+    # (a text of one run is a passage already, at the lower threshold)
+    several = held.where(F.col("text").contains("\n\n"))
+    runs = several.select("row", F.posexplode(F.split("text", "\n\n+")).alias("at", "text")).where(F.col("text").contains("\n") & F.col("text").rlike(hint))
     passages = (
         lines.unionByName(held.select("row", F.lit(-1).alias("line"), "text"))
         .unionByName(runs.select("row", (F.lit(-2) - F.col("at")).alias("line"), "text"))
