@@ -3,17 +3,22 @@
 Everything after the first aggregate works on one row per customer. The
 tercile scores use exact distributed quantiles (the same edges pandas
 ``qcut`` computes); k-means uses MLlib on a checkpointed three-column
-feature frame, since the elbow scan fits it up to 14 times.
+feature frame. The elbow scan takes only its starting centres from MLlib and
+makes the steps of its 39 fits side by side, one pass for all.
 """
 
 from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +42,12 @@ OTHER_SEGMENT = "other"
 KMEANS_SEEDS = (1, 2, 3)
 #: Customers in a partition of the k-means features.
 KMEANS_ROWS = 200_000
+#: Customers in a partition of the elbow's passes; starts that are looked for at a time.
+BLOCK_ROWS, STARTS = 10_000, 8
+#: Up to so many partitions, their sums go straight to the driver; beyond, they're added up on the way.
+FEW_BLOCKS = 64
+#: (k, seed) of a fit.
+Fit = tuple[int, int]
 
 
 def with_line_total(
@@ -141,6 +152,124 @@ def total_inertia(scaled: DataFrame, cols: Sequence[str] = RFM_COLS) -> DataFram
     )
 
 
+def _start(feats: DataFrame, k: int, seed: int) -> np.ndarray:
+    """The centres a fit begins with: k-means|| of MLlib, without a step."""
+    from pyspark.ml.clustering import KMeans
+
+    return np.array(KMeans(k=k, seed=seed, maxIter=0).fit(feats).clusterCenters())
+
+
+def _blocks(feats: DataFrame, cols: Sequence[str], rows: int = BLOCK_ROWS) -> RDD:
+    """The customers' metrics as arrays, an Arrow batch each, dealt round to partitions of about ``rows`` rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols))])
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary())], names=["block"])
+
+    points = feats.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    dealt = points.repartition(max(1, -(-feats.count() // rows)))
+    width = len(cols)
+    return dealt.mapInArrow(pack, "block binary").rdd.map(lambda r: np.frombuffer(r.block).reshape(-1, width))
+
+
+def _assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre, and its squared distance."""
+    near = ((centres * centres).sum(axis=1) - 2.0 * (x @ centres.T)).argmin(axis=1)
+    return near, ((x - centres[near]) ** 2).sum(axis=1)
+
+
+def _sums(fits: dict[Fit, np.ndarray]) -> Callable[[np.ndarray], dict[Fit, np.ndarray]]:
+    """Per fit and centre of a block: customers, squared distances and the sum of each metric."""
+
+    def of(x: np.ndarray) -> dict[Fit, np.ndarray]:
+        out = {}
+        for fit, centres in fits.items():
+            near, square = _assign(x, centres)
+            columns = [None, square, *x.T]
+            out[fit] = np.column_stack([np.bincount(near, c, len(centres)) for c in columns])
+        return out
+
+    return of
+
+
+def _together(a: dict[Fit, np.ndarray], b: dict[Fit, np.ndarray]) -> dict[Fit, np.ndarray]:
+    return {fit: a[fit] + b[fit] for fit in a}
+
+
+def _summed(blocks: RDD, fits: dict[Fit, np.ndarray]) -> dict[Fit, np.ndarray]:
+    return blocks.map(_sums(fits)).treeReduce(_together, depth=1 if blocks.getNumPartitions() <= FEW_BLOCKS else 2)
+
+
+def _lloyd(
+    blocks: RDD, fits: dict[Fit, np.ndarray], max_iter: int, tol: float = KMEANS_TOL
+) -> dict[Fit, tuple[float, np.ndarray]]:
+    """Lloyd's steps of all fits side by side: cost and centres of each.
+
+    A pass over the customers makes one step of every fit that still moves,
+    so there are as many passes as the longest fit has steps, however many
+    fits there are. A fit ends as in MLlib: once no centre moves farther than
+    ``tol``. What leaves a task is a row of sums a centre; the last pass sums
+    the cost of all final centres.
+    """
+    centres = dict(fits)
+    moving = list(centres)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        sums = _summed(blocks, {fit: centres[fit] for fit in moving})
+        still = []
+        for fit in moving:
+            n, old = sums[fit][:, 0], centres[fit]
+            centres[fit] = np.where(n[:, None] > 0, sums[fit][:, 2:] / np.maximum(n, 1)[:, None], old)
+            if (((centres[fit] - old) ** 2).sum(axis=1) > tol * tol).any():
+                still.append(fit)
+        moving = still
+    costs = _summed(blocks, centres)
+    return {fit: (float(costs[fit][:, 1].sum()), centres[fit]) for fit in centres}
+
+
+def _farthest(blocks: RDD, centres: np.ndarray) -> np.ndarray:
+    """The customer farthest from its nearest centre (the first in the metrics' order of equals)."""
+
+    def of(x: np.ndarray) -> tuple:
+        square = _assign(x, centres)[1]
+        return max((float(square[i]), *(-x[i]).tolist()) for i in np.flatnonzero(square == square.max()))
+
+    return -np.array(blocks.map(of).treeReduce(max)[1:])
+
+
+def elbow_fits(
+    feats: DataFrame, ks: Sequence[int], cols: Sequence[str], seeds: Sequence[int], max_iter: int
+) -> dict[int, tuple[float, np.ndarray]]:
+    """Cost and centres of each k > 1 of ``ks``: the best of several starts.
+
+    No k costs more than a smaller one: where all starts of a k end in a worse
+    solution, one more begins with the smaller k's centres and the customers
+    farthest from them.
+    """
+    ks = sorted({k for k in ks if k > 1})
+    pairs = [(k, seed) for k in ks for seed in seeds]
+    # k-means|| is a few short jobs a start, which don't depend on each other
+    with ThreadPool(STARTS) as pool:
+        starts = pool.map(inheritable_thread_target(feats.sparkSession)(lambda p: _start(feats, *p)), pairs, chunksize=1)
+    blocks = _blocks(feats, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        done = _lloyd(blocks, dict(zip(pairs, starts, strict=True)), max_iter)
+        best: dict[int, tuple[float, np.ndarray]] = {}
+        for at, k in enumerate(ks):
+            best[k] = min((done[k, seed] for seed in seeds), key=lambda f: f[0])
+            if at and best[k][0] > best[ks[at - 1]][0]:
+                centres = best[ks[at - 1]][1]
+                while len(centres) < k:
+                    centres = np.vstack([centres, _farthest(blocks, centres)])
+                best[k] = min(best[k], _lloyd(blocks, {(k, 0): centres}, max_iter)[k, 0], key=lambda f: f[0])
+    finally:
+        blocks.unpersist()
+    return best
+
+
 def kmeans_elbow(
     scaled: DataFrame,
     ks: Sequence[int] = tuple(range(1, 15)),
@@ -156,7 +285,7 @@ def kmeans_elbow(
     """
     feats = _features(scaled, cols).select(*cols, "features").persist()
     try:
-        rows = [(k, float(_best_fit(feats, k, seeds, max_iter).summary.trainingCost)) for k in ks if k > 1]
+        rows = [(k, cost) for k, (cost, _) in elbow_fits(feats, ks, cols, seeds, max_iter).items()]
     finally:
         feats.unpersist()
     out = scaled.sparkSession.createDataFrame(rows, "k int, inertia double")
@@ -273,10 +402,9 @@ def kmeans_elbow_certificate(
     square = lambda m: F.aggregate(F.zip_with(x, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     told, sums = [], []
     try:
-        for k in (k for k in ks if k > 1):
-            model = _best_fit(feats, k, seeds, max_iter)
-            told.append((k, float(model.summary.trainingCost)))
-            centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+        for k, (cost, found) in elbow_fits(feats, ks, cols, seeds, max_iter).items():
+            told.append((k, cost))
+            centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in found])
             sums.append(F.sum(F.array_min(F.transform(centres, square))).alias(f"k{k}"))
         summed = materialize(feats.agg(F.count(F.lit(1)).alias("customers"), *sums))
         one = materialize(total_inertia(feats, cols))

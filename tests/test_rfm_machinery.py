@@ -128,6 +128,40 @@ def test_certificate_holds_for_a_solution_and_fails_for_others(three):
     assert [(r.k, r.customers, r.cost_agrees, r.no_worse) for r in elbow] == [(k, 120, True, True) for k in (1, 2, 3)]
 
 
+@pytest.fixture(scope="module")
+def loose(spark):
+    """Customers without clear clusters: single starts of k-means end in solutions of varying worth."""
+    rng = np.random.default_rng(5)
+    points = np.round(rng.normal(0, 1, (60, 3)), 3)
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "CustomerID long, Recency double, Frequency double, MonetaryValue double")
+
+
+def test_fits_side_by_side_cost_what_single_ones_cost(spark, loose):
+    sc, ks = spark.sparkContext, (2, 3, 4, 5)
+    feats = rf._features(loose, rf.RFM_COLS).persist()
+    try:
+        sc.setJobGroup("single fits", "")
+        single = {k: rf._best_fit(feats, k, (1, 2, 3), 300).summary.trainingCost for k in ks}
+        sc.setJobGroup("elbow", "")
+        got = {r.k: r.inertia for r in rf.kmeans_elbow(loose, ks=ks).collect()}
+    finally:
+        sc._jsc.sc().clearJobGroup()
+        feats.unpersist()
+    assert got == {k: pytest.approx(cost, rel=1e-6) for k, cost in single.items()}
+    # a start takes some jobs of its own, a step none: it shares one with the steps of the other fits
+    jobs = lambda group: len(sc.statusTracker().getJobIdsForGroup(group))
+    assert jobs("elbow") < jobs("single fits")
+
+
+def test_no_k_of_the_elbow_costs_more_than_a_smaller_one(loose):
+    ks, feats = tuple(range(2, 15)), rf._features(loose, rf.RFM_COLS)
+    alone = [rf._best_fit(feats, k, (1,), 300).summary.trainingCost for k in ks]
+    assert any(b > a for a, b in zip(alone, alone[1:]))
+    costs = [r.inertia for r in rf.kmeans_elbow(loose, ks=ks, seeds=(1,)).orderBy("k").collect()]
+    assert all(b <= a for a, b in zip(costs, costs[1:])) and all(b <= a * (1 + 1e-6) for a, b in zip(alone, costs))
+    assert all(r.no_worse and r.cost_agrees for r in rf.kmeans_elbow_certificate(loose, ks=ks, seeds=(1,)).collect())
+
+
 def test_bitmaps_count_like_distinct(spark):
     rng = np.random.default_rng(2)
     rows = [(int(u), *"xyz"[:0], d, g) for u, d, g in zip(rng.integers(-5, 70_000, 4000), rng.choice(["a", "b", None], 4000), rng.choice(["m", "n"], 4000), strict=True)]
