@@ -72,3 +72,18 @@ def test_crc_of_the_query(spark, sf_dir):
     got = QUERIES["op7_shard"](spark, sf_dir).collect()
     assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.law == "bytes" and r.grown_shard is None for r in got)
     check(list(text.items()), got, 16)
+
+
+def test_the_query_puts_whole_documents_into_shards(spark, tmp_path, monkeypatch):
+    from mercata.llm.queries import QUERIES
+
+    rows = [(i, f"text {i % 7} " * (i % 5), "en", "web") for i in range(60)] + [(60, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found, plain = [], sharding.shard_by_bytes
+    monkeypatch.setattr(sharding, "shard_by_bytes", lambda *a, **b: found.append(plain(*a, **b)) or found[-1])
+    got = {r.doc_id: r for r in QUERIES["op7_shard"](spark, str(tmp_path)).collect()}
+    assert {(r.doc_id, r.text, r.lang, r.source, r.shard, r.slot) for r in found[0].collect()} == {
+        (*r, got[r[0]]["shard"], got[r[0]].slot) for r in rows
+    }
+    assert all(got[i].text_crc32 == zlib.crc32((t or "").encode()) and got[i].size == len(t or "") + 1 for i, t, *_ in rows)
