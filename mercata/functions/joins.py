@@ -102,7 +102,7 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def join_per_key(
-    big: DataFrame, per_key: DataFrame, on: Sequence[str], rows: str = "_rows", how: str = "left"
+    big: DataFrame, per_key: DataFrame, on: Sequence[str], rows: str = "_rows", how: str = "left", parts: int | None = None
 ) -> DataFrame:
     """Equi-join a large side with a side that has one row per key.
 
@@ -111,12 +111,13 @@ def join_per_key(
     there are at most HOT_PARTS of them, so they are broadcast, their rows are
     dealt round to several tasks (equal rows too), and only their one row is
     replicated. All other keys join as they are. Rows with a NULL key match
-    nothing and are dealt round as well (``how`` 'left' keeps them).
+    nothing and are dealt round as well (``how`` 'left' keeps them). ``parts``:
+    partitions of the join, if not the session's.
     """
     on = list(on)
     total = per_key.agg(F.sum(rows)).scalar()
-    parts = F.ceil(F.col(rows) * F.lit(HOT_PARTS) / total).cast("int")
-    sized = per_key.withColumn("_parts", F.when(F.col(rows) * HOT_PARTS >= total, parts).otherwise(F.lit(1)))
+    share = F.ceil(F.col(rows) * F.lit(HOT_PARTS) / total).cast("int")
+    sized = per_key.withColumn("_parts", F.when(F.col(rows) * HOT_PARTS >= total, share).otherwise(F.lit(1)))
     hot = sized.where(F.col("_parts") > 1).select(*on, F.col("_parts").alias("_hot"))
     missing = reduce(operator.or_, [F.col(c).isNull() for c in on])
     spread = F.when(missing, F.lit(HOT_PARTS)).otherwise(F.coalesce(F.col("_hot"), F.lit(1)))
@@ -124,4 +125,17 @@ def join_per_key(
         "_salt", F.pmod(F.monotonically_increasing_id(), spread).cast("int")
     )
     keys = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return salted.drop("_hot").join(keys.drop("_parts", rows), [*on, "_salt"], how).drop("_salt")
+    salted, keys = salted.drop("_hot"), keys.drop("_parts", rows)
+    if parts:
+        salted, keys = (side.repartition(parts, *on, "_salt") for side in (salted, keys))
+    return salted.join(keys, [*on, "_salt"], how).drop("_salt")
+
+
+#: Rows in a partition, and up to how many of these the session's own partitions do.
+PART_ROWS, FEW_PARTS = 250_000, 8
+
+
+def parts_for(rows: int) -> int | None:
+    """Partitions that so many rows call for, so that a task's share doesn't grow with the table; None: the session's."""
+    parts = -(-rows // PART_ROWS)
+    return parts if parts > FEW_PARTS else None

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercata.functions.joins import parts_for
 from mercata.functions.rounding import int_div
 from mercata.sources import tables as _tables
 
@@ -39,6 +40,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         df = _HANDLES[key] = _tables.read_table(spark, folder, name)
     return df
 
+
+_LINES: dict[tuple[str, str], int] = {}
+
+
+def _line_parts(spark: SparkSession, folder: str) -> int | None:
+    """Partitions that the retail lines call for, by their count (from the file footers, once a session)."""
+    key = (_session_key(spark), folder.rstrip("/"))
+    if key not in _LINES:
+        _LINES[key] = read_table(spark, folder, "lineitem").count()
+    return parts_for(_LINES[key])
+
+
 # Fixed values of the mappings.
 START_DAY = dt.date(1995, 1, 1)  # first o_orderdate
 SERVICE_START = "2022-08-24 00:00:00"  # first moment of the delivery data window
@@ -153,20 +166,23 @@ def retail_transactions(spark: SparkSession, folder: str, with_duplicates: bool
 
     ``with_duplicates`` appends every line of invoices with number divisible
     by 37 a second time, so de-duplication has work to do.
+
+    Many lines are dealt by order to as many partitions as their count calls
+    for, whatever the session has, so that a task's share doesn't grow with
+    the table.
     """
     li = read_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    o = (
-        read_table(spark, folder, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderdate")
-    )
+    o = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = read_table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
     c = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, folder, "nation").select("n_nationkey", "n_name")
+    # The order comes last: the lines stay where it put them, and are de-duplicated there.
+    lines = li.join(p, li.l_partkey == p.p_partkey)
+    orders = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    if parts := _line_parts(spark, folder):
+        lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     tx = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(p, li.l_partkey == p.p_partkey)
-        .join(c, o.o_custkey == c.c_custkey)
-        .join(n, c.c_nationkey == n.n_nationkey)
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("o_orderkey").alias("InvoiceNo"),
             F.col("l_partkey").alias("StockCode"),
