@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercata.functions.joins import join_per_key
+from mercata.functions.joins import join_per_key, parts_for
+from mercata.functions.lineage import materialize
 from mercata.functions.rounding import round_ratio, round_ratio_units
 
 
@@ -28,12 +29,14 @@ def cohort_assign(tx: DataFrame, customer: str = "CustomerID", ts: str = "Invoic
 
     Row-preserving: lines without a customer stay, with NULL CohortMonth and
     CohortIndex. Every line meets its customer's first month in a join that
-    spreads customers holding a large share of the lines.
+    spreads customers holding a large share of the lines, over as many
+    partitions as the lines call for. The first months are written once.
     """
-    first = tx.where(F.col(customer).isNotNull()).groupBy(customer).agg(
-        F.min(F.trunc(ts, "month")).alias("CohortMonth"), F.count(F.lit(1)).alias("_rows")
-    )
-    return join_per_key(tx.withColumn("YearMonth", F.trunc(ts, "month")), first, [customer]).withColumn(
+    per = tx.groupBy(customer).agg(F.min(F.trunc(ts, "month")).alias("CohortMonth"), F.count(F.lit(1)).alias("_rows"))
+    per = materialize(per)
+    parts = parts_for(per.agg(F.sum("_rows")).first()[0] or 0)
+    first = per.where(F.col(customer).isNotNull())
+    return join_per_key(tx.withColumn("YearMonth", F.trunc(ts, "month")), first, [customer], parts=parts).withColumn(
         "CohortIndex", _month_index(F.col(ts), F.col("CohortMonth")).cast("int")
     )
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mercata.functions import joins
+from mercata.operators import cohort as ch
 from mercata.operators import quality as ql
 from mercata.sources import fixtures as fx
 
@@ -62,3 +63,13 @@ def test_lines_are_dealt_by_their_count(spark, star, monkeypatch):
         tx = fx.retail_transactions(spark, folder)
         assert own(tx) == want and own(ql.dedupe(tx)) == Counter(set(want))
         assert largest(ql.dedupe(tx)) <= most
+
+
+def test_cohorts_are_assigned_in_shares_of_the_lines(spark, star, monkeypatch):
+    folder, _ = star
+    tx = ql.dedupe(fx.retail_transactions(spark, folder))
+    plain = Counter(ch.cohort_assign(tx).collect())
+    monkeypatch.setattr(joins, "PART_ROWS", 50)
+    dealt = ch.cohort_assign(ql.dedupe(fx.retail_transactions(spark, folder)))
+    assert Counter(dealt.collect()) == plain and plain
+    assert largest(dealt) <= 600
