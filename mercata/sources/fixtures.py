@@ -167,19 +167,24 @@ def retail_transactions(spark: SparkSession, folder: str, with_duplicates: bool
     ``with_duplicates`` appends every line of invoices with number divisible
     by 37 a second time, so de-duplication has work to do.
 
-    Many lines are dealt by order to as many partitions as their count calls
-    for, whatever the session has, so that a task's share doesn't grow with
-    the table.
+    Many lines are dealt by order, and by part and customer where these are
+    too large to be broadcast, to as many partitions as their count calls for,
+    whatever the session has, so that a task's share doesn't grow with the
+    table.
     """
     li = read_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = read_table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
     c = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, folder, "nation").select("n_nationkey", "n_name")
+    c = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
+    parts = _line_parts(spark, folder)
+    if parts:  # what isn't broadcast meets in the partitions of these sides
+        p, c = p.repartition(parts, "p_partkey"), c.repartition(parts, "c_custkey")
     # The order comes last: the lines stay where it put them, and are de-duplicated there.
     lines = li.join(p, li.l_partkey == p.p_partkey)
-    orders = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    if parts := _line_parts(spark, folder):
+    orders = o.join(c, o.o_custkey == c.c_custkey)
+    if parts:
         lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     tx = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections import Counter
 
 import pytest
@@ -65,6 +66,23 @@ def test_lines_are_dealt_by_their_count(spark, star, monkeypatch):
         assert largest(ql.dedupe(tx)) <= most
 
 
+def test_parts_and_customers_are_met_in_shares_of_the_lines(spark, star, monkeypatch):
+    """Where neither fits a broadcast, their joins don't run in the session's partitions either."""
+    folder, tables = star
+    monkeypatch.setattr(joins, "PART_ROWS", 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tx = fx.retail_transactions(spark, folder)
+        plan = tx._jdf.queryExecution().executedPlan().toString()
+        for key in ("l_partkey", "p_partkey", "o_custkey", "c_custkey"):
+            assert set(re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", plan)) == {str(LINES // 50)}, key
+        got = Counter((r.InvoiceNo, r.StockCode, r.Description, r.Quantity, r.InvoiceDate, r.CustomerID, r.Country) for r in tx.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == expected(tables)
+
+
 def test_cohorts_are_assigned_in_shares_of_the_lines(spark, star, monkeypatch):
     folder, _ = star
     tx = ql.dedupe(fx.retail_transactions(spark, folder))
