@@ -14,9 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from mercata.llm.common import shared_table
 
@@ -129,35 +128,12 @@ def splitters(
     return [f if f is not None else 0 for f in final], rounds
 
 
-def _assign(cuts: list[int]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = np.zeros(b.num_rows, np.int64)
-            if cuts and b.num_rows:
-                shard = _below(cuts, b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.record_batch([*b.columns, pa.array(shard.astype(np.int32))], names=[*b.schema.names, "shard"])
-
-    return run
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Place of each row among those of its shard in this partition."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    seen: dict[int, int] = {}
-    for b in batches:
-        shard = b.column(b.schema.names.index("shard")).to_numpy()
-        place = np.zeros(len(shard), np.int64)
-        for s in np.unique(shard).tolist():
-            own = shard == s
-            n = int(own.sum())
-            place[own] = seen.get(s, 0) + np.arange(n)
-            seen[s] = seen.get(s, 0) + n
-        yield pa.record_batch(
-            [*b.columns, pa.array(np.full(len(shard), part, np.int32)), pa.array(place)],
-            names=[*b.schema.names, "part", "place"],
-        )
+def _at_or_below(cuts: list[int]) -> Column:
+    """Number of cuts at or below a row's key (high, low): its shard. No key reaches a cut at the end of all keys."""
+    high, low = F.col("high"), F.col("low")
+    signed = lambda half: F.lit(half - (1 << 63)).cast("long")
+    passed = [(high > signed(c >> 64)) | ((high == signed(c >> 64)) & (low >= signed(c & (2**64 - 1)))) for c in cuts if c < _TOP]
+    return F.array_size(F.filter(F.array(*passed), lambda p: p)) if passed else F.lit(0)
 
 
 def shard_by_bytes(
@@ -194,21 +170,21 @@ def shard_by_bytes(
     keys = shared_table(keyed.select("high", "low", "size"), "shard-keys")
     cuts, _ = splitters(keys, shards, tolerance, probes)
 
-    schema = StructType(list(keyed.schema.fields)).add("shard", "integer")
-    placed = keyed.mapInArrow(_assign(cuts), schema)
+    placed = keyed.withColumn("shard", _at_or_below(cuts))
     partitions = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["shard", "high", "low", "tie"]
     exchanged = placed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    sorted_schema = StructType(list(placed.schema.fields)).add("part", "integer").add("place", "long")
-    slotted = shared_table(exchanged.mapInArrow(_slots, sorted_schema), "shards")
+    # ids count a partition's rows in their order, below the partition's number
+    slotted = shared_table(exchanged.drop("high", "low", "tie").withColumn("at", F.monotonically_increasing_id()), "shards")
+    slotted = slotted.withColumn("part", F.shiftright("at", 33))
 
     # one row for each shard and partition that holds some of it
-    held = slotted.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    held = slotted.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = held.select("shard", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return slotted.join(F.broadcast(offsets), ["shard", "part"]).select(
         *[F.col(f"row.`{c}`") for c in kept],
         "size",
         "shard",
-        (F.col("offset") + F.col("place")).alias("slot"),
+        (F.col("offset") + F.col("at") - F.col("first")).alias("slot"),
     )

@@ -54,6 +54,25 @@ def test_repeated_rows_nulls_other_columns_and_empty_tables(spark):
     assert sharding.shard_by_bytes(df.limit(0), shards=3).collect() == []
 
 
+def test_documents_are_placed_without_python(spark, monkeypatch):
+    """Only keys pass through Python; whole documents there fill an executor's memory beside its heap."""
+    DataFrame = type(spark.range(1))
+    seen, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **b: seen.append(self.columns) or plain(self, *a, **b))
+    rows = [(i, f"text {i % 50}") for i in range(400)]
+    check(rows, sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect(), 4)
+    assert seen and all(set(columns) <= {"high", "low", "size"} for columns in seen)
+
+
+def test_a_document_larger_than_all_others(spark):
+    for big in (1, 2):
+        rows = [(i, "x" * (1000 if i == big else 0)) for i in (1, 2)]
+        for shards in (3, 16):
+            got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).collect()
+            assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len(t) + 1) for i, t in rows)
+            assert all(0 <= r["shard"] < shards for r in got) and len({(r["shard"], r.slot) for r in got}) == 2
+
+
 def test_splitters_count_exactly(spark):
     rng = np.random.default_rng(1)
     high = rng.integers(-(2**63), 2**63, 500)
