@@ -5,6 +5,9 @@ sparse TF-IDF vectors. A passage whose cosine to a template is high enough
 names a licence: a line does so for its own file, a whole file for its
 directory too. A file without a licence of its own takes that of the nearest
 directory above it that has one. DataFrame functions only.
+
+The words of a passage travel to be weighed only if its cosine could reach the
+threshold with all words of no template at weight 1, the least there is.
 """
 
 from __future__ import annotations
@@ -92,6 +95,8 @@ TEMPLATES = (*NOTICES, *HEADERS, *TEXTS, *((name, f"SPDX-License-Identifier: {na
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: So many words of passages are told to all tasks (some tens of MB).
 TOLD_WORDS = 500_000
+#: What the bound of a cosine may lack by rounding.
+BOUND_SLACK = 1e-5
 #: What separates words: ASCII that is neither letter nor digit.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -246,14 +251,14 @@ def scan(
     )
 
 
-def passage_frequency(base: DataFrame, counts: DataFrame, other: float) -> DataFrame:
-    """(word, idf) of every word of ``counts``, by the files that hold it.
+def passage_frequency(base: DataFrame, words: DataFrame, other: float) -> DataFrame:
+    """(word, idf) of every one of ``words`` (distinct), by the files that hold it.
 
     Words are counted with map-side combine, so a word that every file holds
     is one row a task; at most ``TOLD_WORDS`` words of passages are broadcast,
     so that no other word is counted at all. ``other`` is ln(1 + files) + 1.
     """
-    wanted = shared_table(counts.select("word").distinct(), "passage-vocabulary")
+    wanted = shared_table(words.select("word"), "passage-vocabulary")
     every = base.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
     # of all words only those of passages are counted: where they are read, if their number allows it
     if wanted.count() <= TOLD_WORDS:
@@ -263,6 +268,28 @@ def passage_frequency(base: DataFrame, counts: DataFrame, other: float) -> DataF
     return held.select("word", (F.lit(other) - F.log(F.col("n") + 1)).alias("idf"))
 
 
+def measured(counts: DataFrame, vectors: dict[tuple[str, str], dict[str, float]], idf: dict[str, float]) -> DataFrame:
+    """A row per passage of (row, line, word, tf): ``known``, the squares of its template words' weights,
+    ``tf2``, the squares of its other words' counts, ``dots`` with the templates in their order, and the other ``words``."""
+    names = sorted(vectors)
+    matrix = counts.sparkSession.createDataFrame(
+        [(w, idf[w], [vectors[n].get(w, 0.0) for n in names]) for w in sorted(idf)], "word string, idf double, v array<double>"
+    )
+    joined = counts.join(F.broadcast(matrix), "word", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    zero, other = F.lit(0.0), F.col("idf").isNull()
+    return joined.groupBy("row", "line").agg(
+        F.coalesce(F.sum(F.col("w") * F.col("w")), zero).alias("known"),
+        F.coalesce(F.sum(F.when(other, (F.col("tf") * F.col("tf")).cast("double"))), zero).alias("tf2"),
+        F.array(*[F.coalesce(F.sum(F.col("w") * F.col("v")[i]), zero) for i in range(len(names))]).alias("dots"),
+        F.collect_list(F.when(other, F.struct("word", "tf"))).alias("words"),
+    )
+
+
+def _cosines(norm: Column, sizes: list[float]) -> Column:
+    """The cosines to all templates of a passage with ``dots`` and this square of its length."""
+    return F.array(*[F.round(F.col("dots")[i] / F.sqrt(norm * F.lit(size)), 6) for i, size in enumerate(sizes)])
+
+
 def _own(
     base: DataFrame,
     vectors: dict[tuple[str, str], dict[str, float]],
@@ -273,7 +300,6 @@ def _own(
     count_all: bool,
 ) -> DataFrame:
     """(row, license, origin, cosine) of the rows whose own text names a licence."""
-    spark = base.sparkSession
     needed = prefix_words(vectors, min(threshold, file_threshold), idf)
     hint = any_word(needed)
     held = base.where(F.col("text").rlike(hint)).select("row", "text").dropDuplicates(["row"])
@@ -292,41 +318,28 @@ def _own(
         .groupBy("row", "line", "word")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    names = sorted(vectors)
+    sizes = [sum(x * x for x in vectors[n].values()) for n in names]
+    whole = F.col("line") == -1
+    limit = F.when(whole, F.lit(file_threshold)).otherwise(F.lit(threshold))
+    passed = measured(counts, vectors, idf)
     if count_all:
-        counts = shared_table(counts, "passage-words")
-        weights = passage_frequency(base, counts, other)
+        # a word weighs 1 at least, so a passage that fails with words of that weight fails with any
+        near = F.array_max(_cosines(F.col("known") + F.col("tf2"), sizes)) >= limit - F.lit(BOUND_SLACK)
+        passed = shared_table(passed.where(near), "passages")
+        each = passed.select("row", "line", F.explode("words").alias("e")).select("row", "line", "e.word", "e.tf")
+        weights = passage_frequency(base, each.select("word").distinct(), other)
+        w = F.col("tf") * F.coalesce("idf", F.lit(other))
+        squares = each.join(weights, "word", "left").groupBy("row", "line").agg(F.sum(w * w).alias("more"))
+        passed = passed.drop("words").join(squares, ["row", "line"], "left")
+        norm = F.col("known") + F.coalesce("more", F.lit(0.0))
     else:
-        weights = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
-    weighted = counts.join(weights, "word", "left").select(
-        "row", "line", "word", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w")
-    )
-    names = sorted(vectors)
-    matrix = spark.createDataFrame(
-        [(w, [vectors[n].get(w, 0.0) for n in names]) for w in sorted(idf)], "word string, v array<double>"
-    )
-    joined = weighted.join(F.broadcast(matrix), "word", "left")
-    sums = joined.groupBy("row", "line").agg(
-        F.sum(F.col("w") * F.col("w")).alias("norm"),
-        *[F.sum(F.col("w") * F.col("v")[i]).alias(f"dot_{i}") for i in range(len(names))],
-    )
-    scored = sums.select(
-        "row",
-        "line",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n[0]).alias("license"),
-                        F.round(F.col(f"dot_{i}") / F.sqrt(F.col("norm") * F.lit(sum(x * x for x in vectors[n].values()))), 6).alias("cosine"),
-                    )
-                    for i, n in enumerate(names)
-                ]
-            )
-        ).alias("m"),
+        norm = F.col("known") + F.col("tf2") * F.lit(other * other)
+    scored = passed.select(
+        "row", "line", F.explode(F.arrays_zip(F.array(*[F.lit(n[0]) for n in names]).alias("license"), _cosines(norm, sizes).alias("cosine"))).alias("m")
     ).select("row", "line", "m.license", "m.cosine")
-    whole = F.col("line") == -1
     return (
-        scored.where(F.when(whole, F.col("cosine") >= file_threshold).otherwise(F.col("cosine") >= threshold))
+        scored.where(F.col("cosine") >= limit)
         .withColumn("origin", F.when(whole, "file").otherwise("header"))
         .groupBy("row")
         .agg(F.min(F.struct(F.col("origin").alias("o"), (-F.col("cosine")).alias("c"), "license")).alias("b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -97,6 +98,31 @@ def test_common_words_beside_a_notice_weigh_little(spark):
     assert lc.scan(df.limit(0), templates=tm, count_all=True).collect() == []
 
 
+def test_only_words_of_passages_near_a_template_are_counted(spark, monkeypatch):
+    """A passage that fails with words of the least weight is left before they travel, and no licence is lost by it."""
+    rng = random.Random(5)
+    notice = words(TEMPLATES[0][1])
+    texts = [" ".join(rng.sample(notice, rng.randint(2, 5)) + [f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 6))]) for _ in range(150)]
+    texts += [f"the license of {i} " + " ".join(f"far{i}x{j}" for j in range(60)) for i in range(20)] + [None, ""]
+    held, n = Counter(w for t in texts for w in set(words(t))), len(texts)
+    idf = lambda w: math.log((1 + n) / (1 + held[w])) + 1
+    u = {w: idf(w) for w in notice}
+    want = {}
+    for i, t in enumerate(texts):
+        v = {w: c * idf(w) for w, c in Counter(words(t)).items()}
+        dot, norm = sum(x * u.get(w, 0) for w, x in v.items()), sum(x * x for x in v.values()) * sum(x * x for x in u.values())
+        if norm and dot / math.sqrt(norm) >= 0.6:
+            want[i] = dot / math.sqrt(norm)
+    assert 20 <= len(want) <= 130
+    tables, plain = {}, lc.shared_table
+    monkeypatch.setattr(lc, "shared_table", lambda df, name: tables.setdefault(name, plain(df, name)))
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    tm = spark.createDataFrame(TEMPLATES[:1], "license string, text string")
+    got = {r.id: r.cosine for r in lc.scan(df, templates=tm, threshold=0.6, file_threshold=0.6, count_all=True).collect() if r.license}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+    assert {r.word for r in tables["passage-vocabulary"].collect()} <= {f"w{i}" for i in range(13)}
+
+
 def test_headers_texts_and_tag_lines_are_found(spark):
     """Registered templates: the tag line, a notice in a sentence, file headers over several lines, whole texts, beside prose."""
     prose = "\n".join(f"prose of line {i} and of word w{i} it was" for i in range(40))
